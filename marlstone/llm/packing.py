@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import broadcast_if_small, stored, table
-from marlstone.llm.tokens import default_tokenizer, encode, word_ids
+from marlstone.llm.tokens import default_tokenizer, in_groups, word_ids
 
 SEQUENCE_TOKENS = 2048
 #: Rows sent back to Spark at a time.
@@ -57,8 +57,9 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE_TOKENS
             return out
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packed = encode(text.as_py(), ids) + end
+            keys = batch.column(0).to_pylist()
+            packed_texts = ((keys[first + k], p + end) for first, texts in in_groups(batch.column(1).to_pylist()) for k, p in enumerate(ids.encode(texts)))
+            for key, packed in packed_texts:
                 for k, at in enumerate(range(0, len(packed), width)):
                     part = packed[at : at + width]
                     n = len(part) // 4

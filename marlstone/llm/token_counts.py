@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import table
-from marlstone.llm.tokens import default_tokenizer, encode, word_ids
+from marlstone.llm.tokens import default_tokenizer, in_groups, word_ids
 
 #: Lengths in a block of the running sums.
 BLOCK = 4096
@@ -31,7 +31,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str | None = None, text_col: str
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(t.as_py(), ids)) // 4 for t in batch.column(0)], pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(p) // 4 for _, texts in in_groups(batch.column(0).to_pylist()) for p in ids.encode(texts)], pa.int64())], ["n_tokens"])
 
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(lengths, "n_tokens long")
 

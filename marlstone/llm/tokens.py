@@ -2,15 +2,29 @@
 
 The tokenizer's pre-tokenizer drops white space, so no token spans it and the
 ids of a text are the ids of its words, one after the other.  Each Python
-worker keeps the ids of the words it has met in a table of bounded size.
+worker keeps the ids of the words it has met in a table of bounded size, and
+encodes the words a batch of texts adds to it in one call.
+
+Words of Latin letters, digits and signs go through tiktoken with the same
+vocabulary: a byte 0 stands for the end-of-word mark, and an id is also its
+merge's rank.  All other words go through the tokenizer itself.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
+import regex
+
+#: Entries of each of the two generations of a worker's table.
+WORDS_KEPT = 300_000
+#: The pre-tokenizer's pattern, as the vocabulary file states it (fixed value).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Entries of the word table of a worker, and the bytes of the longest word kept in it.
-WORDS_KEPT, LONGEST_KEPT = 200_000, 48
+#: Printable ASCII and Latin-1, without white space and control characters.
+_LATIN = re.compile("[!-~\xa1-\xff]+").fullmatch
 
 _tables: dict[str, "WordIds"] = {}
 
@@ -21,23 +35,69 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Word (UTF-8) to its ids as little-endian unsigned 32-bit integers."""
+def _printable_bytes() -> dict[str, int]:
+    """The letters that a byte-level vocabulary writes for the 256 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+class WordIds:
+    """Packs the ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = packed
-        return packed
+        self._fast, self._new, self._old = None, {}, {}
+        spec = json.loads(self._tokenizer.to_str())
+        if spec["model"].get("end_of_word_suffix") == "</w>" and PIECES in str(spec["pre_tokenizer"]).replace("\\\\", "\\").replace("\\'", "'"):
+            import tiktoken
+
+            of = _printable_bytes()
+            ranks = {}
+            for token, k in spec["model"]["vocab"].items():
+                mark = token.endswith("</w>")
+                body = token[:-4] if mark else token
+                if all(c in of for c in body) and token not in ("<|startoftext|>", "<|endoftext|>"):
+                    ranks[bytes(of[c] for c in body) + b"\0" * mark] = k
+            self._fast = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+            self._mark, self._stop = regex.compile(PIECES + r"|\n"), ranks[b"\n\0"]
+
+    def _add(self, words: list[bytes]) -> None:
+        plain, new = [], self._new
+        for w in words:
+            s = w.decode("utf-8", "replace")
+            # Latin letters are their own composed form and have one lower case; special tokens start with "<|".
+            if self._fast and _LATIN(s) and "<|" not in s:
+                plain.append((w, s.lower()))
+            else:
+                new[w] = np.array(self._tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if plain:
+            marked = "\0".join(self._mark.findall("\n".join(s for _, s in plain))) + "\0\n\0"
+            ids = np.array(self._fast.encode_ordinary(marked), dtype="<u4")
+            ends = np.flatnonzero(ids == self._stop)
+            packed = ids.tobytes()
+            at = 0
+            for (w, _), end in zip(plain, (ends * 4).tolist(), strict=True):
+                new[w] = packed[at:end]
+                at = end + 4
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text, packed; null: none."""
+        split = [(t or b"").split() for t in texts]
+        unknown = set().union(*split).difference(self._new)
+        if len(self._new) + len(unknown) > WORDS_KEPT:  # words that are met again come back from the old generation
+            self._old, self._new = self._new, {}
+            unknown = set().union(*split)
+        if unknown and self._old:
+            old = self._old
+            self._new.update((w, old[w]) for w in unknown if w in old)
+            unknown.difference_update(self._new)
+        if unknown:
+            self._add(list(unknown))
+        get = self._new.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 def word_ids(path: str) -> WordIds:
@@ -46,6 +106,13 @@ def word_ids(path: str) -> WordIds:
     return _tables[path]
 
 
-def encode(text: bytes | None, ids: WordIds) -> bytes:
-    """Ids of one text, packed; null: none."""
-    return b"".join(map(ids.__getitem__, (text or b"").split()))
+def in_groups(values: list[bytes | None], most: int = 4_000_000):
+    """Slices of ``values`` of about ``most`` bytes; a longer value stands alone."""
+    start = size = 0
+    for k, v in enumerate(values):
+        if k > start and size + len(v or b"") > most:
+            yield start, values[start:k]
+            start, size = k, 0
+        size += len(v or b"")
+    if start < len(values):
+        yield start, values[start:]
