@@ -41,3 +41,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast where the counted ``rows`` are within ``limit``; else leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Keep the batches that go to Python small: rows may hold very long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
