@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.decontamination import OP7_SQL, op7_decontamination
+from marlstone.llm.near_dedup import op8_near_dedup
 from marlstone.llm.packing import op1_best_fit_packing
+from marlstone.llm.secrets import op6_secret_scan
+from marlstone.llm.substring_dedup import op10_substring_dedup
 from marlstone.llm.token_counts import op9_token_histogram
 
+OPERATORS = (op1_best_fit_packing, op6_secret_scan, op7_decontamination, op8_near_dedup, op9_token_histogram, op10_substring_dedup)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op9_token_histogram)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": OP7_SQL}
