@@ -4,7 +4,7 @@ Method: texts are folded (case, accents, homoglyphs, digit and sign
 substitutions, marks between letters), and the words of a weighted lexicon
 are found at word starts by one Aho-Corasick pass.  Hits inside an exception
 phrase do not count.  The weights' sum, taken by itself and normalised by
-length, goes through a logistic curve to a score from 0 to 1.
+length, goes through a logistic curve to a score from 0 to 1; the curve is fitted to the labelled rows.
 
 The lexicon starts from common insults and learns words and word beginnings
 from labelled rows.  A term counts once for each group of similar labelled
@@ -21,6 +21,7 @@ lexicon is used with fixed weights; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ from marlstone.llm.common import small_batches, table
 
 MAX_TRAIN = 20_000
 #: A learned term occurs in at least so many groups of toxic texts, at such a likelihood ratio, with such a share of toxic ones.
-LEAST_GROUPS, LEAST_G2, LEAST_SHARE = 6, 30.0, 0.8
+LEAST_GROUPS, LEAST_G2, LEAST_SHARE = 6, 30.0, 0.2
 PREFIXES = range(4, 9)
 
 #: Start lexicon: insults in English, German, French and Spanish.
@@ -105,15 +106,12 @@ class Model:
 
 
 #: Curve of a model without labelled rows.
-START_CURVE = (-3.0, 2.0, 1.0, 0.5)
+START_CURVE = (-3.0, 0.0, 0.5, 0.5, 1.0, 0.0)
+FEATURES = len(START_CURVE) - 1
 
 
-def _features(hits: float, weight: float, words: int) -> tuple[float, float, float]:
-    return float(np.log1p(weight)), float(np.log1p(weight / np.sqrt(max(words, 1) / 100))), float(np.log1p(1000 * hits / max(words, 1)))
-
-
-def measure(text: str | None, automaton) -> tuple[float, float, float]:
-    """Features of a text: its hits' weight, the weight against length, and hits in a thousand words."""
+def measure(text: str | None, automaton) -> tuple[float, ...]:
+    """Features of a text, from its hits' weights: their sum, the sum against length twice, the largest, and their number."""
     folded = fold(text)
     hits, safe = [], []
     for end, (n, w) in automaton.iter(folded):
@@ -121,8 +119,9 @@ def measure(text: str | None, automaton) -> tuple[float, float, float]:
     if safe:
         hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in safe)]
     by_start = {a: w for a, _, w in sorted(hits, key=lambda h: h[2])}  # a word counts by its strongest term
-    words = len(text) / 6 if text else 1
-    return _features(len(by_start), sum(by_start.values()), max(1, int(words)))
+    weights, words = list(by_start.values()), max(1.0, len(folded) / 6)
+    total = sum(weights)
+    return math.log1p(total), math.log1p(total * 10 / math.sqrt(words)), math.log1p(total * 1000 / words), max(weights, default=0.0), math.log1p(len(weights))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -168,11 +167,17 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
             return sum(p * np.log(p) for p in parts if p > 0)
 
         found: dict[str, float] = {}
-        for r in counts.orderBy(F.desc(F.col("t") - F.col("c")), F.length("term")).limit(20_000).collect():  # bounded by the sample
+        ranked = []
+        for r in counts.collect():  # bounded by the sample
             t, c = r["t"], r["c"]
             g2 = 2 * (entropy(t, c, max(nt - t, 0), max(nc - c, 0)) - entropy(t + c, nt + nc - t - c) - entropy(nt, nc) + entropy(nt + nc))
-            if g2 >= LEAST_G2 and not any(r["term"][:n] in found for n in range(3, len(r["term"]))):
-                found[r["term"]] = float(np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1)))
+            if g2 >= LEAST_G2:
+                ranked.append((-round(g2, 6), -len(r["term"]), r["term"], math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))))
+        told: dict[str, float] = {}
+        for g2, _, term, weight in sorted(ranked):  # of a word and its beginnings the most telling, and the longest of equals
+            shorter = any(term[:n] in found and found[term[:n]] >= weight - 1 for n in range(3, len(term)))
+            if not shorter and not any(t.startswith(term) and g <= 0.8 * g2 for t, g in told.items()):
+                found[term], told[term] = weight, g2
         for w in INSULTS:
             w = fold(w).strip()
             if not any(w[:n] in found for n in range(3, len(w) + 1)):
@@ -181,17 +186,18 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
 
         def measured(series: pd.Series) -> pd.DataFrame:
             automaton = model.automaton()
-            return pd.DataFrame([measure(t, automaton) for t in series], columns=["x1", "x2", "x3"])
+            return pd.DataFrame([measure(t, automaton) for t in series], columns=names)
 
-        udf = F.pandas_udf(measured, "x1 double, x2 double, x3 double")
+        names = [f"x{k}" for k in range(FEATURES)]
+        udf = F.pandas_udf(measured, ", ".join(f"{n} double" for n in names))
         points = sample.select(udf("text").alias("x"), "toxic").select("x.*", "toxic").toPandas()  # bounded by the sample
     finally:
         sample.unpersist()
-    x = np.column_stack([np.ones(len(points)), points[["x1", "x2", "x3"]].to_numpy()])
-    y, beta = points["toxic"].to_numpy(dtype=float), np.zeros(4)
+    x = np.column_stack([np.ones(len(points)), points[names].to_numpy()])
+    y, beta = points["toxic"].to_numpy(dtype=float), np.zeros(FEATURES + 1)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        ridge = np.diag([1e-6, 1e-1, 1e-1, 1e-1])
+        ridge = np.diag([1e-6, *[0.1] * FEATURES])
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ beta)
         beta += step
         if np.abs(step).max() < 1e-6:
@@ -206,7 +212,7 @@ def toxicity(text: Column, model: Model) -> Column:
         automaton = model.automaton()
         beta = np.array(model.curve)
         for series in batches:
-            x = np.array([(1.0, *measure(t, automaton)) for t in series]).reshape(-1, 4)
+            x = np.array([(1.0, *measure(t, automaton)) for t in series]).reshape(-1, FEATURES + 1)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))))
 
     return F.pandas_udf(score, "double")(text)
