@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.decontamination import OP7_SQL, op7_decontamination
+from marlstone.llm.html_extraction import op2_html_extraction
 from marlstone.llm.near_dedup import op8_near_dedup
+from marlstone.llm.nearest import op3_nearest_neighbours
 from marlstone.llm.packing import op1_best_fit_packing
 from marlstone.llm.secrets import op6_secret_scan
 from marlstone.llm.substring_dedup import op10_substring_dedup
 from marlstone.llm.token_counts import op9_token_histogram
+from marlstone.llm.toxicity import op4_toxicity
+from marlstone.llm.url_filter import op5_url_filter
 
-OPERATORS = (op1_best_fit_packing, op6_secret_scan, op7_decontamination, op8_near_dedup, op9_token_histogram, op10_substring_dedup)
+OPERATORS = (op1_best_fit_packing, op2_html_extraction, op3_nearest_neighbours, op4_toxicity, op5_url_filter, op6_secret_scan, op7_decontamination, op8_near_dedup, op9_token_histogram, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stored, table
+from marlstone.llm.common import broadcast_if_small, stored, table
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def as_text(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, by_path: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each found span replaced; n_chars follows, where there is such a column."""
-    hits = by_path.where(F.size("spans") > 0).select(F.col("path").alias("_path"), F.sha2(F.col("blob"), 256).alias("_k"), "spans").dropDuplicates(["_path", "_k"])
+    hits = stored(by_path.where(F.size("spans") > 0).select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), "spans").dropDuplicates(["_path", "_blob"]), "hits")
     # Spans may overlap: each piece starts where all spans before it have ended.
     start = {"at": F.lit(1).cast("long"), "out": F.lit("")}
     done = F.aggregate(
@@ -152,8 +152,8 @@ def redacted(docs: DataFrame, by_path: DataFrame, id_col: str = "doc_id", text_c
         ),
     )
     text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.concat(done["out"], F.substring(F.col(text_col), done["at"].cast("int"), F.lit(2147483647))))
-    key = F.sha2(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 256)
-    joined = docs.join(hits, docs[id_col].eqNullSafe(F.col("_path")) & (key == F.col("_k")), "left")
+    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    joined = docs.join(broadcast_if_small(hits, hits.count()), F.col(id_col).eqNullSafe(F.col("_path")) & (blob == F.col("_blob")), "left")
     changed = F.col("spans").isNotNull()
     out = joined.withColumn("_new", text)
     columns = [F.col("_new").alias(c) if c == text_col else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
