@@ -10,12 +10,15 @@ at every further level they stay together with a probability of 0.89 at
 J = 0.75 however deep the tree is, so ten trees miss about one such pair in a
 million at the first level and 2e-5 of those in large nodes.
 
-Work stays linear in the size of a group of copies: equal sets are one class
-from the start; every node first compares its members with one pivot only;
-then only members of different components are compared, and nodes within one
-component end.  A node still large at ``LEVELS`` is compared by a join, so
-nothing is capped.  Candidates must pass a 128-bit sketch at over five
-standard deviations below the threshold, and are confirmed on the full sets.
+Work stays low in groups of copies: equal sets are one class from the start;
+every node first compares its members with ``PIVOTS`` pivots only; then only
+members of different components are compared, and nodes within one component
+end.  Small nodes name their pairs, which must pass a 128-bit sketch at over
+five standard deviations below the threshold and are confirmed on the full
+sets.  Nodes up to ``LARGE_NODE`` documents and ``LARGE_SHINGLES`` shingles
+get the full sets and answer with the links that join components, at most one
+for each member.  Larger ones branch; those that are left at ``LEVELS`` are
+compared block by block, so nothing is capped.
 
 Defined cases: texts without words and null texts have an empty set and no
 links; a text of fewer words than a shingle has its whole sequence as its one
@@ -29,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +45,9 @@ from marlstone.llm.tokens import in_groups
 SHINGLE, PERCENT = 5, 75
 TREES, BRANCHES, LEVELS = 10, 2, 10
 #: Documents of a node up to which all are compared with each other.
-SMALL_NODE = 64
+SMALL_NODE, PIVOTS = 64, 3
+#: Documents and shingles of a node, or of a block of a larger one, that a task holds at a time.
+LARGE_NODE, LARGE_SHINGLES = 4096, 8_000_000
 BINS, TOKENS = 128, 64
 #: Sketch bits that may differ: at 75 % similarity 12.5 % do, with a standard deviation below 3 % of the bits.
 MOST_BITS = 35
@@ -109,16 +115,23 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(sign, "doc_id long, n_shingles long, f0 long, f1 long, s0 long, s1 long, tokens array<int>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of stored ``pairs`` (a, b) whose full sets have the similarity."""
+def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_col: str) -> DataFrame:
+    """id, shingles (packed, sorted) of the documents with the given ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            keys = batch.column(0)
             for first, texts in in_groups([t and t.lower() for t in batch.column(1).to_pylist()]):
                 words, at = word_hashes(texts)
                 found = [shingle_set(words[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(found, pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([keys.slice(first, len(texts)), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return stored(source.join(broadcast_if_small(ids, n_ids), "id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Those of stored ``pairs`` (a, b) whose full sets have the similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,14 +143,69 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    full = source.join(broadcast_if_small(ids, 2 * pairs.count()), "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
-    full = stored(full, "sets")
+    full = full_sets(docs, ids, 2 * pairs.count(), id_col, text_col)
     left = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(compare, "a long, b long").distinct()
 
 
+def joining_links(sets: list[np.ndarray], c: list[int], percent: int, split: int = 0) -> list[tuple[int, int]]:
+    """Positions of pairs that join components ``c``, one for each union; only across ``split`` if it is given.
+
+    A document outside the largest component is held against all others at
+    once: its shingles are marked in the vocabulary of all sets, and marks are
+    counted set by set.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.zeros(len(sets), dtype=np.int64)
+    np.cumsum(sizes[:-1], out=starts[1:])
+    root = {x: x for x in c}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    largest, out = max(root, key=c.count) if len(root) < len(c) else None, []
+    mark = np.zeros(flat.max() + 1, dtype=np.int32)
+    for k in range(len(sets)):
+        if c[k] == largest and not split or split and k >= split:
+            continue
+        own = flat[starts[k] : starts[k] + sizes[k]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat], starts)
+        mark[own] = 0
+        for j in np.flatnonzero(both * 100 >= percent * (sizes + sizes[k] - both)).tolist():
+            if (not split or j >= split) and find(c[k]) != find(c[j]):
+                root[find(c[k])] = find(c[j])
+                out.append((k, j))
+    return out
+
+
+def linked_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join components within the nodes of (node, id, c, n, shingles).
+
+    A node stands in blocks of at most LARGE_NODE documents; each pair of its
+    blocks is one group.
+    """
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["side", "id"], kind="stable")
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
+        found = joining_links(sets, group["c"].tolist(), percent, int((group["side"] == 0).sum()) if group["side"].any() else 0)
+        ids = group["id"].to_numpy()
+        return pd.DataFrame({"a": [min(ids[x], ids[y]) for x, y in found], "b": [max(ids[x], ids[y]) for x, y in found]}, dtype="int64")
+
+    blocks = F.greatest(F.ceil(F.col("n") / LARGE_NODE), F.ceil(F.col("all_shingles") / LARGE_SHINGLES)).cast("int")
+    placed = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id", F.lit("block")), blocks)})
+    # Block x meets the blocks from x on: its rows are side 0 of pairs (x, y) and side 1 of pairs (w, x).
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("block", y).alias("x"), F.greatest("block", y).alias("y"), (y < F.col("block")).cast("int").alias("side")))
+    each = placed.select("node", "id", "c", "shingles", F.explode(pair).alias("p")).select("node", "p.x", "p.y", "p.side", "id", "c", "shingles")
+    return each.groupBy("node", "x", "y").applyInPandas(compare, "a long, b long")
+
+
 def _near(x: str, y: str):
     """Whether two rows' sketches leave the similarity possible."""
     return F.bit_count(F.col(f"{x}s0").bitwiseXOR(F.col(f"{y}s0"))) + F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) <= MOST_BITS
@@ -156,16 +224,17 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     signed = stored(signatures(docs, id_col, text_col), "signatures")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
     first = signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "f0", "f1", "n_shingles", "tokens")
-    members = stored(first.join(classes, ["id", "f0", "f1", "n_shingles"]).dropDuplicates(["id", "f0", "f1", "n_shingles"]).select("id", "s0", "s1", "tokens"), "classes")
+    members = stored(first.join(classes, ["id", "f0", "f1", "n_shingles"]).dropDuplicates(["id", "f0", "f1", "n_shingles"]).select("id", "s0", "s1", F.col("n_shingles").alias("m"), "tokens"), "classes")
     labels = None
 
-    def settle(pairs: DataFrame) -> None:
-        """Confirm candidate pairs and bring the components up to date."""
+    def settle(pairs: DataFrame, more: DataFrame | None = None) -> None:
+        """Confirm candidate pairs, add links that need it no more, and bring the components up to date."""
         nonlocal labels
         pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
+        found = None if pairs.isEmpty() else confirmed(pairs, docs, percent, id_col, text_col)
+        found = more if found is None else found if more is None else found.union(more)
+        if found is None:
             return
-        found = confirmed(pairs, docs, percent, id_col, text_col)
         if labels is not None:
             for side in ("a", "b"):
                 found = found.join(labels.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
@@ -175,18 +244,17 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
         labels = stored(new, "labels")
 
     # First level: a coordinate for each tree.
-    live = members.select("id", "s0", "s1", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "t")).select(F.xxhash64("k", "t").alias("node"), "id", "s0", "s1")
+    live = members.select("id", "s0", "s1", "m", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "t")).select(F.xxhash64("k", "t").alias("node"), "id", "s0", "s1", "m")
     for level in range(1, LEVELS + 1):
-        nodes = live.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "id").alias("r"), F.col("id").alias("pid"), F.col("s0").alias("ps0"), F.col("s1").alias("ps1"))).alias("p")).where("n > 1")
-        live = stored(live.join(nodes.select("node", "n", "p.pid", "p.ps0", "p.ps1"), "node"), "nodes")
-        star = live.where((F.col("id") != F.col("pid")) & _near("", "p"))
+        pivot = [F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("r"), F.col("id").alias("pid"), F.col("s0").alias("ps0"), F.col("s1").alias("ps1"))) for k in range(PIVOTS)]
+        nodes = live.groupBy("node").agg(F.count("*").alias("n"), F.sum("m").alias("all_shingles"), F.array_distinct(F.array(*pivot)).alias("pivots")).where("n > 1")
+        live = stored(live.join(nodes, "node"), "nodes")
+        star = live.select("id", "s0", "s1", F.explode("pivots").alias("p")).select("id", "s0", "s1", "p.*").where((F.col("id") != F.col("pid")) & _near("", "p"))
         settle(star.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct())
-        live = _with_component(live.where("n > 2").select("node", "id", "s0", "s1", "n"), labels)
+        live = _with_component(live.where("n > 2").drop("pivots"), labels)
         mixed = live.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("node")
         live = stored(live.join(mixed, "node"), "mixed")
-        last = level == LEVELS
-        me = F.struct("c", "id", "s0", "s1")
-        small = live.where(F.lit(False) if last else F.col("n") <= SMALL_NODE).groupBy("node").agg(F.collect_list(me).alias("m"))  # at most SMALL_NODE of a node
+        small = live.where(F.col("n") <= SMALL_NODE).groupBy("node").agg(F.collect_list(F.struct("c", "id", "s0", "s1")).alias("m"))  # at most SMALL_NODE of a node
 
         def others(x):
             return F.filter("m", lambda y: (y.c > x.c) & (F.bit_count(y.s0.bitwiseXOR(x.s0)) + F.bit_count(y.s1.bitwiseXOR(x.s1)) <= MOST_BITS))
@@ -194,20 +262,22 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
         def links(x):
             return F.transform(others(x), lambda y: F.struct(F.least(x.id, y.id).alias("a"), F.greatest(x.id, y.id).alias("b")))
 
-        pairs = small.select(F.explode(F.flatten(F.transform("m", links))).alias("e")).select("e.*")
-        large = live if last else live.where(F.col("n") > SMALL_NODE)
-        if last:
-            x, y = (large.select("node", *(F.col(c).alias(f"{p}{c}") for c in ("id", "c", "s0", "s1"))) for p in ("x", "y"))
-            pairs = x.join(y, "node").where((F.col("xc") < F.col("yc")) & _near("x", "y")).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b"))
-        settle(pairs.distinct())
-        if last or large.isEmpty():
+        pairs = small.select(F.explode(F.flatten(F.transform("m", links))).alias("e")).select("e.*").distinct()
+        held = (F.col("n") <= LARGE_NODE) & (F.col("all_shingles") <= LARGE_SHINGLES) if level < LEVELS else F.lit(True)
+        large, joined = live.where((F.col("n") > SMALL_NODE) & held), None
+        if not large.isEmpty():
+            ids = stored(large.select("id").distinct(), "ids")
+            joined = stored(linked_in_blocks(large.join(full_sets(docs, ids, ids.count(), id_col, text_col), "id"), percent), "links")
+        settle(pairs, joined)
+        rest = live.where((F.col("n") > SMALL_NODE) & ~held)
+        if rest.isEmpty():
             break
         # Branch: children of a node take coordinates chosen by the node.
-        large = _with_component(large.select("node", "id", "s0", "s1"), labels)
-        mixed = large.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("node")
-        grown = large.join(mixed, "node").join(members.select("id", "tokens"), "id")
-        child = F.explode(F.array(*[F.xxhash64("node", F.lit(b), F.get("tokens", F.pmod(F.xxhash64("node", F.lit(b), F.lit("coordinate")), F.lit(TOKENS)).cast("int"))) for b in range(BRANCHES)])).alias("child")
-        live = grown.select(child, "id", "s0", "s1").select(F.col("child").alias("node"), "id", "s0", "s1").distinct()
+        rest = _with_component(rest.select("node", "id", "s0", "s1", "m"), labels)
+        mixed = rest.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("node")
+        grown = rest.join(mixed, "node").join(members.select("id", "tokens"), "id")
+        child = F.explode(F.array(*[F.xxhash64("node", F.lit(b), F.get("tokens", F.pmod(F.xxhash64("node", F.lit(b), F.lit("coordinate")), F.lit(TOKENS)).cast("int"))) for b in range(BRANCHES)])).alias("node")
+        live = grown.select(child, "id", "s0", "s1", "m").distinct()
     out = signed.select("doc_id", "n_shingles", "f0", "f1").join(classes.select("f0", "f1", "n_shingles", "id"), ["f0", "f1", "n_shingles"], "left")
     if labels is None:
         found = out.withColumn("component_id", F.coalesce("id", "doc_id"))
