@@ -45,7 +45,8 @@ def breakdown(rows: DataFrame, key: str, kind: str, amount: str, known: list[str
 def pyramid(rows: DataFrame, key: str, sex: str, band: str, amount: str) -> DataFrame:
     """Nested counts: sex to age band to number (A-28)."""
     g = rows.groupBy(key, sex, band).agg(F.sum(amount).alias("n")).groupBy(key, sex).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(band, "n")))).alias("bands"))
-    return g.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(sex, "bands")))).alias("pyramid"))
+    by_sex = F.array_sort(F.collect_list(F.struct(F.col(sex).alias("s"), "bands")), lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).otherwise(0))
+    return g.groupBy(key).agg(F.map_from_entries(by_sex).alias("pyramid"))
 
 
 def grouped_median(counts: Column, lower: list[float], width: list[float]) -> Column:

@@ -73,7 +73,7 @@ LEVELS = {"city": "city", "department": "dept", "region": "region"}
 
 def at_levels(rows: DataFrame, levels: dict[str, str] | None = None, country: str = "FR") -> DataFrame:
     """Each row once for each geographic level, as (geo_level, geo_code) (A-02)."""
-    pairs = [F.struct(F.lit(name).alias("geo_level"), F.col(col).cast("string").alias("geo_code")) for name, col in (levels or LEVELS).items()]
+    pairs = [F.struct(F.lit(name).alias("geo_level"), F.col(col).cast("string").alias("geo_code")) for name, col in (LEVELS if levels is None else levels).items()]
     if country:
         pairs.append(F.struct(F.lit("country").alias("geo_level"), F.lit(country).alias("geo_code")))
     return rows.select("*", F.explode(F.array(*pairs)).alias("_geo")).select("*", "_geo.geo_level", "_geo.geo_code").drop("_geo")
