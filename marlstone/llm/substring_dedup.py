@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import small_batches, stored, table
+from marlstone.llm.common import discard, small_batches, stored, table
 from marlstone.llm.hashing import sequence_hashes, word_hashes
 from marlstone.llm.tokens import in_groups
 
@@ -135,6 +135,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
     seeds = stored(anchors(texts, window, seed), "anchors")
     again = _again(seeds, "anchor").groupBy("row").agg(F.collect_set("at").alias("ats"))  # of one document
     windows = stored(extended(texts, again, window, seed), "windows")
+    discard(seeds)  # the windows are written: nothing reads the anchors again
     starts = _again(windows, "window").groupBy("row").agg(F.collect_set("start").alias("starts"))  # of one document
     joined = texts.join(starts, "row", "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start:int,end:int>>")
