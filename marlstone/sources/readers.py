@@ -73,8 +73,8 @@ def retail(rows: DataFrame) -> DataFrame:
 
 
 def rents(spark: SparkSession, path: str) -> DataFrame:
-    """Rent files in cp1252 with decimal commas; the mean over codes that fold together (S-09)."""
-    df = spark.read.csv(path, sep=";", header=True, encoding="windows-1252")
+    """Rent files in cp1252, which Spark reads as Latin-1, with decimal commas; the mean over codes that fold together (S-09)."""
+    df = spark.read.csv(path, sep=";", header=True, encoding="ISO-8859-1")  # equal to cp1252 for codes and numbers
     return df.select(fold_code(canonical_code(F.col("INSEE_C"))).alias("city"), parse_decimal(F.col("loypredm2")).alias("rent")).where("rent is not null").groupBy("city").agg(F.avg("rent").alias("rent"))
 
 
