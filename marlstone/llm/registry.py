@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.decontamination import OP7_SQL, op7_decontamination
+from marlstone.llm.decontamination import op7_decontamination
 from marlstone.llm.html_extraction import op2_html_extraction
 from marlstone.llm.near_dedup import op8_near_dedup
 from marlstone.llm.nearest import op3_nearest_neighbours
+from marlstone.llm.oracle import SQL
 from marlstone.llm.packing import op1_best_fit_packing
 from marlstone.llm.secrets import op6_secret_scan
 from marlstone.llm.substring_dedup import op10_substring_dedup
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return dict(SQL)
