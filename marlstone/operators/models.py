@@ -156,12 +156,12 @@ def boosted(rows: DataFrame, label: str, categorical: list[str], numeric: list[s
     return Pipeline(stages=[*design(categorical, numeric, one_hot), gbt]).fit(rows.where("split = 'train'"))
 
 
-def random_search(rows: DataFrame, label: str, categorical: list[str], numeric: list[str], candidates: int = 20, folds: int = 5, parallelism: int = 4, seed: int = SEED):
+def random_search(rows: DataFrame, label: str, categorical: list[str], numeric: list[str], candidates: int = 20, folds: int = 5, parallelism: int = 4, iterations: tuple[int, ...] = (20, 40, 80), seed: int = SEED):
     """Cross-validated search over a random part of a grid, by mean absolute error (M-08)."""
     import random
 
     gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, maxBins=64)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, [3, 4, 5, 6]).addGrid(gbt.maxIter, [20, 40, 80]).addGrid(gbt.stepSize, [0.05, 0.1, 0.2]).addGrid(gbt.subsamplingRate, [0.7, 0.85, 1.0]).addGrid(gbt.minInstancesPerNode, [1, 5, 20]).build()
+    grid = ParamGridBuilder().addGrid(gbt.maxDepth, [3, 4, 5, 6]).addGrid(gbt.maxIter, list(iterations)).addGrid(gbt.stepSize, [0.05, 0.1, 0.2]).addGrid(gbt.subsamplingRate, [0.7, 0.85, 1.0]).addGrid(gbt.minInstancesPerNode, [1, 5, 20]).build()
     maps = random.Random(seed).sample(grid, min(candidates, len(grid)))
     judge = RegressionEvaluator(labelCol=label, metricName="mae")
     return CrossValidator(estimator=Pipeline(stages=[*design(categorical, numeric), gbt]), estimatorParamMaps=maps, evaluator=judge, numFolds=folds, parallelism=parallelism, seed=seed).fit(rows.where("split = 'train'"))

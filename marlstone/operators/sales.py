@@ -85,29 +85,33 @@ def series(rows: DataFrame, value: Column, least: int, by: tuple[str, ...] = (),
     return grouped.where((F.col("n_sales") >= least) & F.col("value").isNotNull())
 
 
-def median(x: Column | str) -> Column:
-    """Exact median, interpolated."""
-    return F.percentile(x, F.lit(0.5))
+def median(x: Column | str, accuracy: int | None = None) -> Column:
+    """Median: exact and interpolated, or within 1/accuracy of the rank.
+
+    The exact one holds a group's distinct values in one task; where a country
+    has more of them than that, ask for an accuracy.
+    """
+    return F.percentile(x, F.lit(0.5)) if accuracy is None else F.percentile_approx(x, F.lit(0.5), F.lit(accuracy))
 
 
-def price_series(prices: DataFrame, least: int, bounds: Bounds = Bounds(), unit_type: int | None = None) -> DataFrame:
+def price_series(prices: DataFrame, least: int, bounds: Bounds = Bounds(), unit_type: int | None = None, accuracy: int | None = None) -> DataFrame:
     """Median price for a unit of surface (A-03)."""
     base = prices.where(many_units(bounds))
     if unit_type is not None:
         base = base.where(F.col("unit_type") == unit_type)
-    return series(base, median(F.col("price") / F.col("surface")), least)
+    return series(base, median(F.col("price") / F.col("surface"), accuracy), least)
 
 
-def price_by_size(prices: DataFrame, least: int, bounds: Bounds = Bounds()) -> DataFrame:
+def price_by_size(prices: DataFrame, least: int, bounds: Bounds = Bounds(), accuracy: int | None = None) -> DataFrame:
     """Median price for each size class (A-04): one pass for all four."""
     base = prices.where(one_kind(bounds)).withColumn("size_class", typology(F.col("rooms"))).where(F.col("size_class").isNotNull())
-    return series(base, median(F.col("price") / F.col("surface")), least, ("size_class",))
+    return series(base, median(F.col("price") / F.col("surface"), accuracy), least, ("size_class",))
 
 
-def surface_by_size(units: DataFrame, least: int) -> DataFrame:
+def surface_by_size(units: DataFrame, least: int, accuracy: int | None = None) -> DataFrame:
     """Median surface of units for each size class (A-05)."""
     base = units.where(F.col("unit_type").isin(1, 2) & (F.col("surface") > 0)).withColumn("size_class", typology(F.col("rooms"))).where(F.col("size_class").isNotNull())
-    return series(base, median("surface"), least, ("size_class",))
+    return series(base, median("surface", accuracy), least, ("size_class",))
 
 
 def volume(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -121,9 +125,9 @@ def share_of_nature(rows: DataFrame, nature: str, least: int) -> DataFrame:
     return series(rows, some * 100.0 / F.nullif(every, F.lit(0)), least)
 
 
-def land_price(land: DataFrame, least: int) -> DataFrame:
+def land_price(land: DataFrame, least: int, accuracy: int | None = None) -> DataFrame:
     """Median price for a unit of land (A-08)."""
-    return series(land, median(F.col("price") / F.col("land")), least)
+    return series(land, median(F.col("price") / F.col("land"), accuracy), least)
 
 
 def observations(prices: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:

@@ -693,3 +693,42 @@ def m01_f09_prepared(spark, d):
 def m09_t07_splits(spark, d):
     c = cities(spark, d)
     return M.split_by_hash(M.bounded_sample(c, "id", 60, 125), "id", candidates=F.col("price").isNotNull()).select("id", "split")
+
+
+@query("SELECT s_suppkey, ['A_BIS', 'A', 'B1', 'B2', 'C'][s_nationkey % 5 + 1] AS zone, s_nationkey % 5 < 2 AS high_demand FROM supplier")
+def s11_p18_zone_by_prefix(spark, d):
+    labels = F.element_at(F.array(*map(F.lit, (" Abis", "A", "B1 ", "B2", "C"))), (F.col("s_nationkey") % 5 + 1).cast("int"))
+    s = table(spark, d, "supplier").select("s_suppkey", labels.alias("Zonage ABC 2024"))
+    zone = R.zone_name(I.prefixed(s, "zonage"))
+    return s.select("s_suppkey", zone.alias("zone"), zone.isin("A", "A_BIS").alias("high_demand"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS city, n_name AS name, CAST(n_regionkey AS VARCHAR) AS dept, r_name AS region, n_nationkey + 1.0::DOUBLE AS lat, n_nationkey * 2.0::DOUBLE AS lon, CASE WHEN n_nationkey % 2 = 0 THEN '0' || n_name END AS postal_code FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s13_flat_communes(spark, d):
+    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    rec = n.select(
+        k.cast("string").alias("code"), F.col("n_name").alias("nom"), F.struct(F.col("n_regionkey").cast("string").alias("code"), F.col("r_name").alias("nom")).alias("departement"), F.struct(F.col("r_name").alias("code"), F.col("r_name").alias("nom")).alias("region"),
+        F.lit(1).cast("long").alias("population"), F.struct(F.array(k * 2.0, k + 1.0).alias("coordinates")).alias("centre"), F.when(k % 2 == 0, F.array(F.concat(F.lit("0"), "n_name"))).otherwise(F.array().cast("array<string>")).alias("codesPostaux"),
+    )
+    return I.flat_communes(rec).drop("population")
+
+
+@query("SELECT o_orderkey, CASE WHEN quarter(o_orderdate) = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS q1, CASE WHEN quarter(o_orderdate) = 4 THEN 1.0::DOUBLE ELSE 0.0 END AS q4 FROM orders")
+def f12_quarter_dummies(spark, d):
+    return M.quarter_dummies(table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("period")), "period").select("o_orderkey", "q1", "q4")
+
+
+@query()
+def m08_random_search(spark, d):
+    rows = _parts(spark, d)
+    fitted = M.random_search(rows, "y", ["p_type"], ["k"], candidates=2, folds=2, iterations=(3,))
+    return M.regression_report(fitted.transform(rows), "y", "prediction", ["split"])
+
+
+@query()
+def m15_yield_model(spark, d):
+    c = cities(spark, d).where("price is not null and rent is not null").withColumn("y", F.col("rent") * 12 / F.col("price") * 100)
+    rows = M.split_by_hash(c, "id")
+    out = M.boosted(rows, "y", [], ["lat", "lon", "population"], iterations=5).transform(rows)
+    return out.select("id", "split", F.round(R.opportunity(F.col("y"), F.col("prediction")), 6).alias("opportunity"))

@@ -339,3 +339,14 @@ def j08_scalar_window(spark, d):
 def j03_totals_back(spark, d):
     u = units(spark, d).withColumn("all_units", F.count("*").over(Window.partitionBy("mutation_id")))
     return u.groupBy("all_units").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {UNITS} SELECT geo_level, geo_code, CAST(date_trunc('quarter', mutation_date) AS DATE) AS period, max(surface) AS value, count(DISTINCT mutation_id) AS n_sales FROM {levels('units')} WHERE nature = 'F' GROUP BY ALL HAVING count(DISTINCT mutation_id) >= 4")
+def a01_generic_serie(spark, d):
+    return S.series(S.at_levels(units(spark, d).where("nature = 'F'")), F.max("surface"), 4)
+
+
+@query(f"WITH {UNITS} SELECT unit_type, rooms, {_SIZE} AS size_class, CASE unit_type WHEN 1 THEN 'HOUSE' ELSE 'APARTMENT' END AS property_type, count(*) AS n FROM units GROUP BY ALL")
+def p08_p09_types(spark, d):
+    kinds = F.create_map(*[x for k, v in S.UNIT_TYPES.items() for x in (F.lit(k), F.lit(v))])
+    return units(spark, d).groupBy("unit_type", "rooms", S.typology(F.col("rooms")).alias("size_class"), kinds[F.col("unit_type")].alias("property_type")).agg(F.count("*").alias("n"))
