@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import small_batches, table
 
 MAX_TRAIN = 20_000
-#: A learned term occurs in at least so many groups of toxic texts, at such a likelihood ratio, with such a share of toxic ones.
-LEAST_GROUPS, LEAST_G2, LEAST_SHARE = 6, 30.0, 0.2
+#: A learned term occurs in at least so many groups of toxic texts, at such a likelihood ratio, with such a share of toxic ones and such log odds.
+LEAST_GROUPS, LEAST_G2, LEAST_SHARE, LEAST_WEIGHT = 6, 30.0, 0.2, 0.3
 PREFIXES = range(4, 9)
 
 #: Start lexicon: insults in English, German, French and Spanish.
@@ -167,21 +167,24 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
             return sum(p * np.log(p) for p in parts if p > 0)
 
         found: dict[str, float] = {}
-        ranked = []
+        ranked, sure = [], []
         for r in counts.collect():  # bounded by the sample
             t, c = r["t"], r["c"]
             g2 = 2 * (entropy(t, c, max(nt - t, 0), max(nc - c, 0)) - entropy(t + c, nt + nc - t - c) - entropy(nt, nc) + entropy(nt + nc))
-            if g2 >= LEAST_G2:
-                ranked.append((-round(g2, 6), -len(r["term"]), r["term"], math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))))
-        told: dict[str, float] = {}
-        for g2, _, term, weight in sorted(ranked):  # of a word and its beginnings the most telling, and the longest of equals
+            weight = math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))
+            if g2 >= LEAST_G2 and weight >= LEAST_WEIGHT:
+                ranked.append((-round(g2, 6), -len(r["term"]), r["term"], weight, t))
+                if not c:
+                    sure.append(weight)
+        told: dict[str, int] = {}
+        for _, _, term, weight, t in sorted(ranked):  # of a word and its beginnings the most telling, and the longest of equals
             shorter = any(term[:n] in found and found[term[:n]] >= weight - 1 for n in range(3, len(term)))
-            if not shorter and not any(t.startswith(term) and g <= 0.8 * g2 for t, g in told.items()):
-                found[term], told[term] = weight, g2
-        for w in INSULTS:
+            if not shorter and not any(x.startswith(term) and n >= 0.9 * t for x, n in told.items()):
+                found[term], told[term] = weight, t
+        for w in INSULTS:  # those not met weigh as much as a typical term that no clean text has
             w = fold(w).strip()
             if not any(w[:n] in found for n in range(3, len(w) + 1)):
-                found[w] = START_WEIGHT
+                found[w] = max(START_WEIGHT, float(np.median(sure)) if sure else 0.0)
         model = Model(found, exceptions, START_CURVE)
 
         def measured(series: pd.Series) -> pd.DataFrame:
