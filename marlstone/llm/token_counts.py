@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import small_batches, table
+from marlstone.llm.common import small_batches, stored, table
 from marlstone.llm.tokens import default_tokenizer, in_groups, word_ids
 
 #: Lengths in a block of the running sums.
@@ -38,8 +38,8 @@ def encoded_lengths(docs: DataFrame, tokenizer: str | None = None, text_col: str
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """n_tokens, n_docs, from one row per document."""
-    return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """n_tokens, n_docs, from one row per document; stored, as its readers go over it more than once."""
+    return stored(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram")
 
 
 def context_totals(histogram: DataFrame) -> DataFrame:
