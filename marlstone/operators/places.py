@@ -68,7 +68,7 @@ def by_priority(sources: list[DataFrame], keys: list[str], order: list[Column] |
 
 
 def resolve(names: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Names (name, hint) to places (code, name, dept, population); the resolved with their confidence, and the rest (J-25).
+    """Names (name, hint) to places (code, name, dept, population); the resolved with their confidence and kind of match, and the rest (J-25).
 
     An exact key decides, within the hinted department if there is a hint, the
     most populous of several.  Without a hint a name that starts another's key
@@ -81,10 +81,10 @@ def resolve(names: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = w.orderBy(F.col("population").desc_nulls_last(), "code")
     exact = exact.withColumns({"found": F.count("*").over(w), "nth": F.row_number().over(best)}).where("nth = 1")
     level = F.when(F.col("found") > 1, "low").when(F.col("hint").isNotNull(), "high").otherwise("medium")
-    exact = exact.select("name", "hint", "code", level.alias("confidence"))
+    exact = exact.select("name", "hint", "code", level.alias("confidence"), F.lit("exact").alias("match"))
     rest = n.join(exact.select("name", F.coalesce("hint", F.lit("")).alias("_h")), ["name"], "left_anti").where(F.col("hint").isNull() & (F.length("key") >= 3))
     near = rest.withColumn("head", F.substring("key", 1, 3)).join(p.withColumn("head", F.substring("pkey", 1, 3)), "head").where(F.startswith("key", F.col("pkey")) | F.startswith("pkey", F.col("key")))
-    near = near.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("name", "hint", "code", F.lit("low").alias("confidence"))
+    near = near.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("name", "hint", "code", F.lit("low").alias("confidence"), F.lit("prefix").alias("match"))
     done = exact.unionByName(near)
     left = n.join(done.select("name", "hint"), n["name"].eqNullSafe(done["name"]) & n["hint"].eqNullSafe(done["hint"]), "left_anti").select("name", "hint")
     return done, left

@@ -161,8 +161,7 @@ x AS (SELECT name, hint, code, count(*) OVER (PARTITION BY name, hint) AS n, row
 SELECT name, hint, code, CASE WHEN n > 1 THEN 'low' WHEN hint IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence FROM x WHERE nth = 1""")
 def j25_resolved_exact(spark, d):
     done, _ = _resolved(spark, d)
-    # The prefix fallback is checked by a fixture: here no name needs it but the unhinted ones beyond 39.
-    return done.where((F.col("confidence") != "low") | F.col("hint").isNotNull() | (F.regexp_extract("name", r" (\d+) ", 1).cast("int") < 40))
+    return done.where("match = 'exact'").drop("match")  # the prefix fallback is checked by a fixture
 
 
 @query()
