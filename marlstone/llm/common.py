@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,10 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the folder of a stored table that no later step reads."""
+    """Delete the folder of a stored table that no later step reads.
+
+    Spark removes the shuffle files behind it once the driver has collected
+    the plans that made them, so it is asked to do so here.
+    """
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
