@@ -8,10 +8,10 @@ the URL's host and path decides before the models do; of several that fit the
 longest wins.
 
 Rejected are URLs whose host names one of the given marks (whole labels of
-the host, cut at dots and hyphens); all others are accepted.  Counts of
-character runs are aggregated in Spark over all URLs.  A run is kept in the
-model if its context has been seen often enough, and the least count is
-raised until the model fits ``MOST_RUNS``, which bounds what is broadcast.
+the host, cut at dots and hyphens); all others are accepted.  All character
+runs of the learned URLs are counted and kept as a stored table.  URLs are
+scored on Spark: each distinct host and path is exploded to its runs, the
+runs' ratios come from joins with the counts, and are summed for each line.
 
 Defined cases: null URLs and URLs without "://" have an empty host and path,
 fit no rule and are allowed; without rejected URLs everything that no rule
@@ -22,16 +22,19 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import small_batches, table
+from marlstone.llm.common import stored, table
 
-ORDER, MOST_RUNS, LEAST = 5, 400_000, 2
+#: Characters of the longest run, context and all.
+ORDER = 5
+#: Characters of keys up to which a table is broadcast whole, and the share of the rows (one in HOT) from which a key is in any case.
+BROADCAST_CHARS, HOT = 20_000_000, 1000
+#: Units of a ratio in the sums.
+SCALE = 10_000_000_000
 #: Share of accepted calibration URLs that may be blocked, and the bound of their sample.
 WRONGLY_BLOCKED, MOST_CALIBRATION = 0.002, 50_000
 #: Alphabet size that unseen characters share.
@@ -77,61 +80,74 @@ def _line(host: Column, path: Column) -> Column:
 
 @dataclass
 class Model:
-    """Counts of character runs for rejected (0) and accepted (1) URLs, and the threshold of the ratio."""
+    """Stored counts of all character runs (run, b, g) for rejected and accepted URLs and of their contexts, and the threshold of the ratio."""
 
-    runs: dict[str, tuple[int, int]]
+    runs: DataFrame
+    contexts: DataFrame
     threshold: float = math.inf
-    _ratios: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
-    _totals: dict[str, tuple[int, int, int, int]] | None = field(default=None, repr=False, compare=False)
-
-    def _context(self) -> dict[str, tuple[int, int, int, int]]:
-        """Per context and class, the characters that followed it and the different ones."""
-        if self._totals is None:
-            totals: dict[str, list[int]] = {}
-            for run, (bad, good) in self.runs.items():
-                t = totals.setdefault(run[:-1], [0, 0, 0, 0])
-                t[0], t[1], t[2], t[3] = t[0] + bad, t[1] + good, t[2] + (bad > 0), t[3] + (good > 0)
-            self._totals = {k: tuple(v) for k, v in totals.items()}
-        return self._totals
-
-    def _probability(self, run: str, which: int) -> float:
-        """Witten-Bell: a longer context counts as far as it has been seen to go on differently."""
-        p = 1 / ALPHABET
-        for n in range(len(run)):
-            part = run[len(run) - 1 - n :]
-            t = self._context().get(part[:-1])
-            if t is None or not t[which]:
-                if n:
-                    break
-                continue
-            total, kinds = t[which], t[2 + which]
-            p = (self.runs.get(part, (0, 0))[which] + kinds * p) / (total + kinds)
-        return p
-
-    def ratio(self, line: str) -> float:
-        """Log-likelihood as a rejected URL less that as an accepted one, for each character."""
-        total, seen = 0.0, self._ratios
-        for k in range(ORDER - 1, len(line)):
-            run = line[k - ORDER + 1 : k + 1]
-            r = seen.get(run)
-            if r is None:
-                if len(seen) > 500_000:
-                    seen.clear()
-                r = seen[run] = math.log(self._probability(run, 0)) - math.log(self._probability(run, 1))
-            total += r
-        return total / max(1, len(line) - ORDER + 1)
-
-    def bare(self) -> Model:
-        return Model(self.runs, self.threshold)
-
-
-def _ratio_column(line: Column, model: Model) -> Column:
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = model.bare()
-        for lines in batches:
-            yield pd.Series([own.ratio(x) if len(x) > ORDER else 0.0 for x in lines], dtype=float)
-
-    return F.pandas_udf(score, "double")(line)
+
+
+def _windows(lines: DataFrame, *columns: str) -> DataFrame:
+    """run and the given columns, a row for each place of each line: the ORDER characters that end there."""
+    starts = F.sequence(F.lit(1), F.length("line") - ORDER + 1)
+    return lines.select(F.explode(F.transform(starts, lambda k: F.substring(F.col("line"), k, ORDER))).alias("run"), *columns)
+
+
+def _counted(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts of the runs of up to ORDER characters of (line, bad, n), and per context the characters that followed it and the different ones."""
+    whole = stored(_windows(lines, "bad", "n").groupBy("run").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("g")), "windows")
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.lit(ORDER)), lambda n: F.substring(F.col("run"), ORDER + 1 - n, n))).alias("run")
+    runs = stored(whole.select(ends, "b", "g").groupBy("run").agg(F.sum("b").alias("b"), F.sum("g").alias("g")), "runs")
+    before = F.substring(F.col("run"), F.lit(1), F.length("run") - 1).alias("context")
+    kinds = [F.sum((F.col(x) > 0).cast("long")).alias(f"k{x}") for x in ("b", "g")]
+    return runs, stored(runs.groupBy(before).agg(F.sum("b").alias("tb"), F.sum("g").alias("tg"), *kinds), "contexts")
+
+
+def _run_ratios(windows: DataFrame, model: Model) -> DataFrame:
+    """``windows`` (run, rows) with ratio: log-likelihood of the last character as of a rejected URL less that as of an accepted one.
+
+    Witten-Bell: a longer context counts as far as it has been seen to go on
+    differently.  Each length is joined to the one before by its runs' ends.
+    """
+    shorter = None
+    for n in range(1, ORDER + 1):
+        want = windows.select(F.substring("run", ORDER + 1 - n, n).alias("run")).distinct()
+        want = want.withColumns({"context": F.substring("run", 1, n - 1), "end": F.substring("run", 2, n - 1)})
+        out = want.join(model.runs.where(F.length("run") == n), "run", "left").join(model.contexts.where(F.length("context") == n - 1), "context", "left")
+        if shorter is None:
+            out = out.withColumns({"pb": F.lit(1 / ALPHABET), "pg": F.lit(1 / ALPHABET)})
+        else:
+            out = out.join(shorter, "end")
+        p = {f"p{x}": F.when(F.col(f"t{x}") > 0, (F.coalesce(x, F.lit(0)) + F.col(f"k{x}") * F.col(f"p{x}")) / (F.col(f"t{x}") + F.col(f"k{x}"))).otherwise(F.col(f"p{x}")) for x in ("b", "g")}
+        out = out.withColumns(p).select("run", "pb", "pg")
+        shorter = out.withColumnRenamed("run", "end")
+    return windows.join(out.select("run", (F.log("pb") - F.log("pg")).alias("ratio")), "run")
+
+
+def _joined(rows: DataFrame, values: DataFrame, key: str, limit: int) -> DataFrame:
+    """``rows`` with the values of their key; ``values`` has a row for each key, with ``rows``, the number of its rows.
+
+    Beyond ``limit`` characters of keys only those are broadcast that more
+    than one in HOT rows have, which are at most HOT; all others are shuffled.
+    """
+    size = values.agg(F.sum(F.length(key) + 16).alias("size"), F.sum("rows").alias("rows")).first()
+    if (size["size"] or 0) <= limit:
+        return rows.join(F.broadcast(values.drop("rows")), key)
+    often = F.col("rows") * HOT > size["rows"]
+    hot = values.where(often).drop("rows")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.where(~often).drop("rows"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def scored(lines: DataFrame, model: Model, limit: int = BROADCAST_CHARS) -> DataFrame:
+    """line, ratio for each character, of stored distinct lines; lines without host and path have the ratio 0.
+
+    Ratios of runs are summed as integers, so that the sum has no order.
+    """
+    each = _windows(lines, "line")
+    runs = stored(_run_ratios(stored(each.groupBy("run").agg(F.count("*").alias("rows")), "wanted"), model), "ratios")
+    total = _joined(each, runs, "run", limit).groupBy("line").agg(F.sum(F.round(F.col("ratio") * SCALE).cast("long")).alias("sum"))
+    return total.select("line", F.when(F.length("line") > ORDER, F.col("sum") / SCALE / (F.length("line") - ORDER + 1)).otherwise(0.0).alias("ratio"))
 
 
 def marked(host: Column, marks: tuple[str, ...] = MARKS) -> Column:
@@ -142,41 +158,33 @@ def learn(urls: DataFrame, url_col: str = "url", marks: tuple[str, ...] = MARKS)
     """Fit both models on nine tenths of the URLs and calibrate the threshold on a bounded sample of the rest."""
     host, path = host_path(F.col(url_col))
     lines = urls.select(_line(host, path).alias("line"), marked(host, marks).alias("bad")).where(F.length("line") > ORDER)
+    lines = stored(lines.groupBy("line", "bad").agg(F.count("*").alias("n")), "lines")  # equal URLs once, with their number
     part = F.pmod(F.xxhash64("line"), F.lit(10))
-    train = lines.where(part > 0).groupBy("line", "bad").agg(F.count("*").alias("n"))  # equal URLs once, with their number
-    ends = F.sequence(F.lit(ORDER), F.length("line"))
-    run = F.explode(F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), F.lit(ORDER)), lambda n: F.substring(F.col("line"), e - n + 1, n))))).alias("run")
-    counts = train.select(run, "bad", "n").groupBy("run").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("g"))
-    counts = counts.where((F.col("b") + F.col("g") >= LEAST) | (F.length("run") == 1)).persist()
-    try:
-        least = LEAST
-        while counts.where((F.col("b") + F.col("g") >= least) | (F.length("run") == 1)).limit(MOST_RUNS + 1).count() > MOST_RUNS:
-            least *= 2
-        rows = counts.where((F.col("b") + F.col("g") >= least) | (F.length("run") == 1)).limit(MOST_RUNS).collect()
-    finally:
-        counts.unpersist()
-    model = Model({r["run"]: (int(r["b"]), int(r["g"])) for r in rows})
-    if not any(b for b, _ in model.runs.values()):
+    model = Model(*_counted(lines.where(part > 0)))
+    if not model.contexts.where((F.col("context") == "") & (F.col("tb") > 0)).head(1):
         return model
     rest = lines.where((part == 0) & ~F.col("bad"))
-    n = rest.count()
+    n = rest.agg(F.sum("n")).first()[0] or 0
     share = F.pmod(F.xxhash64("line", F.lit("calibration")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MOST_CALIBRATION / max(n, 1)))
-    scores = rest.where(share).select(_ratio_column(F.col("line"), model).alias("r"))
-    cut = scores.agg(F.percentile("r", F.lit(1 - WRONGLY_BLOCKED))).first()[0]  # of a bounded sample
-    return Model(model.runs, max(0.0, cut if cut is not None else 0.0))
+    rest = rest.where(share)
+    scores = scored(rest, model).join(rest, "line")
+    cut = scores.agg(F.percentile("ratio", F.lit(1 - WRONGLY_BLOCKED), F.col("n"))).first()[0]  # of a bounded sample
+    return Model(model.runs, model.contexts, max(0.0, cut if cut is not None else 0.0))
 
 
-def judged(urls: DataFrame, model: Model, rules: tuple[UrlRule, ...] = RULES, url_col: str = "url") -> DataFrame:
+def judged(urls: DataFrame, model: Model, rules: tuple[UrlRule, ...] = RULES, url_col: str = "url", limit: int = BROADCAST_CHARS) -> DataFrame:
     """``urls`` with host, path, rule, ratio and verdict."""
     host, path = host_path(F.col(url_col))
-    out = urls.withColumns({"host": host, "path": path})
+    out = urls.drop("ratio").withColumns({"host": host, "path": path})
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    out = out.withColumns({"rule": name, "_ruled": verdict, "ratio": _ratio_column(_line(F.col("host"), F.col("path")), model)})
+    out = out.withColumns({"rule": name, "_ruled": verdict, "_line": _line(F.col("host"), F.col("path"))})
+    lines = stored(out.groupBy(F.col("_line").alias("line")).agg(F.count("*").alias("rows")), "judged")
+    ratios = stored(scored(lines, model, limit).join(lines, "line").withColumnRenamed("line", "_line"), "lines")
+    out = _joined(out, ratios, "_line", limit)
     method = F.when((F.col("ratio") > model.threshold) & (F.col("host") != ""), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("_ruled", method)).drop("_ruled")
+    return out.withColumn("verdict", F.coalesce("_ruled", method)).drop("_ruled", "_line")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 5000)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judged(pages, learn(pages)).select("page_id", "host", "path", "rule", "verdict", "ratio")

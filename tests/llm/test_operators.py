@@ -225,6 +225,51 @@ def test_url_filter(spark):
     assert U.judged(df.limit(0), U.learn(df.limit(0))).count() == 0
 
 
+def _url_counts(lines):
+    """Counts per class of all runs of up to five characters, and of what follows each context."""
+    runs, contexts = [collections.Counter(), collections.Counter()], [{}, {}]
+    for line, bad in lines:
+        for k in range(4, len(line)):
+            for n in range(1, 6):
+                runs[not bad][line[k - n + 1 : k + 1]] += 1
+    for which in (0, 1):
+        for run, n in runs[which].items():
+            contexts[which].setdefault(run[:-1], []).append(n)
+    return runs, contexts
+
+
+def _url_ratio(line, runs, contexts):
+    total = 0.0
+    for k in range(4, len(line)):
+        p = [1 / 64, 1 / 64]
+        for which in (0, 1):
+            for n in range(1, 6):
+                part = line[k - n + 1 : k + 1]
+                seen = contexts[which].get(part[:-1], [])
+                if seen:
+                    p[which] = (runs[which][part] + len(seen) * p[which]) / (sum(seen) + len(seen))
+        total += np.log(p[0]) - np.log(p[1])
+    return total / (len(line) - 4)
+
+
+def test_url_model_keeps_all_runs(spark):
+    """Ratios against brute force on diverse hosts, most of whose runs stand once; the same with and without broadcasts."""
+    from marlstone.llm import url_filter as U
+
+    h = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    urls = [f"http://{h(k)[:9]}{'.casino' if k % 5 == 0 else ''}.com/{h(-k)[:7]}" for k in range(1, 400)] + ["http://common.org/a"] * 50 + [None, "x://Ünï.日本/é"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    host, path = U.host_path(F.col("url"))
+    rows = df.select("page_id", U._line(host, path).alias("line"), U.marked(host).alias("bad")).withColumn("part", F.pmod(F.xxhash64("line"), F.lit(10))).collect()
+    runs, contexts = _url_counts([(r["line"], r["bad"]) for r in rows if r["part"] > 0 and len(r["line"]) > 5])
+    want = {r["page_id"]: _url_ratio(r["line"], runs, contexts) if len(r["line"]) > 5 else 0.0 for r in rows}
+    model = U.learn(df)
+    for limit in (1 << 30, 0):
+        got = {r["page_id"]: r for r in U.judged(df, model, (), limit=limit).collect()}
+        assert set(got) == set(want) and all(abs(got[k]["ratio"] - want[k]) < 1e-8 for k in want)
+        assert all(r["verdict"] == ("block" if r["ratio"] > model.threshold and r["host"] else "allow") for r in got.values())
+
+
 # --- op6 ---------------------------------------------------------------------
 
 BASE = [("assign", re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
