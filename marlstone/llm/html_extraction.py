@@ -4,9 +4,9 @@ Method: a page is read into text nodes, each with its root-to-leaf tag path.
 Per path the length of text, the punctuation and the nodes are aggregated;
 their ratios are smoothed over the nodes in page order, fused, and damped for
 paths through elements that hold menus, adverts, forms and the like.  Paths
-above a threshold select content nodes; the innermost element that holds most
-of their text is the content's root, and all its blocks are the main text,
-but for such elements in it.
+above a threshold select content nodes; the innermost element that holds all
+of them is the content's root, and all its blocks are the main text, but for
+such elements in it.
 
 Defined cases: null and empty pages have an empty text; markup may be broken
 or cut off; repeated rows and null ids give a row each; an empty table gives
@@ -44,7 +44,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 #: Nodes on either side over which ratios are smoothed, and the share of the mean at which a path is content.
-SMOOTH, SHARE, HOLDS = 2, 0.5, 0.6
+SMOOTH, SHARE = 2, 0.5
 
 
 def text_nodes(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, str, bool, bool]]]:
@@ -146,14 +146,14 @@ def main_text(page: str | None) -> str:
         return ""
     weights = np.bincount(of, chars) * (score > 0)
     selected = (score >= SHARE * (score * weights).sum() / max(weights.sum(), 1))[of] & (own > 0)
-    # The innermost element that holds most of the selected text.
+    # The innermost element that holds all of the selected text.
     held = np.zeros(len(elements))
     for (e, _, _), n, s in zip(nodes, chars, selected, strict=True):
         if s:
             held[e] += n
     for e in range(len(elements) - 1, 0, -1):
         held[elements[e][0]] += held[e]
-    root = max((e for e in range(len(elements)) if held[e] >= HOLDS * held[0] and elements[e][1].split(".")[0] not in INLINE | CLOSES_P - {"article", "main", "section", "div"}), default=0)
+    root = max((e for e in range(len(elements)) if held[e] == held[0] and elements[e][1].split(".")[0] not in INLINE | CLOSES_P - {"article", "main", "section", "div"}), default=0)
     while root and not elements[root][3] and inside[root]:  # an article's own root, not a part of it
         root = elements[root][0]
     under = [False] * len(elements)

@@ -143,6 +143,20 @@ def test_main_text_of_pages(spark):
     assert [main_text(x) for x in (None, "", "<p>a<script>x", "plain < text", "<nav>a</nav>")] == ["", "", "a", "plain < text", ""]
 
 
+def test_main_text_in_several_containers():
+    from marlstone.llm.html_extraction import main_text
+
+    a, b = "Long text, of one story. " * 6, "Further text, in another box. " * 4
+    want = " ".join((3 * a + 2 * b).split())  # 65 % of it in the first container
+    two = f"<p>{a}</p>" * 3, f"<p>{b}</p>" * 2
+    menu, foot = "<div class=menu><a>Home</a></div>", "<footer>(c)</footer>"
+    for open_a, close, open_b in (("<div>", "</div>", "<div>"), ("<div class=story>", "</div>", "<div>"), ("<article>", "</article>", "<article>"), ("<section>", "</section>", "<section>")):
+        inner = f"{open_a}{two[0]}{close}{open_b}{two[1]}{close}"
+        if "story" not in open_a:  # a marked element beside an unmarked one outweighs it by intent
+            assert main_text(f"<html><body>{menu}{inner}{foot}</body></html>") == want
+        assert main_text(f"<html><body>{menu}<div id=content>{inner}</div>{foot}</body></html>") == want
+
+
 # --- op3 ---------------------------------------------------------------------
 
 def test_nearest_recall_and_order(spark):
