@@ -638,10 +638,7 @@ def m03_m04_anova(spark, d):
 
 @query()
 def m05_f11_soft_clusters(spark, d):
-    from pyspark.ml.functions import array_to_vector
-
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector(F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))).alias("scaled"))
-    return M.soft_clusters(e, 3).select("id", "prediction", F.round("entropy", 4).alias("entropy"), "boundary")
+    return M.soft_clusters(_vectors(spark, d), 3).select("id", "prediction", F.round("entropy", 4).alias("entropy"), "boundary")
 
 
 @query()

@@ -1,5 +1,8 @@
 """Queries and operators that must take all of their input."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from marlstone.plans.standins import QUERIES, cities, sales
@@ -17,3 +20,35 @@ def test_targets_are_of_all_sales(spark):
 def test_polygons_are_of_all_places(spark):
     inside = QUERIES["j18_point_in_polygon_all"](spark, SF).select("code").distinct().collect()
     assert len({r["code"][-3:] for r in inside}) > 1
+
+
+def _mixture(x, p, rounds=200):
+    """Memberships of a Gaussian mixture with full covariances by brute force, from memberships ``p``."""
+    for _ in range(rounds):
+        logs = []
+        for k in range(p.shape[1]):
+            w = p[:, k]
+            mean = w @ x / w.sum()
+            c = x - mean
+            cov = (c * w[:, None]).T @ c / w.sum()
+            logs.append(math.log(w.mean()) - 0.5 * (np.linalg.slogdet(cov)[1] + np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c)))
+        logs = np.array(logs).T
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+    return p
+
+
+def test_soft_clusters_of_whole_vectors(spark, tmp_path):
+    """Three groups that differ in components after the sixth only."""
+    rng = np.random.default_rng(3)
+    truth = np.arange(900) % 3
+    x = rng.normal(size=(900, 12))
+    x[:, 8] += 14 * (truth == 1)
+    x[:, 11] += 14 * (truth == 2)
+    rows = [(i, int(truth[i]), [float(v) for v in r]) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r for r in QUERIES["m05_f11_soft_clusters"](spark, str(tmp_path)).collect()}
+    p = _mixture((x - x.mean(axis=0)) / x.std(axis=0, ddof=1), np.eye(3)[truth])
+    assert len({(got[i]["prediction"], int(k)) for i, k in enumerate(p.argmax(axis=1))}) == 3
+    entropy = -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1) / math.log(3)
+    assert all(abs(got[i]["entropy"] - e) < 0.02 and got[i]["boundary"] == (e > 0.5) for i, e in enumerate(entropy))
