@@ -35,8 +35,8 @@ ORDER = 5
 BROADCAST_CHARS, HOT = 20_000_000, 1000
 #: Units of a ratio in the sums.
 SCALE = 10_000_000_000
-#: Share of accepted calibration URLs that may be blocked, and the bound of their sample.
-WRONGLY_BLOCKED, MOST_CALIBRATION = 0.002, 50_000
+#: Share of accepted calibration URLs that may be blocked.
+WRONGLY_BLOCKED = 0.002
 #: Alphabet size that unseen characters share.
 ALPHABET = 64
 MARKS = ("spam", "adult", "porn", "xxx", "casino", "bets", "gambling", "pills", "viagra", "ads", "track", "tracker", "warez", "malware", "phishing")
@@ -154,21 +154,52 @@ def marked(host: Column, marks: tuple[str, ...] = MARKS) -> Column:
     return F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(m) for m in marks]))
 
 
+def _quantile(scores: DataFrame, q: float, most: int = 100_000) -> float | None:
+    """Exact percentile of ``ratio``, each ``n`` times, between the two values around its place.
+
+    While the values in question are over ``most`` different ones, they are
+    counted in bins and the bins that hold the two places go on.
+    """
+    scores = stored(scores.groupBy("ratio").agg(F.sum("n").alias("n")), "scores")
+    total = scores.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    at = q * (total - 1)
+    first, last = math.floor(at), math.ceil(at)
+
+    def value(place: int) -> float:
+        rows, before = scores, 0
+        while True:
+            r = rows.agg(F.count("*").alias("k"), F.min("ratio").alias("lo"), F.max("ratio").alias("hi")).first()
+            width = (r["hi"] - r["lo"]) / 1000
+            if r["k"] <= most or r["lo"] + width == r["lo"]:
+                break
+            bins = sorted(rows.groupBy(F.floor((F.col("ratio") - r["lo"]) / width).alias("bin")).agg(F.sum("n").alias("n")).collect())  # at most 1,001
+            for b in bins:
+                if before + b["n"] > place:
+                    rows = rows.where(F.floor((F.col("ratio") - r["lo"]) / width) == b["bin"])
+                    break
+                before += b["n"]
+        for r in rows.orderBy("ratio").toLocalIterator():
+            before += r["n"]
+            if before > place:
+                return r["ratio"]
+
+    low = value(first)
+    return low if first == last else low + (at - first) * (value(last) - low)
+
+
 def learn(urls: DataFrame, url_col: str = "url", marks: tuple[str, ...] = MARKS) -> Model:
-    """Fit both models on nine tenths of the URLs and calibrate the threshold on a bounded sample of the rest."""
+    """Fit the models on all rejected URLs and nine tenths of the accepted ones, and calibrate the threshold on all of the rest."""
     host, path = host_path(F.col(url_col))
     lines = urls.select(_line(host, path).alias("line"), marked(host, marks).alias("bad")).where(F.length("line") > ORDER)
     lines = stored(lines.groupBy("line", "bad").agg(F.count("*").alias("n")), "lines")  # equal URLs once, with their number
-    part = F.pmod(F.xxhash64("line"), F.lit(10))
-    model = Model(*_counted(lines.where(part > 0)))
+    held = (F.pmod(F.xxhash64("line"), F.lit(10)) == 0) & ~F.col("bad")
+    model = Model(*_counted(lines.where(~held)))
     if not model.contexts.where((F.col("context") == "") & (F.col("tb") > 0)).head(1):
         return model
-    rest = lines.where((part == 0) & ~F.col("bad"))
-    n = rest.agg(F.sum("n")).first()[0] or 0
-    share = F.pmod(F.xxhash64("line", F.lit("calibration")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MOST_CALIBRATION / max(n, 1)))
-    rest = rest.where(share)
-    scores = scored(rest, model).join(rest, "line")
-    cut = scores.agg(F.percentile("ratio", F.lit(1 - WRONGLY_BLOCKED), F.col("n"))).first()[0]  # of a bounded sample
+    rest = lines.where(held)
+    cut = _quantile(scored(rest, model).join(rest, "line").select("ratio", "n"), 1 - WRONGLY_BLOCKED)
     return Model(model.runs, model.contexts, max(0.0, cut if cut is not None else 0.0))
 
 

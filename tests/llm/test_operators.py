@@ -275,15 +275,32 @@ def test_url_model_keeps_all_runs(spark):
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
     host, path = U.host_path(F.col("url"))
     rows = df.select("page_id", U._line(host, path).alias("line"), U.marked(host).alias("bad")).withColumn("part", F.pmod(F.xxhash64("line"), F.lit(10))).collect()
-    runs, contexts = _url_counts([(r["line"], r["bad"]) for r in rows if r["part"] > 0 and len(r["line"]) > 5])
+    learned = [r for r in rows if (r["part"] > 0 or r["bad"]) and len(r["line"]) > 5]
+    held = [r for r in rows if r["part"] == 0 and not r["bad"] and len(r["line"]) > 5]
+    assert held and any(r["part"] == 0 for r in learned)
+    runs, contexts = _url_counts([(r["line"], r["bad"]) for r in learned])
     want = {r["page_id"]: _url_ratio(r["line"], runs, contexts) if len(r["line"]) > 5 else 0.0 for r in rows}
     model = U.learn(df)
+    assert abs(model.threshold - max(0.0, np.percentile([want[r["page_id"]] for r in held], 99.8))) < 1e-8
     for limit in (1 << 30, 0):
         got = {r["page_id"]: r for r in U.judged(df, model, (), limit=limit).collect()}
         assert set(got) == set(want) and all(abs(got[k]["ratio"] - want[k]) < 1e-8 for k in want)
         assert all(r["verdict"] == ("block" if r["ratio"] > model.threshold and r["host"] else "allow") for r in got.values())
 
 
+def test_url_threshold_is_of_all_held_out(spark):
+    """Exact quantile of weighted values at any bound of what is gathered at once; beyond 50,000 held-out rows too."""
+    from marlstone.llm import url_filter as U
+
+    values = [((k * 7919) % 2003 / 2003 - 0.5, k % 60 + 1) for k in range(2003)]
+    df = spark.createDataFrame(values, "ratio double, n long")
+    flat = np.repeat([v for v, _ in values], [n for _, n in values])
+    assert len(flat) > 50_000
+    for q in (0.0, 0.5, 0.998, 1.0):
+        assert all(abs(U._quantile(df, q, most) - np.percentile(flat, 100 * q)) < 1e-12 for most in (10, 100_000))
+    assert U._quantile(df.limit(0), 0.5) is None
+
+
 # --- op6 ---------------------------------------------------------------------
 
 BASE = [("assign", re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
