@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stored
+from marlstone.llm.common import discard, stored
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that each end of a link (a, b) can reach.
 
-    Alternates large-star and small-star steps until the edges form stars.  Every step is a grouped minimum and a join on the same key; each
-    round is written to the shared folder.  Links from an id to itself and
+    Alternates large-star and small-star steps until the edges form stars.
+    Every step is a grouped minimum and a join on the same key; each round is
+    written to the shared folder, and the one before it deleted.  Links from an id to itself and
     null ends are ignored.
     """
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -27,7 +28,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = stored(small, "edges")
+        before, edges = edges, stored(small, "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

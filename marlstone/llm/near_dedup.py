@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import broadcast_if_small, small_batches, stored, table
+from marlstone.llm.common import broadcast_if_small, discard, join_counted, scratch, stored, table
 from marlstone.llm.components import components
 from marlstone.llm.hashing import mix, sequence_hashes, word_hashes
 from marlstone.llm.tokens import in_groups
@@ -48,6 +48,8 @@ TREES, BRANCHES, LEVELS = 10, 2, 10
 SMALL_NODE, PIVOTS = 64, 3
 #: Documents and shingles of a node, or of a block of a larger one, that a task holds at a time.
 LARGE_NODE, LARGE_SHINGLES = 4096, 8_000_000
+#: Documents times shingles that a task compares at a time, and pairs of one hub that are confirmed side by side.
+BLOCK_WORK, HUB_PAIRS = 500_000_000, 256
 BINS, TOKENS = 128, 64
 #: Sketch bits that may differ: at 75 % similarity 12.5 % do, with a standard deviation below 3 % of the bits.
 MOST_BITS = 35
@@ -57,11 +59,12 @@ _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 8 + BINS, dtype=np.uint64
 _CUTS = np.array([(k << 64) // BINS for k in range(BINS)], dtype=np.uint64)
 
 
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    if not len(words):
-        return words
-    return np.unique(sequence_hashes(words, min(SHINGLE, len(words))))
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    words, at = word_hashes([t and t.lower() for t in texts])
+    runs = sequence_hashes(words[0], SHINGLE)  # of the texts side by side; those across two texts are not used
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield np.unique(runs[a : b - SHINGLE + 1] if b - a >= SHINGLE else sequence_hashes(words[0, a:b], max(b - a, 1)))
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
@@ -94,11 +97,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         weights = _U(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
             ids = batch.column(0)
-            for first, texts in in_groups([t and t.lower() for t in batch.column(1).to_pylist()]):
-                words, at = word_hashes(texts)
+            for first, texts in in_groups(batch.column(1).to_pylist()):
                 n, f, s, tokens = [], [], [], []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    u = shingle_set(words[a:b])
+                for u in shingle_sets(texts):
                     n.append(len(u))
                     if not len(u):
                         f.append((0, 0)), s.append((0, 0)), tokens.append(None)
@@ -121,9 +122,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_col
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            for first, texts in in_groups([t and t.lower() for t in batch.column(1).to_pylist()]):
-                words, at = word_hashes(texts)
-                found = [shingle_set(words[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            for first, texts in in_groups(batch.column(1).to_pylist()):
+                found = [u.tobytes() for u in shingle_sets(texts)]
                 yield pa.RecordBatch.from_arrays([keys.slice(first, len(texts)), pa.array(found, pa.binary())], ["id", "shingles"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -131,7 +131,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_col
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of stored ``pairs`` (a, b) whose full sets have the similarity."""
+    """a, b of those of stored ``pairs`` (hub, other) whose full sets have the similarity.
+
+    A hub of many pairs, such as a pivot, stands once for each HUB_PAIRS of
+    them, so that they are spread over tasks.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +146,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
                 keep.append(both * 100 >= percent * (len(x) + len(y) - both) and both > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.explode(F.array("hub", "other")).alias("id")).distinct()
     full = full_sets(docs, ids, 2 * pairs.count(), id_col, text_col)
-    left = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    hubs = stored(pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / HUB_PAIRS).cast("int")), "hubs")
+    part = F.pmod(F.xxhash64("other", F.lit("part")), F.col("parts")).cast("int").alias("part")
+    placed = join_counted(pairs, hubs, ["hub"]).select("hub", "other", part).join(full.select(F.col("id").alias("other"), F.col("shingles").alias("y")), "other")
+    parts = full.join(hubs.withColumnRenamed("hub", "id"), "id").select(F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("x"))
+    both = placed.join(parts, ["hub", "part"]).select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"), "x", "y")
     return both.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -187,8 +194,9 @@ def joining_links(sets: list[np.ndarray], c: list[int], percent: int, split: int
 def linked_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: links that join components within the nodes of (node, id, c, n, shingles).
 
-    A node stands in blocks of at most LARGE_NODE documents; each pair of its
-    blocks is one group.
+    A node stands in blocks, so many that a pair of them, which is one group,
+    stays within LARGE_NODE documents, LARGE_SHINGLES shingles and BLOCK_WORK
+    of the one times the other.
     """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +206,7 @@ def linked_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
         ids = group["id"].to_numpy()
         return pd.DataFrame({"a": [min(ids[x], ids[y]) for x, y in found], "b": [max(ids[x], ids[y]) for x, y in found]}, dtype="int64")
 
-    blocks = F.greatest(F.ceil(F.col("n") / LARGE_NODE), F.ceil(F.col("all_shingles") / LARGE_SHINGLES)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / LARGE_NODE), F.ceil(F.col("all_shingles") / LARGE_SHINGLES), F.ceil(F.sqrt(F.col("n") * F.col("all_shingles") / BLOCK_WORK))).cast("int")
     placed = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id", F.lit("block")), blocks)})
     # Block x meets the blocks from x on: its rows are side 0 of pairs (x, y) and side 1 of pairs (w, x).
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("block", y).alias("x"), F.greatest("block", y).alias("y"), (y < F.col("block")).cast("int").alias("side")))
@@ -219,66 +227,13 @@ def _with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row of ``docs``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    signed = stored(signatures(docs, id_col, text_col), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-    first = signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "f0", "f1", "n_shingles", "tokens")
-    members = stored(first.join(classes, ["id", "f0", "f1", "n_shingles"]).dropDuplicates(["id", "f0", "f1", "n_shingles"]).select("id", "s0", "s1", F.col("n_shingles").alias("m"), "tokens"), "classes")
-    labels = None
-
-    def settle(pairs: DataFrame, more: DataFrame | None = None) -> None:
-        """Confirm candidate pairs, add links that need it no more, and bring the components up to date."""
-        nonlocal labels
-        pairs = stored(pairs, "pairs")
-        found = None if pairs.isEmpty() else confirmed(pairs, docs, percent, id_col, text_col)
-        found = more if found is None else found if more is None else found.union(more)
-        if found is None:
-            return
+    with scratch(docs.sparkSession) as keep:
+        signed = keep(stored(signatures(docs, id_col, text_col), "signatures"))
+        classes = keep(stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("id")), "classes"))
+        labels = _joined_classes(signed, classes, docs, percent, id_col, text_col)
         if labels is not None:
-            for side in ("a", "b"):
-                found = found.join(labels.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-        new = components(found)
-        if labels is not None:
-            new = labels.select("id", F.col("component").alias("old")).join(new.select(F.col("id").alias("old"), F.col("component").alias("c")), "old", "left").select("id", F.coalesce("c", "old").alias("component")).union(new).distinct()
-        labels = stored(new, "labels")
-
-    # First level: a coordinate for each tree.
-    live = members.select("id", "s0", "s1", "m", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "t")).select(F.xxhash64("k", "t").alias("node"), "id", "s0", "s1", "m")
-    for level in range(1, LEVELS + 1):
-        pivot = [F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("r"), F.col("id").alias("pid"), F.col("s0").alias("ps0"), F.col("s1").alias("ps1"))) for k in range(PIVOTS)]
-        nodes = live.groupBy("node").agg(F.count("*").alias("n"), F.sum("m").alias("all_shingles"), F.array_distinct(F.array(*pivot)).alias("pivots")).where("n > 1")
-        live = stored(live.join(nodes, "node"), "nodes")
-        star = live.select("id", "s0", "s1", F.explode("pivots").alias("p")).select("id", "s0", "s1", "p.*").where((F.col("id") != F.col("pid")) & _near("", "p"))
-        settle(star.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct())
-        live = _with_component(live.where("n > 2").drop("pivots"), labels)
-        mixed = live.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("node")
-        live = stored(live.join(mixed, "node"), "mixed")
-        small = live.where(F.col("n") <= SMALL_NODE).groupBy("node").agg(F.collect_list(F.struct("c", "id", "s0", "s1")).alias("m"))  # at most SMALL_NODE of a node
-
-        def others(x):
-            return F.filter("m", lambda y: (y.c > x.c) & (F.bit_count(y.s0.bitwiseXOR(x.s0)) + F.bit_count(y.s1.bitwiseXOR(x.s1)) <= MOST_BITS))
-
-        def links(x):
-            return F.transform(others(x), lambda y: F.struct(F.least(x.id, y.id).alias("a"), F.greatest(x.id, y.id).alias("b")))
-
-        pairs = small.select(F.explode(F.flatten(F.transform("m", links))).alias("e")).select("e.*").distinct()
-        held = (F.col("n") <= LARGE_NODE) & (F.col("all_shingles") <= LARGE_SHINGLES) if level < LEVELS else F.lit(True)
-        large, joined = live.where((F.col("n") > SMALL_NODE) & held), None
-        if not large.isEmpty():
-            ids = stored(large.select("id").distinct(), "ids")
-            joined = stored(linked_in_blocks(large.join(full_sets(docs, ids, ids.count(), id_col, text_col), "id"), percent), "links")
-        settle(pairs, joined)
-        rest = live.where((F.col("n") > SMALL_NODE) & ~held)
-        if rest.isEmpty():
-            break
-        # Branch: children of a node take coordinates chosen by the node.
-        rest = _with_component(rest.select("node", "id", "s0", "s1", "m"), labels)
-        mixed = rest.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("node")
-        grown = rest.join(mixed, "node").join(members.select("id", "tokens"), "id")
-        child = F.explode(F.array(*[F.xxhash64("node", F.lit(b), F.get("tokens", F.pmod(F.xxhash64("node", F.lit(b), F.lit("coordinate")), F.lit(TOKENS)).cast("int"))) for b in range(BRANCHES)])).alias("node")
-        live = grown.select(child, "id", "s0", "s1", "m").distinct()
-    out = signed.select("doc_id", "n_shingles", "f0", "f1").join(classes.select("f0", "f1", "n_shingles", "id"), ["f0", "f1", "n_shingles"], "left")
+            keep(labels)
+    out = signed.select("doc_id", "n_shingles", "f0", "f1").join(classes, ["f0", "f1", "n_shingles"], "left")
     if labels is None:
         found = out.withColumn("component_id", F.coalesce("id", "doc_id"))
     else:
@@ -288,5 +243,75 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _mixed(live: DataFrame) -> DataFrame:
+    """The rows of stored ``live`` whose node holds several components."""
+    mixed = live.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("node", "rows")
+    return join_counted(live, stored(mixed, "mixed"), ["node"], "rows").drop("rows")
+
+
+def _joined_classes(signed: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame | None:
+    """(id, component) of the classes that are linked with others; stored."""
+    first = signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "f0", "f1", "n_shingles", "s0", "s1", "tokens")
+    members = stored(first.join(classes, ["id", "f0", "f1", "n_shingles"]).dropDuplicates(["id", "f0", "f1", "n_shingles"]).select("id", "s0", "s1", F.col("n_shingles").alias("m"), "tokens"), "members")
+    labels = None
+
+    def settle(keep, pairs: DataFrame, more: DataFrame | None = None) -> None:
+        """Confirm candidate pairs, add links that need it no more, and bring the components up to date."""
+        nonlocal labels
+        with scratch(docs.sparkSession) as own:
+            # A pair that was found both ways is confirmed once.
+            ends = [F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")]
+            pairs = stored(pairs.groupBy(*ends).agg(F.min("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other")), "pairs")
+            found = None if pairs.isEmpty() else confirmed(pairs, docs, percent, id_col, text_col)
+            found = more if found is None else found if more is None else found.union(more)
+            if found is None:
+                return
+            if labels is not None:
+                for side in ("a", "b"):
+                    found = found.join(labels.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+            new = components(found)
+            if labels is not None:
+                new = labels.select("id", F.col("component").alias("old")).join(new.select(F.col("id").alias("old"), F.col("component").alias("c")), "old", "left").select("id", F.coalesce("c", "old").alias("component")).union(new).distinct()
+            old, labels = labels, keep(own(stored(new, "labels")))
+        if old is not None:
+            discard(old)
+
+    # First level: a coordinate for each tree.
+    live = members.select("id", "s0", "s1", "m", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "t")).select(F.xxhash64("k", "t").alias("node"), "id", "s0", "s1", "m")
+    for level in range(1, LEVELS + 1):
+        with scratch(docs.sparkSession) as keep:
+            pivot = [F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("r"), F.col("id").alias("pid"), F.col("s0").alias("ps0"), F.col("s1").alias("ps1"))) for k in range(PIVOTS)]
+            nodes = live.groupBy("node").agg(F.count("*").alias("n"), F.sum("m").alias("all_shingles"), F.array_distinct(F.array(*pivot)).alias("pivots")).where("n > 1")
+            live = stored(join_counted(live, stored(nodes, "nodes"), ["node"]), "live")
+            star = live.select("id", "s0", "s1", F.explode("pivots").alias("p")).select("id", "s0", "s1", "p.*").where((F.col("id") != F.col("pid")) & _near("", "p"))
+            settle(keep, star.select(F.col("pid").alias("hub"), F.col("id").alias("other")))
+            live = stored(_with_component(live.where("n > 2").drop("pivots"), labels), "labelled")
+            live = stored(_mixed(live), "live")
+            small = live.where(F.col("n") <= SMALL_NODE).groupBy("node").agg(F.collect_list(F.struct("c", "id", "s0", "s1")).alias("m"))  # at most SMALL_NODE of a node
+
+            def others(x):
+                return F.filter("m", lambda y: (y.c > x.c) & (F.bit_count(y.s0.bitwiseXOR(x.s0)) + F.bit_count(y.s1.bitwiseXOR(x.s1)) <= MOST_BITS))
+
+            def links(x):
+                return F.transform(others(x), lambda y: F.struct(x.id.alias("hub"), y.id.alias("other")))
+
+            pairs = small.select(F.explode(F.flatten(F.transform("m", links))).alias("e")).select("e.*")
+            held = (F.col("n") <= LARGE_NODE) & (F.col("all_shingles") <= LARGE_SHINGLES) if level < LEVELS else F.lit(True)
+            large, joined = live.where((F.col("n") > SMALL_NODE) & held), None
+            if not large.isEmpty():
+                ids = stored(large.select("id").distinct(), "ids")
+                joined = stored(linked_in_blocks(large.join(full_sets(docs, ids, ids.count(), id_col, text_col), "id"), percent), "links")
+            settle(keep, pairs, joined)
+            rest = live.where((F.col("n") > SMALL_NODE) & ~held)
+            if rest.isEmpty():
+                break
+            # Branch: children of a node take coordinates chosen by the node.
+            rest = stored(_with_component(rest.select("node", "id", "s0", "s1", "m"), labels), "rest")
+            grown = _mixed(rest).join(members.select("id", "tokens"), "id")
+            child = F.explode(F.array(*[F.xxhash64("node", F.lit(b), F.get("tokens", F.pmod(F.xxhash64("node", F.lit(b), F.lit("coordinate")), F.lit(TOKENS)).cast("int"))) for b in range(BRANCHES)])).alias("node")
+            live = keep(stored(grown.select(child, "id", "s0", "s1", "m").distinct(), "children"))
+    return labels
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))

@@ -139,25 +139,30 @@ def as_text(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, by_path: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each found span replaced; n_chars follows, where there is such a column."""
-    hits = stored(by_path.where(F.size("spans") > 0).select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), "spans").dropDuplicates(["_path", "_blob"]), "hits")
+    """``docs`` with each found span replaced; n_chars follows, where there is such a column.
+
+    The columns of ``docs`` may have any names: they travel in a struct.
+    """
+    hits = stored(by_path.where(F.size("spans") > 0).select("path", "blob", "spans").dropDuplicates(["path", "blob"]), "hits")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col("doc")[text_col]
     # Spans may overlap: each piece starts where all spans before it have ended.
-    start = {"at": F.lit(1).cast("long"), "out": F.lit("")}
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("out"))
     done = F.aggregate(
         "spans",
-        F.struct(*[v.alias(k) for k, v in start.items()]),
+        start,
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"] + 1).alias("at"),
-            F.when(s["start"] + 1 < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text_col), acc["at"].cast("int"), (s["start"] + 1 - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
+            F.when(s["start"] + 1 < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"].cast("int"), (s["start"] + 1 - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
         ),
     )
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.concat(done["out"], F.substring(F.col(text_col), done["at"].cast("int"), F.lit(2147483647))))
-    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    joined = docs.join(broadcast_if_small(hits, hits.count()), F.col(id_col).eqNullSafe(F.col("_path")) & (blob == F.col("_blob")), "left")
-    changed = F.col("spans").isNotNull()
-    out = joined.withColumn("_new", text)
-    columns = [F.col("_new").alias(c) if c == text_col else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    blob = F.sha2(F.coalesce(text, F.lit("")), 256)
+    joined = rows.join(broadcast_if_small(hits, hits.count()), F.col("doc")[id_col].eqNullSafe(F.col("path")) & (blob == F.col("blob")), "left")
+    found = F.col("spans").isNotNull()
+    new = F.when(found, F.concat(done["out"], F.substring(text, done["at"].cast("int"), F.lit(2147483647)))).otherwise(text)
+    out = joined.select("doc", found.alias("found"), new.alias("new"))
+    length = F.when(F.col("found"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc")["n_chars"]) if "n_chars" in docs.columns else None
+    return out.select(*[F.col("new").alias(c) if c == text_col else length.alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import small_batches, table
+from marlstone.llm.common import scratch, stored, table
 
 MAX_TRAIN = 20_000
 #: A learned term occurs in at least so many groups of toxic texts, at such a likelihood ratio, with such a share of toxic ones and such log odds.
@@ -139,8 +139,13 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, id_col:
 
 def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Lexicon and curve from a bounded sample (text, toxic)."""
+    with scratch(sample.sparkSession):
+        return _learned(stored(sample, "sample"), exceptions)
+
+
+def _learned(sample: DataFrame, exceptions: tuple[str, ...]) -> Model:
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, 200) for b in batches for a in range(0, b.num_rows, 200)):
             out: dict[tuple[str, int, int], None] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = {w for w in fold(text).split() if len(w) >= 3}
@@ -154,48 +159,44 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
             t, g, x = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(g, pa.int64()), pa.array(x, pa.int32())], ["term", "group", "toxic"])
 
-    sample = sample.persist()
-    try:
-        rows = sample.mapInArrow(terms_of, "term string, group long, toxic int").distinct()
-        counts = rows.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where((F.col("t") >= LEAST_GROUPS) & (F.col("t") >= LEAST_SHARE * (F.col("t") + F.col("c"))))
-        totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-        nt, nc = totals.get(1, 0), totals.get(0, 0)
-        if not nt or not nc:
-            return Model({fold(w).strip(): START_WEIGHT for w in INSULTS}, exceptions, START_CURVE)
-
-        def entropy(*parts: float) -> float:
-            return sum(p * np.log(p) for p in parts if p > 0)
-
-        found: dict[str, float] = {}
-        ranked, sure = [], []
-        for r in counts.collect():  # bounded by the sample
-            t, c = r["t"], r["c"]
-            g2 = 2 * (entropy(t, c, max(nt - t, 0), max(nc - c, 0)) - entropy(t + c, nt + nc - t - c) - entropy(nt, nc) + entropy(nt + nc))
-            weight = math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))
-            if g2 >= LEAST_G2 and weight >= LEAST_WEIGHT:
-                ranked.append((-round(g2, 6), -len(r["term"]), r["term"], weight, t))
-                if not c:
-                    sure.append(weight)
-        told: dict[str, int] = {}
-        for _, _, term, weight, t in sorted(ranked):  # of a word and its beginnings the most telling, and the longest of equals
-            shorter = any(term[:n] in found and found[term[:n]] >= weight - 1 for n in range(3, len(term)))
-            if not shorter and not any(x.startswith(term) and n >= 0.9 * t for x, n in told.items()):
-                found[term], told[term] = weight, t
-        for w in INSULTS:  # those not met weigh as much as a typical term that no clean text has
-            w = fold(w).strip()
-            if not any(w[:n] in found for n in range(3, len(w) + 1)):
-                found[w] = max(START_WEIGHT, float(np.median(sure)) if sure else 0.0)
-        model = Model(found, exceptions, START_CURVE)
-
-        def measured(series: pd.Series) -> pd.DataFrame:
-            automaton = model.automaton()
-            return pd.DataFrame([measure(t, automaton) for t in series], columns=names)
-
-        names = [f"x{k}" for k in range(FEATURES)]
-        udf = F.pandas_udf(measured, ", ".join(f"{n} double" for n in names))
-        points = sample.select(udf("text").alias("x"), "toxic").select("x.*", "toxic").toPandas()  # bounded by the sample
-    finally:
-        sample.unpersist()
+    rows = sample.mapInArrow(terms_of, "term string, group long, toxic int").distinct()
+    counts = rows.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where((F.col("t") >= LEAST_GROUPS) & (F.col("t") >= LEAST_SHARE * (F.col("t") + F.col("c"))))
+    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    nt, nc = totals.get(1, 0), totals.get(0, 0)
+    if not nt or not nc:
+        return Model({fold(w).strip(): START_WEIGHT for w in INSULTS}, exceptions, START_CURVE)
+
+    def entropy(*parts: float) -> float:
+        return sum(p * np.log(p) for p in parts if p > 0)
+
+    found: dict[str, float] = {}
+    ranked, sure = [], []
+    for r in counts.collect():  # bounded by the sample
+        t, c = r["t"], r["c"]
+        g2 = 2 * (entropy(t, c, max(nt - t, 0), max(nc - c, 0)) - entropy(t + c, nt + nc - t - c) - entropy(nt, nc) + entropy(nt + nc))
+        weight = math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))
+        if g2 >= LEAST_G2 and weight >= LEAST_WEIGHT:
+            ranked.append((-round(g2, 6), -len(r["term"]), r["term"], weight, t))
+            if not c:
+                sure.append(weight)
+    told: dict[str, int] = {}
+    for _, _, term, weight, t in sorted(ranked):  # of a word and its beginnings the most telling, and the longest of equals
+        shorter = any(term[:n] in found and found[term[:n]] >= weight - 1 for n in range(3, len(term)))
+        if not shorter and not any(x.startswith(term) and n >= 0.9 * t for x, n in told.items()):
+            found[term], told[term] = weight, t
+    for w in INSULTS:  # those not met weigh as much as a typical term that no clean text has
+        w = fold(w).strip()
+        if not any(w[:n] in found for n in range(3, len(w) + 1)):
+            found[w] = max(START_WEIGHT, float(np.median(sure)) if sure else 0.0)
+    model = Model(found, exceptions, START_CURVE)
+
+    def measured(series: pd.Series) -> pd.DataFrame:
+        automaton = model.automaton()
+        return pd.DataFrame([measure(t, automaton) for t in series], columns=names)
+
+    names = [f"x{k}" for k in range(FEATURES)]
+    udf = F.pandas_udf(measured, ", ".join(f"{n} double" for n in names))
+    points = sample.select(udf("text").alias("x"), "toxic").select("x.*", "toxic").toPandas()  # bounded by the sample
     x = np.column_stack([np.ones(len(points)), points[names].to_numpy()])
     y, beta = points["toxic"].to_numpy(dtype=float), np.zeros(FEATURES + 1)
     for _ in range(50):  # Newton steps of a ridge logistic regression
@@ -226,7 +227,6 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = fitted(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(F.col("text"), model).alias("score"))

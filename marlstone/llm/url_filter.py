@@ -7,8 +7,12 @@ with a threshold calibrated on URLs that neither model has seen.  A rule for
 the URL's host and path decides before the models do; of several that fit the
 longest wins.
 
-Rejected are URLs whose host names one of the given marks (whole labels of
-the host, cut at dots and hyphens); all others are accepted.  All character
+No table judges URLs or hosts, and the text of a page that spam links to need
+not differ from others, so the models start from marks: rejected are URLs
+whose host names one of the given marks (whole labels of the host, cut at dots
+and hyphens); all others are accepted.  The models judge every URL by its
+characters, with a mark or without: a host that runs a mark together with
+other letters is rejected like those that it resembles.  All character
 runs of the learned URLs are counted and kept as a stored table.  URLs are
 scored on Spark: each distinct host and path is exploded to its runs, the
 runs' ratios come from joins with the counts, and are summed for each line.
@@ -27,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stored, table
+from marlstone.llm.common import scratch, stored, table
 
 #: Characters of the longest run, context and all.
 ORDER = 5
@@ -191,6 +195,13 @@ def _quantile(scores: DataFrame, q: float, most: int = 100_000) -> float | None:
 
 def learn(urls: DataFrame, url_col: str = "url", marks: tuple[str, ...] = MARKS) -> Model:
     """Fit the models on all rejected URLs and nine tenths of the accepted ones, and calibrate the threshold on all of the rest."""
+    with scratch(urls.sparkSession) as keep:
+        model = _learned(urls, url_col, marks)
+        keep(model.runs), keep(model.contexts)
+        return model
+
+
+def _learned(urls: DataFrame, url_col: str, marks: tuple[str, ...]) -> Model:
     host, path = host_path(F.col(url_col))
     lines = urls.select(_line(host, path).alias("line"), marked(host, marks).alias("bad")).where(F.length("line") > ORDER)
     lines = stored(lines.groupBy("line", "bad").agg(F.count("*").alias("n")), "lines")  # equal URLs once, with their number
@@ -204,16 +215,18 @@ def learn(urls: DataFrame, url_col: str = "url", marks: tuple[str, ...] = MARKS)
 
 
 def judged(urls: DataFrame, model: Model, rules: tuple[UrlRule, ...] = RULES, url_col: str = "url", limit: int = BROADCAST_CHARS) -> DataFrame:
-    """``urls`` with host, path, rule, ratio and verdict."""
-    host, path = host_path(F.col(url_col))
-    out = urls.drop("ratio").withColumns({"host": host, "path": path})
+    """``urls`` with host, path, rule, ratio and verdict, in place of columns of these names."""
+    host, path = host_path(F.col(f"u.{url_col}"))
+    rest = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "ratio", "verdict")]
+    out = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("u")).select("u", host.alias("host"), path.alias("path"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    out = out.withColumns({"rule": name, "_ruled": verdict, "_line": _line(F.col("host"), F.col("path"))})
-    lines = stored(out.groupBy(F.col("_line").alias("line")).agg(F.count("*").alias("rows")), "judged")
-    ratios = stored(scored(lines, model, limit).join(lines, "line").withColumnRenamed("line", "_line"), "lines")
-    out = _joined(out, ratios, "_line", limit)
+    out = out.select("u", "host", "path", name.alias("rule"), verdict.alias("ruled"), _line(F.col("host"), F.col("path")).alias("line"))
+    with scratch(urls.sparkSession) as keep:
+        lines = stored(out.groupBy("line").agg(F.count("*").alias("rows")), "judged")
+        ratios = keep(stored(scored(lines, model, limit).join(lines, "line"), "lines"))
+        out = _joined(out, ratios, "line", limit)
     method = F.when((F.col("ratio") > model.threshold) & (F.col("host") != ""), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("_ruled", method)).drop("_ruled", "_line")
+    return out.select(*[F.col("u")[c].alias(c) for c in rest], "host", "path", "rule", "ratio", F.coalesce("ruled", method).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

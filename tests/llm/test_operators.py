@@ -157,6 +157,66 @@ def test_main_text_in_several_containers():
         assert main_text(f"<html><body>{menu}<div id=content>{inner}</div>{foot}</body></html>") == want
 
 
+PARAGRAPH = "<p>" + "Long text, of one story. " * 6 + "</p>"
+
+
+def _around(piece):
+    return f"<html><body><div class=menu><a>Home</a></div><article>{PARAGRAPH}{piece}{PARAGRAPH}</article><footer>(c)</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "piece, kept",
+    [
+        ('<p title="the hidden truth">Kept one</p>', "Kept one"), ('<p data-x="was hidden">Kept</p>', "Kept"), ('<p data-x="a > b" id=x>Kept</p>', "Kept"), ('<h2 id="search-for-life">Search</h2>', "Search"), ('<h2 id="notice-to-readers">N</h2>', "N"),
+        ('<section id="social-science">S text</section>', "S text"), ('<p class="form">F</p>', "F"), ("<math><mi>x</mi><mo>=</mo></math>", "x="), ('<div class="article-header"><h1>Head</h1></div>', "Head"), ("<div class=caption>Cap</div>", "Cap"),
+        ("<div><div><div>Deep</div></div></div>", "Deep"), ("<table><tr><td>x<td>y</table>", "x y"), ("<div><h2>H</h2><ul><li>q</ul></div>", "H q"), ("a<!-- b -->c<![CDATA[d]]>e", "ace"), ("<p>x <a href=y>link</a> z</p>", "x link z"),
+        ('<div class="article-comments"><p>Nice, very nice. Long comment here, really.</p></div>', ""), ('<div class="post-comments">Nice</div>', ""), ('<div class="entry-share">Share it</div>', ""), ('<div class="content-sidebar">side</div>', ""),
+        ("<p hidden>no</p>", ""), ("<div role=navigation>no</div>", ""), ("<p class=advert>Buy</p>", ""), ('<div class="postComments">Nice</div>', ""), ("<noscript>no</noscript><svg><text>no</text></svg>", ""),
+    ],
+)
+def test_what_stands_in_an_article(piece, kept):
+    from marlstone.llm.html_extraction import main_text
+
+    p = "Long text, of one story. " * 6
+    assert main_text(_around(piece)) == " ".join(f"{p} {kept} {p}".split())
+
+
+def test_main_text_without_marks():
+    """No article, no telling names: the ratios of the paths alone decide, and many comments don't outweigh the text."""
+    from marlstone.llm.html_extraction import main_text
+
+    p = " ".join(("Long text, of one story. " * 6).split())
+    for more in ("", f"<div class=comments>{PARAGRAPH * 30}</div>", "<ul>" + "<li><a>Link</a></li>" * 20 + "</ul>"):
+        page = f"<html><body><div class=top-nav><a>x</a></div><div class=x9><h1>Heading</h1><div class=y>{PARAGRAPH * 4}</div></div>{more}<div>&copy; 2020 Co</div></body></html>"
+        assert main_text(page) == " ".join(["Heading", *[p] * 4])
+
+
+@pytest.mark.parametrize("part", ["<a ", "<", "<div>", "<p><b>", '<a href="x', "<!--", "<li>", "<script>", "<table><tr><td>", "</b>", "<div a='", "<b x=1>", "&amp"])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    from marlstone.llm.html_extraction import main_text
+
+    took = []
+    for size in (100_000, 400_000):
+        start = time.process_time()
+        main_text(part * (size // len(part)))
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.3
+
+
+def test_extraction_of_odd_tables(spark):
+    from marlstone.llm.html_extraction import extracted
+
+    long_page = _around("<p>" + "word, " * 200_000 + "</p>")
+    rows = [(1, None), (1, None), (None, ""), (2, "<div>" * 5000 + "<p>deep, deep text.</p>"), (3, long_page), (3, long_page)]
+    df = spark.createDataFrame([(k, h, "t", 1, "b") for k, h in rows], "page_id long, html string, text string, n_chars int, block string")
+    got = df.select("page_id", "text", extracted(F.col("html")).alias("main")).collect()
+    assert [(r["page_id"], r["text"], len(r["main"])) for r in got][:4] == [(1, "t", 0), (1, "t", 0), (None, "t", 0), (2, "t", 16)]
+    assert len({r["main"] for r in got[4:]}) == 1 and got[4]["main"].count("word,") == 200_000
+    assert df.limit(0).select(extracted(F.col("html"))).count() == 0
+
+
 # --- op3 ---------------------------------------------------------------------
 
 def test_nearest_recall_and_order(spark):
@@ -184,6 +244,73 @@ def test_nearest_recall_and_order(spark):
     assert nearest(few.limit(0), 20, F.col("id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_each_length_and_in_double(spark):
+    """One stray longer vector leaves all others alone, and scores are of the vectors as the table holds them."""
+    from marlstone.llm.nearest import nearest
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(k, [float(c) for c in v], "s", 1) for k, v in enumerate(x)] + [(100, [1.0] * 5, "s", 1), (120, [2.0] * 5, "s", 1), (140, [3.0] * 7, "s", 1)], "vec_id long, embedding array<double>, shard string, rank int")
+    got = collections.defaultdict(list)
+    for r in nearest(df, 20, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert sorted(got) == [0, 20, 40, 100, 120]
+    for q in (0, 20, 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [v for v, _ in got[q]] == np.lexsort((np.arange(60), -s))[:20].tolist()
+        assert all(abs(s[v] - score) < 1e-12 for v, score in got[q])
+    assert got[100] == [(120, 10.0)] and got[120] == [(100, 10.0)]
+
+
+@pytest.mark.parametrize("n", [2_000, 12_000])
+def test_recall_at_two_sizes(spark, n):
+    from marlstone.llm.nearest import nearest
+
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(40, 32))
+    x = (centres[rng.integers(0, 40, n)] + 0.5 * rng.normal(size=(n, 32))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    hit = 0
+    found = collections.defaultdict(set)
+    for r in nearest(df, 20, F.col("id") % 20 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    for q, vs in found.items():
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(vs & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert len(found) == n // 20 and hit >= 0.9 * 20 * len(found)
+
+
+def test_what_a_query_sends_does_not_grow_with_the_lists():
+    """A query goes to a shard once, with the probed lists of that shard alone."""
+    import pyarrow as pa
+
+    from marlstone.llm import nearest as N
+
+    rng = np.random.default_rng(6)
+    for lists in (50, 800):
+        centroids = rng.normal(size=(lists, 8)).astype(np.float32)
+        index = N.Index(centroids, np.zeros((1, 256, 8), np.float32), *N._dealt(dict.fromkeys(range(lists), 1000), centroids, 8192))
+        sent = []
+
+        class Query:
+            schema = {"v": type("T", (), {"dataType": type("D", (), {"simpleString": lambda self: "array<float>"})()})()}
+
+            def select(self, *_):
+                return self
+
+            def mapInArrow(self, f, _):
+                batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(list(rng.normal(size=(20, 8)).astype(np.float32)), pa.list_(pa.float32()))], ["id", "v"])
+                for b in f(iter([batch])):
+                    sent.extend(b.to_pylist())
+
+        N._asked(Query(), index, 10)
+        assert len(sent) <= 20 * 10 and sum(len(r["lists"]) for r in sent) == 20 * 10
+        assert len({(r["query"], r["shard"]) for r in sent}) == len(sent)
+
+
 # --- op4 ---------------------------------------------------------------------
 
 def test_toxicity(spark):
@@ -208,6 +335,45 @@ def test_toxicity(spark):
     assert X.fitted(docs_of(spark, []), labels.limit(0)).terms["idiot"] == X.START_WEIGHT
 
 
+def test_automaton_equals_plain_search(spark):
+    """Hits and weights against a search of every term at every word start, exception phrases and all."""
+    from marlstone.llm import toxicity as X
+
+    rng = np.random.default_rng(8)
+    m = X.Model({"idiot": 3.0, "idio": 1.0, "trash": 2.5, "trash talk": 4.0, "can": 0.5, "clown": 1.5}, X.EXCEPTIONS, X.START_CURVE)
+    words = ["idiot", "IDI0T", "trash", "can", "trashcan", "clown", "circus", "talk", "show", "plain", "text", "tr@sh", "fish", "clownfish", "\u0441lown"]
+    safe_phrases = [X.fold(t).strip() for t in X.EXCEPTIONS]
+    for _ in range(300):
+        text = " ".join(rng.choice(words, rng.integers(0, 12)))
+        folded = X.fold(text)
+        begins = [k + 1 for k in range(len(folded)) if folded[k] == " "]
+        safe = [(k, k + len(t)) for k in begins for t in safe_phrases if folded.startswith(t, k)]
+        best = {}
+        for k in begins:
+            for t, w in m.terms.items():
+                if folded.startswith(t, k) and not any(a <= k and k + len(t) <= b for a, b in safe):
+                    best[k] = max(w, best.get(k, 0.0))
+        total, n = sum(best.values()), max(1.0, len(folded) / 6)
+        want = np.log1p(total), np.log1p(total * 10 / np.sqrt(n)), np.log1p(total * 1000 / n), max(best.values(), default=0.0), np.log1p(len(best))
+        assert np.allclose(X.measure(text, m.automaton()), want)
+    df = spark.createDataFrame([(w,) for w in words], "text string")
+    for r in df.select("text", X.toxicity(F.col("text"), m).alias("s")).collect():
+        assert r["s"] == pytest.approx(1 / (1 + np.exp(-np.dot(m.curve, (1.0, *X.measure(r["text"], m.automaton()))))))
+    assert df.limit(0).select(X.toxicity(F.col("text"), m)).count() == 0
+
+
+def test_clean_documents_are_left_alone(spark):
+    """Of the clean documents that were not learned from, hardly any is flagged; most toxic ones are."""
+    from marlstone.llm import toxicity as X
+
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in X.op4_toxicity(spark, sf).collect() if r["doc_id"] in labels]
+    held = [r for r in rows if r["held_out"]]
+    clean, toxic = [r["predicted"] for r in held if not labels[r["doc_id"]]], [r["predicted"] for r in held if labels[r["doc_id"]]]
+    assert len(clean) > 500 and sum(clean) <= 0.01 * len(clean) and sum(toxic) >= 0.85 * len(toxic)
+
+
 # --- op5 ---------------------------------------------------------------------
 
 def _judge(url, rules):
@@ -239,6 +405,21 @@ def test_url_filter(spark):
     assert U.judged(df.limit(0), U.learn(df.limit(0))).count() == 0
 
 
+def test_unmarked_hosts_are_judged_by_their_characters(spark):
+    """Hosts without a mark of their own: those that run a mark together with other letters are blocked, others allowed."""
+    from marlstone.llm import url_filter as U
+
+    rng = np.random.default_rng(2)
+    names = ["".join(rng.choice(list("abdefghlmnrtuy"), 8)) for _ in range(600)]
+    urls = [f"http://{n}.com/en/{k}" for k, n in enumerate(names)] + [f"http://casino-{n}.com/en/{k}" for k, n in enumerate(names[:150])]
+    unmarked = [f"http://casino{n}.net/a" for n in names[200:210]], [f"http://{n[::-1]}.net/a" for n in names[200:210]]
+    df = spark.createDataFrame([(k, u, "h", "v") for k, u in enumerate(urls + unmarked[0] + unmarked[1])], "page_id long, url string, HOST string, verdict string")
+    out = U.judged(df, U.learn(df.where(F.col("page_id") < len(urls))), ())
+    assert out.columns == ["page_id", "url", "host", "path", "rule", "ratio", "verdict"]
+    got = {r["url"]: r["verdict"] for r in out.collect()}
+    assert [sum(got[u] == "block" for u in us) for us in unmarked] == [10, 0]
+
+
 def _url_counts(lines):
     """Counts per class of all runs of up to five characters, and of what follows each context."""
     runs, contexts = [collections.Counter(), collections.Counter()], [{}, {}]
@@ -447,3 +628,97 @@ def test_repeated_passages(spark, texts):
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["s"]) for r in out) == _removed(rows)
     assert next(r["repeats"] for r in out if r["doc_id"] == 30) == [(1, 61)]
     assert S.remove_repeats(docs_of(spark, [])).count() == 0
+
+
+# --- all ---------------------------------------------------------------------
+
+def _thue_morse(n):
+    x = [0]
+    while len(x) < n:
+        x += [1 - v for v in x]
+    return x[:n]
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and sequences differ for every operator that hashes words."""
+    from marlstone.llm.hashing import sequence_hashes, word_hashes
+    from marlstone.llm.near_dedup import similar_components
+    from marlstone.llm.substring_dedup import remove_repeats
+
+    for n in (8, 64, 128, 1024, 4096):
+        a, b = ("".join("ab"[v ^ f] for v in _thue_morse(n)) for f in (0, 1))
+        h, _ = word_hashes([f"{a} {b} {a}".encode()])
+        assert (h[:, 0] != h[:, 1]).all() and (h[:, 0] == h[:, 2]).all()
+        if n != 1024:
+            continue
+        rest = " ".join(f"w{k}" for k in range(3))
+        assert [r["component_id"] for r in similar_components(docs_of(spark, [(1, f"{a} {rest}"), (2, f"{b} {rest}")])).orderBy("doc_id").collect()] == [1, 2]
+    texts = [" ".join("ab"[v ^ f] for v in _thue_morse(4096)) for f in (0, 1)]
+    words = word_hashes([t.encode() for t in texts])
+    for size in (32, 1024, 4096):
+        one, two = (sequence_hashes(words[0][0, k * 4096 : (k + 1) * 4096], size)[0] for k in (0, 1))
+        assert one != two
+    rows = [(1, "x " + texts[0][:140]), (2, "y " + texts[1][:140])]
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in remove_repeats(docs_of(spark, rows)).collect())
+    assert got == _removed(rows)
+
+
+def test_repeats_at_the_ends_of_passages(spark):
+    """Passages cut at any place, of which many documents hold different parts."""
+    from marlstone.llm.substring_dedup import remove_repeats
+
+    rng = np.random.default_rng(9)
+    passage = [f"p{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        a, b = sorted(rng.integers(0, 150, 2).tolist())
+        own = [f"o{k}_{j}" for j in range(int(rng.integers(0, 40)))]
+        rows.append((k, " ".join(own + passage[a:b] + own[: len(own) // 2])))
+    rows += [(k, rows[3][1]) for k in (200, 201)] + [(300, "same " * 90), (301, " ".join(["ab", "ba"] * 40))]
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in remove_repeats(docs_of(spark, rows)).collect())
+    assert got == _removed(rows)
+
+
+def test_common_shingles_of_many_items(spark):
+    """Items that share most of their shingles are found as before, and documents with the common part alone are not."""
+    from marlstone.llm import decontamination as D
+
+    start = [f"c{k}" for k in range(12)]
+    items = [(k, " ".join(start + [f"i{k}_{j}" for j in range(10 + k % 120)])) for k in range(100)]
+    docs = [*items[::7], (500, " ".join(start)), (501, " ".join(start + ["x"] * 30)), (502, items[5][1][:60])]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs_of(spark, docs), df).collect()}
+    sets = {k: _set(t) for k, t in items}
+    assert got == {(d, k) for d, t in docs for k, s in sets.items() if 100 * len(s & _set(t)) >= 75 * len(s)} and len(got) >= 15
+
+
+def test_nothing_is_left_behind(spark, tmp_path, monkeypatch):
+    """Each operator leaves the session's settings as they were, and an empty shared folder once its results are released."""
+    from marlstone.llm import common
+    from marlstone.llm.registry import queries
+
+    def settings():
+        return {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    before = settings()
+    for name, query in queries().items():
+        assert query(spark, SF).count() > 0, name
+        assert settings() == before, name
+        common.release(spark)
+        assert not list(tmp_path.iterdir()), name
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from marlstone.llm.common import shared_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())

@@ -39,13 +39,50 @@ def test_stages(spark):
         docs = out
 
 
+CLASHING = "_score spans _path path _blob blob _gone gone again key shared doc new found component rank".split()
+
+
+def _with_clashes(docs):
+    return docs.select("*", *[F.lit(f"of {c}").alias(c) for c in CLASHING])
+
+
 def test_stages_on_odd_rows(spark):
     for rows in (ODD, []):
-        docs = docs_of(spark, rows)
+        docs = _with_clashes(docs_of(spark, rows))
         for name, stage in P.STAGES[:-1]:
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
+            got = out.collect()
+            assert all(r[c] == f"of {c}" for r in got for c in CLASHING)
             if name in ("secrets", "toxicity"):
-                assert out.count() == len(rows)
+                assert len(got) == len(rows)
         kept = collections.Counter(r["doc_id"] for r in P.drop_near_copies(spark, docs, SF).select(F.col("doc_id")).collect())
         assert not rows or kept == collections.Counter([1, 2, 3, 4, 6, 8, None])
+        packed = P.pack_sequences(spark, docs, SF).collect()
+        assert len({(r["doc_id"], r["piece"]) for r in packed if r["piece"] == 0}) == len({k for k, _ in rows})
+        if rows:
+            _check_packing(packed, rows)
+
+
+def test_rows_that_share_an_id(spark):
+    """Different texts of one id are judged each by itself, the same way every time."""
+    one, two, leak = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40)), spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(1, one), (5, one), (5, two), (7, two), (7, two), (None, two), (None, "alone, without an id, and short"), (9, one + " x"), (9, leak)]
+    docs = docs_of(spark, rows)
+    want = collections.Counter([(1, one), (7, two), (None, "alone, without an id, and short"), (9, leak)])
+    for n in (1, 5):
+        out = P.drop_near_copies(spark, docs.repartition(n), SF)
+        assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+    left = collections.Counter((r["doc_id"], r["text"]) for r in P.drop_leaks(spark, docs, SF).collect())
+    assert left == collections.Counter(r for r in rows if r[1] != leak)
+
+
+def test_run_keeps_its_result_alone(spark, tmp_path, monkeypatch):
+    from marlstone.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = P.run(spark, SF)
+    assert out.count() > 0
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["packing"]
+    common.release(spark)
+    assert not list(tmp_path.iterdir())
