@@ -18,6 +18,8 @@ BROADCAST_ROWS = 1_000_000
 HOT = 1000
 #: One row in so many is looked at to find hot keys.  What is done with the rows does not depend on it, only where.
 LOOKED_AT = 64
+#: Rows of a batch that goes to Python while a table is stored.
+BATCH_ROWS = 500
 
 #: Tables that are still stored, by open scope; the first list is the session's.
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=([],))
@@ -51,19 +53,35 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage with a table that survives lost executors, and
-    computes ``df`` once (``checkpoint()`` would compute it twice).  The table
-    goes with the scope it was made in (``scratch``), by ``release`` or at the
+    computes ``df`` once (``checkpoint()`` would compute it twice).  While it
+    is written, batches that go to Python are small, as rows may hold long
+    texts.  The table goes with the scope it was made in (``scratch``), by ``release`` or at the
     end of the application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     _scopes.get()[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     files, p = _file(spark, path)
     files.deleteOnExit(p)
     out = spark.read.schema(schema).parquet(path)

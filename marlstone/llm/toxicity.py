@@ -229,5 +229,5 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fitted(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(F.col("text"), model).alias("score"))
+    scored = stored(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(F.col("text"), model).alias("score")), "scored")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
