@@ -42,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fitted(docs, table(spark, sf_dir, "labels"))
     text = F.col("doc.text")
     rows = _as_struct(docs).where((F.coalesce(F.length(text), F.lit(0)) == 0) | (toxicity(text, model) < TOXIC))
-    return _unpacked(rows, docs)
+    return stored(_unpacked(rows, docs), "clean")  # in small batches
 
 
 def _row_id(doc_id: Column, text: Column) -> Column:
