@@ -105,3 +105,15 @@ def bin_shares(rows: DataFrame, value: str, volume: str, edges: list[float]) ->
     g = rows.withColumn("bin", b).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.sum(volume).alias("v"))
     w = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row for each bin
     return g.select("bin", (F.col("n") / F.sum("n").over(w)).alias("share_places"), (F.col("v") / F.sum("v").over(w)).alias("share_volume"))
+
+
+def yearly_values(files: list[DataFrame], keys: list[str], value: str, line: str, first_wins: bool = True) -> DataFrame:
+    """One value for each of ``keys``, such as code and year: the last line of the file that wins (A-20, S-24).
+
+    That is the first file that has the key, or with ``first_wins`` off the last.
+    """
+    rows = None
+    for k, f in enumerate(files):
+        f = f.select(*keys, value, F.struct(F.lit(-k if first_wins else k).alias("file"), F.col(line).alias("line")).alias("_at"))
+        rows = f if rows is None else rows.unionByName(f)
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max_by(value, "_at").alias(value))

@@ -28,6 +28,11 @@ def features_up_to(level: int) -> list[str]:
     return [f for k in sorted(FEATURE_LEVELS) if k <= level for f in FEATURE_LEVELS[k]]
 
 
+def observed(rows: DataFrame, source: str = "source") -> DataFrame:
+    """Rows whose value is not estimated; an unknown source counts as observed (P-22)."""
+    return rows.where(~F.col(source).eqNullSafe("estimated"))
+
+
 def complete_cases(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with all columns, and the dropped ones (P-21)."""
     missing = F.lit(False)
@@ -171,7 +176,7 @@ def group_baseline(train: DataFrame, rows: DataFrame, label: str, group: str, ta
     """Quantile of the group in the train rows, else of all (A-33)."""
     m = train.groupBy(group).agg(F.percentile(label, F.lit(tau)).alias("_g"))
     a = train.agg(F.percentile(label, F.lit(tau)).alias("_a"))
-    return rows.join(F.broadcast(m), group, "left").crossJoin(F.broadcast(a)).withColumn(out, F.coalesce("_g", "_a")).drop("_g", "_a")
+    return rows.join(m, group, "left").crossJoin(F.broadcast(a)).withColumn(out, F.coalesce("_g", "_a")).drop("_g", "_a")
 
 
 def horizon_models(panel: DataFrame, horizons: tuple[int, ...], numeric: list[str], first_test, iterations: int = 20) -> dict[int, PipelineModel]:

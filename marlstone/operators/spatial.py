@@ -23,17 +23,25 @@ def near_pairs(targets: DataFrame, points: DataFrame, max_km: float, target_id:
     """target, point, km of all pairs up to ``max_km``; both have lat and lon.
 
     Cells are ``max_km`` high; a target asks in the rows above and below and
-    in as many columns as the distance spans at its latitude, so no pair is
-    missed, and each is met once.  ``block`` restricts pairs to an equal column.
+    in as many columns as the distance spans at its latitude.  Columns go
+    round the earth, the last beside the first, so no pair is missed, and each
+    is met once.  ``block`` restricts pairs to an equal column.
     """
     size = max_km / DEGREE_KM
-    cols = F.least(F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + size, F.lit(89.9)))), F.lit(1e-3))), F.lit(math.ceil(360 / size))).cast("long")
+    columns = max(1, math.floor(360 / size))
+
+    def column(lon: Column) -> Column:
+        return F.floor((lon + 180) * (columns / 360)).cast("long")
+
+    span = F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + size, F.lit(89.9)))), F.lit(1e-3)))
     b = [F.col(block).alias("block")] if block else [F.lit(0).alias("block")]
     ask = targets.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
         F.col(target_id).alias("target"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), *b,
-        F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: _cell(F.col("lat"), size) + k)).alias("cy"), cols.alias("_n"), _cell(F.col("lon"), size).alias("_x"),
-    ).select("target", "tlat", "tlon", "block", "cy", F.explode(F.sequence(F.col("_x") - F.col("_n"), F.col("_x") + F.col("_n"))).alias("cx"))
-    stand = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(point_id).alias("point"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), *b, _cell(F.col("lat"), size).alias("cy"), _cell(F.col("lon"), size).alias("cx"))
+        F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: _cell(F.col("lat"), size) + k)).alias("cy"), F.least(span, F.lit(columns)).cast("long").alias("_n"), column(F.col("lon")).alias("_x"),
+    )
+    around = F.array_distinct(F.transform(F.sequence(F.col("_x") - F.col("_n"), F.col("_x") + F.col("_n")), lambda c: F.pmod(c, F.lit(columns))))
+    ask = ask.select("target", "tlat", "tlon", "block", "cy", F.explode(around).alias("cx"))
+    stand = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(point_id).alias("point"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), *b, _cell(F.col("lat"), size).alias("cy"), F.pmod(column(F.col("lon")), F.lit(columns)).alias("cx"))
     pairs = ask.join(stand, ["block", "cy", "cx"]).withColumn("km", haversine_km(F.col("tlat"), F.col("tlon"), F.col("plat"), F.col("plon"))).where(F.col("km") <= max_km)
     if same:
         pairs = pairs.where(F.col("target") != F.col("point"))
@@ -133,7 +141,7 @@ def idw_fill(cities: DataFrame, value: str = "price", k: int = 5, max_km: float
     w = idw_weight(F.col("km"))
     est = pairs.join(known.select(F.col("id").alias("point"), F.col(value).alias("v")), "point").groupBy(F.col("target").alias("id")).agg((F.sum(F.col("v") * w) / F.sum(w)).alias("idw"))
     medians = known.groupBy("dept").agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    out = cities.join(est, "id", "left").join(F.broadcast(medians), "dept", "left")
+    out = cities.join(est, "id", "left").join(medians, "dept", "left")
     source = F.when(F.col(value).isNotNull(), "observed").when(F.coalesce("idw", "median").isNotNull(), "estimated")
     return out.withColumn("source", source).withColumn(value, F.coalesce(value, "idw", "median")).drop("idw", "median")
 

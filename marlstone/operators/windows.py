@@ -55,7 +55,7 @@ def snapshot(prices: DataFrame, volumes: DataFrame, medians: DataFrame | None =
     line = F.array_sort(F.collect_list(F.when(F.col("back") <= 8, F.struct("period", F.bround("value", 0).alias("v")))))
     g = back.where(F.col("back") <= 13).groupBy("geo").agg(at(1).alias("last"), at(2).alias("before"), at(13).alias("base"), F.avg(F.when(F.col("back") <= 4, F.col("value"))).alias("avg4"), line.alias("line"))
     if medians is not None:
-        g = g.join(F.broadcast(medians), "geo", "left").where(F.col("median").isNull() | (F.col("last") <= outlier * F.col("median")))
+        g = g.join(medians, "geo", "left").where(F.col("median").isNull() | (F.col("last") <= outlier * F.col("median")))
     step = F.when(F.col("before") != 0, (F.col("last") - F.col("before")) / F.col("before")).otherwise(0.0)
     price = g.select(
         "geo", F.bround("last", 2).alias("median_price_per_sqm"), F.bround("avg4", 2).alias("avg_price_per_sqm"),
@@ -102,10 +102,11 @@ def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -
     return run.where(F.col("_cum") >= F.col("_all") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
 
 
-def pooled_until(pairs: DataFrame, enough: int, target: str = "target") -> DataFrame:
-    """Neighbours, nearest first, until their counts n reach ``enough``; the one that crosses it is taken (W-16)."""
-    cum = F.sum("n").over(Window.partitionBy(target).orderBy("km", "point").rowsBetween(Window.unboundedPreceding, 0))
-    return pairs.withColumn("cum", cum).where(F.col("cum") - F.col("n") < enough)
+def pooled_until(pairs: DataFrame, enough: int, target: str = "target", most: int = 60) -> DataFrame:
+    """Neighbours, nearest first and ``most`` at most, until their counts n reach ``enough``; the one that crosses it is taken (W-16)."""
+    near = Window.partitionBy(target).orderBy("km", "point")
+    cum = F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, 0))
+    return pairs.withColumns({"cum": cum, "_nth": F.row_number().over(near)}).where((F.col("cum") - F.col("n") < enough) & (F.col("_nth") <= most)).drop("_nth")
 
 
 def time_adjusted(sales: DataFrame) -> DataFrame:
@@ -114,22 +115,22 @@ def time_adjusted(sales: DataFrame) -> DataFrame:
     last = sales.agg(F.max("year").alias("last"))
     ref = med.crossJoin(F.broadcast(last)).where(F.col("year") == F.col("last")).select("dept", F.col("m").alias("ref"))
     factor = med.join(ref, "dept", "left").select("dept", "year", (F.col("ref") / F.col("m")).alias("factor"))
-    return sales.join(F.broadcast(factor), ["dept", "year"], "left").withColumn("adj", F.col("price_sqm") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+    return sales.join(factor, ["dept", "year"], "left").withColumn("adj", F.col("price_sqm") * F.coalesce("factor", F.lit(1.0))).drop("factor")
 
 
 def pooled_targets(sales: DataFrame, cities: DataFrame, pairs: DataFrame, excluded: DataFrame | None = None, own: int = 30, thin: int = 10, scale_km: float = 10.0) -> DataFrame:
     """Price target of each city, own or pooled from neighbours (G-06).
 
-    ``pairs`` are near cities (target, point, km), a city with itself among
-    them; ``excluded`` cities lend no sales.  Columns: city, n_own, n_pooled,
+    ``pairs`` are near cities of a department (target, point, km), a city with
+    itself among them; those without sales lend none and do not count; ``excluded`` cities lend no sales.  Columns: city, n_own, n_pooled,
     radius_km, target, reliability (own, pooled, own_thin or null).
     """
     mine = sales.groupBy("city").agg(F.count("*").alias("n_own"), F.percentile("adj", F.lit(0.5)).alias("price_own"))
-    lend = sales if excluded is None else sales.join(F.broadcast(excluded), "city", "left_anti")
+    lend = sales if excluded is None else sales.join(excluded, "city", "left_anti")
     counts = lend.groupBy(F.col("city").alias("point")).agg(F.count("*").alias("n"))
     needy = cities.select("city").join(mine, "city", "left").where(F.coalesce("n_own", F.lit(0)) < own).select(F.col("city").alias("target"))
     if excluded is not None:
-        needy = needy.join(F.broadcast(excluded.withColumnRenamed("city", "target")), "target", "left_anti")
+        needy = needy.join(excluded.withColumnRenamed("city", "target"), "target", "left_anti")
     taken = pooled_until(pairs.join(needy, "target").join(counts, "point"), own)
     reach = taken.groupBy("target").agg(F.sum("n").alias("n_pooled"), F.max("km").alias("radius_km"))
     weighted = taken.join(lend.select(F.col("city").alias("point"), "adj"), "point").withColumn("w", 1 / (1 + F.col("km") / scale_km))
@@ -146,6 +147,6 @@ def group_fill(rows: DataFrame, columns: list[str], group: str = "dept") -> Data
     """Missing values by the group's median, else the median of all, with a flag each (G-07, A-33)."""
     m = rows.groupBy(group).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_g_{c}") for c in columns])
     a = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_a_{c}") for c in columns])
-    out = rows.join(F.broadcast(m), group, "left").crossJoin(F.broadcast(a))
+    out = rows.join(m, group, "left").crossJoin(F.broadcast(a))
     out = out.withColumns({f"{c}_missing": F.col(c).isNull() for c in columns}).withColumns({c: F.coalesce(c, f"_g_{c}", f"_a_{c}") for c in columns})
     return out.drop(*[f"_{k}_{c}" for k in "ga" for c in columns])

@@ -13,7 +13,7 @@ from marlstone.operators import quality as Q
 from marlstone.operators import scores as R
 from marlstone.operators import spatial as G
 from marlstone.operators import windows as W
-from marlstone.plans.standins import CITIES, CLEAN, POINTS, cities, haversine, points, query, table
+from marlstone.plans.standins import CITIES, CLEAN, POINTS, SQL, cities, haversine, points, query, table
 from marlstone.sources import readers as I
 from marlstone.sources import sinks as O
 
@@ -66,17 +66,12 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
     return cities(spark, d).select(F.col("id").alias("code"), F.array(ring(0.095), ring(0.033)).alias("rings"), "lat", "lon")
 
 
-def _segment(boxes: DataFrame) -> DataFrame:
-    """Those of one segment's places, a fifth of all, as the SQL of the first two queries."""
-    return boxes.where(F.col("code").endswith("072"))
-
-
 _IN = "greatest(abs(p.lon - c.lon), abs(p.lat - c.lat)) < 0.095 AND greatest(abs(p.lon - c.lon), abs(p.lat - c.lat)) > 0.033"
 
 
-@query(f"WITH {CITIES}, {_PTS} SELECT p.id AS point, min(c.id) AS code FROM pts p JOIN cities c ON c.id LIKE '%072' AND {_IN} GROUP BY p.id")
+@query(f"WITH {CITIES}, {_PTS} SELECT p.id AS point, min(c.id) AS code FROM pts p JOIN cities c ON {_IN} GROUP BY p.id")
 def j18_point_in_polygon(spark, d):
-    return G.contained(_pts(spark, d), _segment(_boxes(spark, d)))
+    return G.contained(_pts(spark, d), _boxes(spark, d))
 
 
 @query(f"WITH {CITIES}, {_PTS} SELECT p.id AS point, min(c.id) AS code FROM pts p JOIN cities c ON {_IN} GROUP BY p.id")
@@ -84,9 +79,9 @@ def j18_point_in_polygon_all(spark, d):
     return G.contained(_pts(spark, d), _boxes(spark, d))
 
 
-@query(f"WITH {CITIES}, {_PTS}, hit AS (SELECT p.id AS point, min(c.id) AS code FROM pts p JOIN cities c ON c.id LIKE '%072' AND {_IN} GROUP BY p.id), n AS (SELECT p.id AS point, c.id AS code, row_number() OVER (PARTITION BY p.id ORDER BY {haversine('p', 'c')}, c.id) AS nth FROM pts p JOIN cities c ON c.id LIKE '%072' AND {haversine('p', 'c')} <= 2 WHERE p.id NOT IN (SELECT point FROM hit)) SELECT p.id AS point, coalesce(h.code, n.code) AS code, CASE WHEN h.code IS NOT NULL THEN 'contained' WHEN n.code IS NOT NULL THEN 'near' ELSE 'dropped' END AS outcome FROM pts p LEFT JOIN hit h ON h.point = p.id LEFT JOIN n ON n.point = p.id AND n.nth = 1")
+@query(f"WITH {CITIES}, {_PTS}, hit AS (SELECT p.id AS point, min(c.id) AS code FROM pts p JOIN cities c ON {_IN} GROUP BY p.id), n AS (SELECT p.id AS point, c.id AS code, row_number() OVER (PARTITION BY p.id ORDER BY {haversine('p', 'c')}, c.id) AS nth FROM pts p JOIN cities c ON {haversine('p', 'c')} <= 2 WHERE p.id NOT IN (SELECT point FROM hit)) SELECT p.id AS point, coalesce(h.code, n.code) AS code, CASE WHEN h.code IS NOT NULL THEN 'contained' WHEN n.code IS NOT NULL THEN 'near' ELSE 'dropped' END AS outcome FROM pts p LEFT JOIN hit h ON h.point = p.id LEFT JOIN n ON n.point = p.id AND n.nth = 1")
 def j19_located(spark, d):
-    b = _segment(_boxes(spark, d))
+    b = _boxes(spark, d)
     return G.located(_pts(spark, d), b, b)
 
 
@@ -177,10 +172,19 @@ x AS (SELECT name, hint, code, count(*) OVER (PARTITION BY name, hint) AS n, row
 SELECT name, hint, code, CASE WHEN n > 1 THEN 'low' WHEN hint IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence FROM x WHERE nth = 1""")
 def j25_resolved_exact(spark, d):
     done, _ = _resolved(spark, d)
-    return done.where("match = 'exact'").drop("match")  # the prefix fallback is checked by a fixture
+    return done.where("match = 'exact'").drop("match")
 
 
-@query()
+_NAMES = SQL["j25_resolved_exact"][: SQL["j25_resolved_exact"].rindex("SELECT")].rstrip() + """, near AS (SELECT name, hint, code, row_number() OVER (PARTITION BY name ORDER BY population DESC NULLS LAST, code) AS nth FROM names JOIN places ON starts_with(key, pkey) OR starts_with(pkey, key)
+  WHERE hint IS NULL AND name NOT IN (SELECT name FROM x))"""
+
+
+@query(_NAMES + " SELECT name, hint, code, 'low' AS confidence FROM near WHERE nth = 1")
+def j25_resolved_prefix(spark, d):
+    return _resolved(spark, d)[0].where("match = 'prefix'").drop("match")
+
+
+@query(_NAMES + " SELECT name, hint FROM names EXCEPT (SELECT name, hint FROM x UNION SELECT name, hint FROM near)")
 def u06_unresolved(spark, d):
     return _resolved(spark, d)[1]
 
@@ -191,6 +195,14 @@ def f02_f03_names(spark, d):
     return p.select(F.col("p_name").alias("name"), name_key(F.col("p_name")).alias("key"), strip_parenthesis(F.concat("p_name", F.lit(" (note)"))).alias("bare"), department_hint(F.concat(F.lit("dépt "), F.col("p_size").cast("string"))).alias("hint")).distinct()
 
 
+@query("SELECT n_nationkey AS id, 'elegantst' || lower(regexp_replace(n_name, '[ _-]', '', 'g')) || 'coeuro' AS key, CASE WHEN n_nationkey BETWEEN 1 AND 95 THEN lpad(CAST(n_nationkey AS VARCHAR), 2, '0') END AS hint FROM nation")
+def f02_accented_names(spark, d):
+    """Accents composed and not, ligatures, an article, a saint and separators."""
+    n = table(spark, d, "nation")
+    name = F.concat(F.lit("L’Éle\u0301gant-Sainte "), F.col("n_name"), F.lit("_Çœurő"))
+    return n.select(F.col("n_nationkey").alias("id"), name_key(name).alias("key"), department_hint(F.concat(F.lit("Dép. "), F.col("n_nationkey").cast("string"))).alias("hint"))
+
+
 @query("SELECT page_id, len(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1)) AS items, length(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) > 0 AS titled FROM pages")
 def f03_markup(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(list_items(F.col("html"))).cast("long").alias("items"), F.coalesce(tag_value(F.col("html"), "h1").isNotNull(), F.lit(False)).alias("titled"))
@@ -235,6 +247,25 @@ def a22_s09_rent_names(spark, d):
     return o.select(F.col("o_orderstatus").alias("code"), (F.col("o_custkey") % 7).alias("v"), F.explode(names).alias("name")).groupBy("code", "name").agg(F.avg("v").alias("rent"))
 
 
+_RATES = "SELECT o_custkey AS code, year(o_orderdate) AS year, o_totalprice AS rate, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderstatus = 'F' {}, o_orderkey DESC) AS nth FROM orders"
+
+
+def _rates(spark, d) -> list[DataFrame]:
+    """A main and a second file of yearly values."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("code"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("rate"), F.col("o_orderkey").alias("line"), "o_orderstatus")
+    return [o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'")]
+
+
+@query(f"SELECT code, year, rate FROM ({_RATES.format('DESC')}) WHERE nth = 1")
+def a20_yearly_rates(spark, d):
+    return C.yearly_values(_rates(spark, d), ["code", "year"], "rate", "line")
+
+
+@query(f"SELECT code, year, rate FROM ({_RATES.format('ASC')}) WHERE nth = 1")
+def s24_later_file_wins(spark, d):
+    return C.yearly_values(_rates(spark, d), ["code", "year"], "rate", "line", first_wins=False)
+
+
 @query("SELECT c_nationkey AS place, sum(CAST(trunc(c_acctbal) AS BIGINT))::BIGINT AS truncated FROM customer GROUP BY 1")
 def a24_truncated_sums(spark, d):
     return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("place")).agg(F.sum(F.col("c_acctbal").cast("long")).alias("truncated"))
@@ -454,6 +485,19 @@ def p21_p22_complete_cases(spark, d):
     return ok.select("id", F.lit(True).alias("complete")).unionByName(dropped.select("id", F.lit(False).alias("complete")))
 
 
+@query("SELECT p_partkey FROM part WHERE p_size % 3 <> 1")
+def p22_without_estimated(spark, d):
+    source = F.when(F.col("p_size") % 3 == 1, "estimated").when(F.col("p_size") % 3 == 2, "sales")
+    return M.observed(table(spark, d, "part").select("p_partkey", source.alias("source"))).select("p_partkey")
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS level FROM part")
+def p17_tourism_level(spark, d):
+    label = F.element_at(F.array(F.lit("Station classée"), F.lit("Commune touristique"), F.lit("sans"), F.lit(None).cast("string")), (F.col("p_size") % 4 + 1).cast("int"))
+    level = F.when(label.isNotNull(), R.tourism_level(label))
+    return table(spark, d, "part").select("p_partkey", level.alias("level"))
+
+
 @query(f"WITH {CITIES} SELECT a.id, a.price, b.rent, coalesce(a.rent, a.tax_rate) AS filled FROM cities a LEFT JOIN (SELECT id, rent FROM cities WHERE zone_no = 1) b USING (id)")
 def j12_j13_j21_j27_hand_off(spark, d):
     c = cities(spark, d)

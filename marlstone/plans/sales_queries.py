@@ -90,9 +90,9 @@ def a11_city_snapshot(spark, d):
 @query(f"""WITH {SALES}, q AS (SELECT DISTINCT CAST(date_trunc('quarter', mutation_date) AS DATE) AS quarter FROM sales WHERE date_trunc('quarter', mutation_date) >= (SELECT date_trunc('quarter', min(mutation_date)) + INTERVAL 9 MONTH FROM sales)),
 g AS (SELECT city, quarter, count(*) AS n, quantile_cont(price / surface, 0.1) AS sqm_p10, avg(price / surface) AS sqm_avg, quantile_cont(price / surface, 0.9) AS sqm_p90, quantile_cont(price, 0.1) AS price_p10, quantile_cont(price, 0.5) AS price_p50, quantile_cont(price, 0.9) AS price_p90, avg(price) AS price_avg
   FROM sales JOIN q ON mutation_date >= quarter - INTERVAL 9 MONTH AND mutation_date < quarter + INTERVAL 3 MONTH GROUP BY ALL HAVING count(*) >= 10)
-SELECT city, quarter, serie, round(value, 6) AS value FROM (UNPIVOT (SELECT * EXCLUDE (n) FROM g) ON sqm_p10, sqm_avg, sqm_p90, price_p10, price_p50, price_p90, price_avg INTO NAME serie VALUE value) WHERE serie <> 'price_avg'""")
+SELECT city, quarter, serie, round(value, 6) AS value FROM (UNPIVOT (SELECT * EXCLUDE (n) FROM g) ON sqm_p10, sqm_avg, sqm_p90, price_p10, price_p50, price_p90, price_avg INTO NAME serie VALUE value)""")
 def a12_rolling_ranges(spark, d):
-    return _rounded(S.rolling_ranges(sales(spark, d)).where("serie <> 'price_avg'"), "value", digits=6)
+    return _rounded(S.rolling_ranges(sales(spark, d)), "value", digits=6)
 
 
 @query(f"WITH {SALES} SELECT quarter, count(*) AS n FROM (SELECT CAST(date_trunc('quarter', mutation_date) AS DATE) + INTERVAL (m) MONTH AS quarter FROM sales, (VALUES (0), (3), (6), (9)) t(m)) WHERE quarter BETWEEN (SELECT date_trunc('quarter', min(mutation_date)) + INTERVAL 9 MONTH FROM sales) AND (SELECT date_trunc('quarter', max(mutation_date)) FROM sales) GROUP BY 1".replace("SELECT quarter, count", "SELECT CAST(quarter AS DATE) AS quarter, count"))
@@ -265,31 +265,44 @@ def w16_pooled_until(spark, d):
     return W.pooled_until(p, 30).select("target", "point", "cum")
 
 
-def _pooled(spark, d, sold) -> DataFrame:
+#: Sales that make a target of a city's own in the queries below: more than the operator's 30, so that the test tables' cities pool.
+_OWN = 300
+
+
+def _pooled(spark, d) -> DataFrame:
     from marlstone.operators.spatial import near_pairs
 
-    s = sold.withColumn("adj", F.col("price") / F.col("surface"))
+    s = sales(spark, d).withColumn("adj", F.col("price") / F.col("surface"))
     c = cities(spark, d)
-    return W.pooled_targets(s.select("city", "adj"), c.select(F.col("id").alias("city")), near_pairs(c, c, 25.0))
+    return W.pooled_targets(s.select("city", "adj"), c.select(F.col("id").alias("city")), near_pairs(c, c, 25.0, block="dept"), own=_OWN)
+
+
+_OWN_SQL = f"WITH {SALES}, o AS (SELECT city, count(*) AS n_own FROM sales GROUP BY city), {CITIES} SELECT id AS city, coalesce(n_own, 0) AS n_own, coalesce(n_own, 0) >= {_OWN} AS own FROM cities LEFT JOIN o ON o.city = id"
 
 
 def _own_counts(pooled: DataFrame) -> DataFrame:
     return pooled.select("city", "n_own", F.coalesce(F.col("reliability") == "own", F.lit(False)).alias("own"))
 
 
-@query(f"WITH {SALES}, o AS (SELECT city, count(*) AS n_own FROM sales WHERE id % 4 = 0 GROUP BY city), {CITIES} SELECT id AS city, coalesce(n_own, 0) AS n_own, coalesce(n_own, 0) >= 30 AS own FROM cities LEFT JOIN o ON o.city = id")
+@query(_OWN_SQL)
 def g06_pooled_own_counts(spark, d):
-    return _own_counts(_pooled(spark, d, sales(spark, d).where(F.col("id") % 4 == 0)))  # a quarter of the sales, as its SQL
+    return _own_counts(_pooled(spark, d))
 
 
-@query(f"WITH {SALES}, o AS (SELECT city, count(*) AS n_own FROM sales GROUP BY city), {CITIES} SELECT id AS city, coalesce(n_own, 0) AS n_own, coalesce(n_own, 0) >= 30 AS own FROM cities LEFT JOIN o ON o.city = id")
+@query(_OWN_SQL)
 def g06_pooled_own_counts_all(spark, d):
-    return _own_counts(_pooled(spark, d, sales(spark, d)))
+    return _own_counts(_pooled(spark, d))
 
 
-@query()
+@query(f"""WITH {SALES}, {CITIES}, s AS (SELECT city, price / surface AS adj FROM sales), own AS (SELECT city, count(*) AS n_own, quantile_cont(adj, 0.5) AS own_price FROM s GROUP BY city),
+near AS (SELECT a.id AS target, b.id AS point, {haversine('a', 'b')} AS km, o.n_own AS n FROM cities a LEFT JOIN own m ON m.city = a.id JOIN cities b ON a.dept = b.dept JOIN own o ON o.city = b.id WHERE coalesce(m.n_own, 0) < {_OWN} AND {haversine('a', 'b')} <= 25),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY target ORDER BY km, point ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY target ORDER BY km, point) AS nth FROM near), taken AS (SELECT * FROM ranked WHERE cum - n < {_OWN} AND nth <= 60),
+reach AS (SELECT target, sum(n) AS n_pooled, max(km) AS radius FROM taken GROUP BY target), each AS (SELECT target, adj, 1 / (1 + km / 10.0::DOUBLE) AS w FROM taken JOIN s ON s.city = point),
+med AS (SELECT target, min(adj) AS pooled FROM (SELECT target, adj, sum(w) OVER (PARTITION BY target ORDER BY adj RANGE UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY target) AS every FROM each) WHERE cum >= every / 2 GROUP BY target),
+kinds AS (SELECT id AS city, coalesce(n_own, 0) AS n_own, coalesce(n_pooled, n_own, 0) AS n_pooled, coalesce(radius, 0) AS radius, own_price, pooled, CASE WHEN n_own >= {_OWN} THEN 'own' WHEN n_pooled >= {_OWN} THEN 'pooled' WHEN n_pooled IS NOT NULL AND n_own >= 10 THEN 'own_thin' END AS reliability FROM cities LEFT JOIN own ON own.city = id LEFT JOIN reach ON reach.target = id LEFT JOIN med ON med.target = id)
+SELECT city, n_own, CAST(n_pooled AS BIGINT) AS n_pooled, round(radius, 6) AS radius_km, round(CASE WHEN reliability IN ('own', 'own_thin') THEN own_price WHEN reliability = 'pooled' THEN pooled END, 6) AS target, reliability FROM kinds""")
 def g06_pooled_targets(spark, d):
-    return _pooled(spark, d, sales(spark, d))
+    return _rounded(_pooled(spark, d), "radius_km", "target")
 
 
 @query(f"WITH {CITIES}, m AS (SELECT dept, quantile_cont(price, 0.5) AS g FROM cities GROUP BY dept), a AS (SELECT quantile_cont(price, 0.5) AS a FROM cities) SELECT id, round(coalesce(price, g, a), 6) AS price, price IS NULL AS price_missing FROM cities LEFT JOIN m USING (dept), a")

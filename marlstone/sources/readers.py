@@ -127,7 +127,7 @@ def serie_points(points: DataFrame, name: str, level: str, cities: DataFrame | N
     """Points of one serie at one level, of one department if given (S-15): filters reach the scan."""
     out = points.where((F.col("serie_name") == name) & (F.col("geo_level") == level))
     if dept is not None and cities is not None:
-        out = out.join(F.broadcast(cities.where(F.col("dept") == dept).select(F.col("city").alias("geo_code"))), "geo_code", "left_semi")
+        out = out.join(cities.where(F.col("dept") == dept).select(F.col("city").alias("geo_code")), "geo_code", "left_semi")
     return out
 
 

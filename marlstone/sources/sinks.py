@@ -31,7 +31,7 @@ def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, keys: list[st
     and overwritten in one pass.
     """
     parts = new.select(partition).distinct()
-    old = spark.read.parquet(path).join(F.broadcast(parts), partition, "left_semi")
+    old = spark.read.parquet(path).join(parts, partition, "left_semi")
     staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
     upserted(old, new.select(*old.columns), keys).write.parquet(staged)
     replace_partitions(spark.read.parquet(staged), path, [partition])

@@ -63,3 +63,33 @@ def test_nearest_of_many_categories(spark):
     got = {(r["target"], r["category"]): r["km"] for r in nearest_per_category(targets, points, 50.0).collect()}
     same = {(r["target"], r["category"]): r["km"] for r in nearest_per_category(targets, points, 50.0, few=2000).collect()}
     assert len(got) == 2600 and got.keys() == same.keys() and all(abs(got[k] - same[k]) < 1e-9 for k in got)
+
+
+def test_pairs_across_the_date_line(spark):
+    from marlstone.operators.spatial import near_pairs
+
+    df = spark.createDataFrame([(1, 0.0, 179.95), (2, 0.0, -179.95), (3, 60.0, 179.9), (4, 60.0, -179.9), (5, 10.0, 0.0)], "id int, lat double, lon double")
+    for km in (25.0, 500.0):
+        got = {(r["target"], r["point"]) for r in near_pairs(df, df, km, same=True).collect()}
+        assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
+
+
+def test_pooling_takes_few_neighbours(spark):
+    from marlstone.operators.windows import pooled_until
+
+    pairs = spark.createDataFrame([("a", k, float(k), 1) for k in range(100)], "target string, point int, km double, n int")
+    assert pooled_until(pairs, 1000).count() == 60 and pooled_until(pairs, 30).count() == 30
+
+
+def test_names(spark):
+    from marlstone.functions import department_hint, name_key, strip_parenthesis
+
+    names = {"Le Mans": "mans", "L'Haÿ-les-Roses": "haylesroses", "Saint-Étienne": "stetienne", "Sainte Œuvre": "stoeuvre", "Lesparre": "lesparre", "E\u0301pinal": "epinal", "Le-Bois": "lebois", "Les": "les"}
+    rows = spark.createDataFrame([(k,) for k in names], "n string").select("n", name_key(F.col("n")).alias("k")).collect()
+    assert {r["n"]: r["k"] for r in rows} == names
+    hints = {"dépt 62": "62", "DEP. 2a": "2A", "7": "07", "07": "07", "972": "972", "96": None, "977": None, "note 62": None, "62 x": None, "": None, "dept62": "62"}
+    rows = spark.createDataFrame([(k,) for k in hints], "n string").select("n", department_hint(F.col("n")).alias("k")).collect()
+    assert {r["n"]: r["k"] for r in rows} == hints
+    bare = {"Sèvres (93)": "Sèvres", " A (b) (c) ": "A", "A (b) c": "A (b) c", "A": "A"}
+    rows = spark.createDataFrame([(k,) for k in bare], "n string").select("n", strip_parenthesis(F.col("n")).alias("k")).collect()
+    assert {r["n"]: r["k"] for r in rows} == bare
