@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.ranks import exact_quantile
+
 
 def overview(points: DataFrame) -> DataFrame:
     """Per serie: places, periods, least, upper median and largest value (K-01).
 
-    The upper median is the value at half the count in order; values are
-    ranked in a window, so no serie's values are gathered in a row.
+    The upper median is the value at half the count in order, ranked within a
+    bracket, so no serie is sorted in one task.
     """
-    w = Window.partitionBy("serie")
-    ranked = points.where(F.col("value").isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy("value")), "_n": F.count("*").over(w)})
-    mid = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("value")))
-    return ranked.groupBy("serie").agg(F.count_distinct("geo").alias("places"), F.count_distinct("period").alias("periods"), F.min("value").alias("low"), mid.alias("upper_median"), F.max("value").alias("high"))
+    points = points.where(F.col("value").isNotNull())
+    mid = exact_quantile(points, ["serie"], "value", upper=True).select("serie", F.col("quantile").alias("upper_median"))
+    ends = points.groupBy("serie").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    n = lambda c, name: points.select("serie", c).distinct().groupBy("serie").agg(F.count(c).alias(name))
+    return n("geo", "places").join(n("period", "periods"), "serie").join(ends, "serie").join(mid, "serie").select("serie", "places", "periods", "low", "upper_median", "high")
 
 
 def year_over_year(points: DataFrame, n: int = 4) -> DataFrame:
@@ -75,3 +78,14 @@ def top_counts(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
 def weighted_report(rows: DataFrame, value: str, weight: str, below: float) -> DataFrame:
     """Mean, weighted mean, share below a threshold and correlation of value and weight (A-34)."""
     return rows.agg(F.avg(value).alias("mean"), (F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("weighted_mean"), F.avg((F.col(value) < below).cast("double")).alias("share_below"), F.corr(value, weight).alias("correlation"))
+
+
+def groups_by_mean(rows: DataFrame, group: str, value: str, least: int = 10) -> DataFrame:
+    """Groups of at least so many values with their mean and rank, the highest first (A-34)."""
+    g = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), group)))  # a row for each department
+
+
+def provenance(rows: DataFrame, value: str, source: str) -> DataFrame:
+    """Rows by where their value comes from; ``none`` without a value (A-40)."""
+    return rows.groupBy(F.when(F.col(value).isNull(), "none").otherwise(F.coalesce(source, F.lit("dvf"))).alias("source")).agg(F.count("*").alias("n"))

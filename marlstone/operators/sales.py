@@ -1,8 +1,8 @@
 """Sale records: cleaning, mutations and quarterly series.
 
-The catalogue of series is one grouped pass: conditional aggregates share the
-shuffle of the four geographic levels, which grouping by exploded
-(level, code) pairs serves from one scan.
+One scan serves the four geographic levels: rows are exploded to (level, code)
+pairs.  Medians of regions and of the country, whose groups grow with the
+table, are ranked within a bracket instead of gathered.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import canonical_code, commune_code, fold_code, parse_decimal, quarter_start, typology
+from marlstone.operators.ranks import exact_quantile
 
 UNIT_TYPES = {1: "HOUSE", 2: "APARTMENT", 4: "COMMERCIAL"}
 
@@ -88,30 +89,59 @@ def series(rows: DataFrame, value: Column, least: int, by: tuple[str, ...] = (),
 def median(x: Column | str, accuracy: int | None = None) -> Column:
     """Median: exact and interpolated, or within 1/accuracy of the rank.
 
-    The exact one holds a group's distinct values in one task; where a country
-    has more of them than that, ask for an accuracy.
+    The exact one holds a group's distinct values in one task: see median_series for groups of any size.
     """
     return F.percentile(x, F.lit(0.5)) if accuracy is None else F.percentile_approx(x, F.lit(0.5), F.lit(accuracy))
 
 
+#: Levels whose groups grow with the whole table.
+WIDE = ("region", "country")
+
+
+def median_series(rows: DataFrame, value: Column, least: int, by: tuple[str, ...] = (), accuracy: int | None = None, single: bool = False, key: str = "mutation_id", day: str = "mutation_date") -> DataFrame:
+    """As series, with the median of ``value``.
+
+    Cities and departments are small groups with a percentile each; regions
+    and the country are ranked within a bracket.  ``single`` says that a sale
+    is one row, so that rows are counted instead of different keys.
+    """
+    keys = ["geo_level", "geo_code", "period", *by]
+    rows = rows.where(F.col("geo_code").isNotNull()).select("geo_level", "geo_code", quarter_start(F.col(day)).alias("period"), *by, key, value.alias("value"))
+    wide = F.col("geo_level").isin(*WIDE)
+    few = rows.where(~wide) if accuracy is None else rows
+    out = few.groupBy(*keys).agg(median("value", accuracy).alias("value"), F.count("*").alias("n_sales"))
+    if accuracy is None:
+        many = exact_quantile(rows.where(wide), keys, "value").select(*keys, F.col("quantile").alias("value"), F.col("n").alias("n_sales"))
+        out = out.unionByName(many)
+    if not single:
+        sold = rows.select(*keys, key).distinct().groupBy(*keys).agg(F.count(key).alias("n_sales"))
+        out = out.drop("n_sales").join(sold, keys)
+    return out.where((F.col("n_sales") >= least) & F.col("value").isNotNull()).select("geo_level", "geo_code", "period", *by, "value", "n_sales")
+
+
 def price_series(prices: DataFrame, least: int, bounds: Bounds = Bounds(), unit_type: int | None = None, accuracy: int | None = None) -> DataFrame:
-    """Median price for a unit of surface (A-03)."""
+    """Median price for a unit of surface (A-03); a sale of alike units is one row."""
     base = prices.where(many_units(bounds))
     if unit_type is not None:
         base = base.where(F.col("unit_type") == unit_type)
-    return series(base, median(F.col("price") / F.col("surface"), accuracy), least)
+    return median_series(base, F.col("price") / F.col("surface"), least, accuracy=accuracy, single=True)
 
 
 def price_by_size(prices: DataFrame, least: int, bounds: Bounds = Bounds(), accuracy: int | None = None) -> DataFrame:
     """Median price for each size class (A-04): one pass for all four."""
     base = prices.where(one_kind(bounds)).withColumn("size_class", typology(F.col("rooms"))).where(F.col("size_class").isNotNull())
-    return series(base, median(F.col("price") / F.col("surface"), accuracy), least, ("size_class",))
+    return median_series(base, F.col("price") / F.col("surface"), least, ("size_class",), accuracy, single=True)
 
 
 def surface_by_size(units: DataFrame, least: int, accuracy: int | None = None) -> DataFrame:
     """Median surface of units for each size class (A-05)."""
     base = units.where(F.col("unit_type").isin(1, 2) & (F.col("surface") > 0)).withColumn("size_class", typology(F.col("rooms"))).where(F.col("size_class").isNotNull())
-    return series(base, median("surface", accuracy), least, ("size_class",))
+    return median_series(base, F.col("surface"), least, ("size_class",), accuracy)
+
+
+def each_sale_once(units: DataFrame, keep: tuple[str, ...] = ("region",)) -> DataFrame:
+    """One row for each sale, place and kept column: counting starts from these, before levels multiply them."""
+    return units.select("mutation_id", "mutation_date", "nature", "dept", "city", *keep).distinct()
 
 
 def volume(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -127,7 +157,36 @@ def share_of_nature(rows: DataFrame, nature: str, least: int) -> DataFrame:
 
 def land_price(land: DataFrame, least: int, accuracy: int | None = None) -> DataFrame:
     """Median price for a unit of land (A-08)."""
-    return series(land, median(F.col("price") / F.col("land"), accuracy), least)
+    return median_series(land, F.col("price") / F.col("land"), least, accuracy=accuracy)
+
+
+def with_regions(rows: DataFrame, departments: DataFrame) -> DataFrame:
+    """Rows with the region of their department (dept, region); null where it is unknown (J-02)."""
+    return rows.join(departments.select("dept", "region").distinct(), "dept", "left")
+
+
+def since_latest(sales: DataFrame, months: int = 12) -> DataFrame:
+    """Sales of the months before the latest of all (J-08); the latest day is one row, which is broadcast."""
+    last = sales.agg(F.add_months(F.max("mutation_date"), -months).alias("_since"))
+    return sales.crossJoin(F.broadcast(last)).where(F.col("mutation_date") > F.col("_since")).drop("_since")
+
+
+def national_by_type(prices: DataFrame, least: int = 3, bounds: Bounds = Bounds()) -> DataFrame:
+    """Quarterly medians of the whole country for each type and size class (A-38)."""
+    base = prices.where(one_kind(bounds)).select("unit_type", typology(F.col("rooms")).alias("size_class"), quarter_start(F.col("mutation_date")).alias("period"), (F.col("price") / F.col("surface")).alias("value"))
+    out = exact_quantile(base, ["unit_type", "size_class", "period"], "value")
+    return out.where(F.col("n") >= least).select("unit_type", "size_class", "period", F.col("quantile").alias("value"))
+
+
+def panel(prices: DataFrame, volumes: DataFrame, keys: tuple[str, ...] = ("geo", "period")) -> DataFrame:
+    """Prices and volumes of places and periods side by side, from either (J-11)."""
+    return prices.join(volumes, list(keys), "full")
+
+
+def sales_mix(sales: DataFrame, by: str, kind: str, surface: str, house: str = "HOUSE", commercial: str = "COMMERCIAL", lots: str = "lots") -> DataFrame:
+    """Shares of houses, commercial units and sales of several lots, and the mean surface, of each place (A-32)."""
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return sales.groupBy(by).agg(share(F.col(kind) == house).alias("house_share"), share(F.col(kind) == commercial).alias("commercial_share"), share(F.col(lots) > 1).alias("bloc_share"), F.avg(surface).alias("mean_surface"))
 
 
 def observations(prices: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
@@ -142,12 +201,8 @@ def single_unit_sales(units: DataFrame) -> DataFrame:
 
 
 def latest_year_snapshot(sales: DataFrame, least: int = 10) -> DataFrame:
-    """City prices over the 12 months before the latest sale of all (A-11, J-08).
-
-    The latest day is one row, so its cross join is a broadcast of one row.
-    """
-    last = sales.agg(F.add_months(F.max("mutation_date"), -12).alias("since"))
-    recent = sales.crossJoin(F.broadcast(last)).where(F.col("mutation_date") > F.col("since"))
+    """City prices over the 12 months before the latest sale of all (A-11, J-08)."""
+    recent = since_latest(sales)
     sqm = F.col("price") / F.col("surface")
     p, s = F.percentile("price", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))), F.percentile(sqm, F.array(F.lit(0.1), F.lit(0.9)))
     out = recent.groupBy("city").agg(F.count("*").alias("n_sales"), F.avg("price").alias("avg_price"), p.alias("p"), s.alias("s")).where(F.col("n_sales") >= least)

@@ -50,12 +50,12 @@ def a05_surface_by_size(spark, d):
 
 @query(f"WITH {UNITS} " + _series_sql("count(DISTINCT mutation_id)", levels("units"), "TRUE", 1).replace("round(count(DISTINCT mutation_id), 6)", "count(DISTINCT mutation_id)"))
 def a06_transaction_volume(spark, d):
-    return S.volume(S.at_levels(units(spark, d)))
+    return S.volume(S.at_levels(S.each_sale_once(units(spark, d))))
 
 
 @query(f"WITH {UNITS} " + _series_sql("count(DISTINCT CASE WHEN nature = 'O' THEN mutation_id END) * 100.0::DOUBLE / count(DISTINCT mutation_id)", levels("units"), "TRUE", 5))
 def a07_off_plan_share(spark, d):
-    return _rounded(S.share_of_nature(S.at_levels(units(spark, d)), "O", 5), "value")
+    return _rounded(S.share_of_nature(S.at_levels(S.each_sale_once(units(spark, d))), "O", 5), "value")
 
 
 @query(f"WITH {UNITS}, land AS (SELECT mutation_id, mutation_date, nature, dept, city, region, max(price) AS price, sum(land) AS land FROM units WHERE land > 0 AND price > 0 GROUP BY ALL) " + _series_sql("quantile_cont(price / land, 0.5)", levels("land"), "TRUE", 5))
@@ -151,7 +151,16 @@ def p07_p12_s02_staged_sales(spark, d):
 
 @query(f"WITH {UNITS} SELECT region, dept, count(*) AS n FROM units GROUP BY ALL")
 def j02_region_rollup(spark, d):
-    return units(spark, d).groupBy("region", "dept").agg(F.count("*").alias("n"))
+    depts = table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("dept"), F.col("n_regionkey").cast("string").alias("region"))
+    return S.with_regions(units(spark, d).drop("region"), depts).groupBy("region", "dept").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS city, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS house_share, round(avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END), 6) AS commercial_share, round(avg(CASE WHEN lots > 1 THEN 1.0 ELSE 0.0 END), 6) AS bloc_share, round(avg(surface), 6) AS mean_surface FROM (SELECT l_orderkey, count(*) AS lots, sum(l_quantity) AS surface FROM lineitem GROUP BY 1) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def a32_sales_mix_full(spark, d):
+    lots = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lots"), F.sum("l_quantity").alias("surface"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = lots.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("city"), "o_orderstatus", "lots", "surface")
+    return _rounded(S.sales_mix(rows, "city", "o_orderstatus", "surface", "F", "P"), "house_share", "commercial_share", "bloc_share", "mean_surface")
 
 
 @query("SELECT c_mktsegment, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_acctbal > 5000 DESC, c_custkey) AS nth FROM customer) WHERE nth = 1")
@@ -339,22 +348,18 @@ def t01_a38_national_quarters(spark, d):
 
 @query(f"WITH {PRICES} SELECT unit_type, {_SIZE} AS size_class, CAST(date_trunc('quarter', mutation_date) AS DATE) AS period, round(quantile_cont(price / surface, 0.5), 6) AS value FROM prices WHERE {ONE} GROUP BY ALL HAVING count(*) >= 3")
 def a38_by_type_and_rooms(spark, d):
-    p = S.mutation_prices(units(spark, d), ("region",)).where(S.one_kind())
-    g = p.groupBy("unit_type", S.typology(F.col("rooms")).alias("size_class"), F.trunc("mutation_date", "quarter").alias("period")).agg(S.median(F.col("price") / F.col("surface")).alias("value"), F.count("*").alias("n"))
-    return _rounded(g.where("n >= 3").drop("n"), "value")
+    return _rounded(S.national_by_type(S.mutation_prices(units(spark, d), ("region",))), "value")
 
 
 @query(f"WITH {CLEAN} SELECT p.geo, p.period, p.value AS price, v.value AS volume FROM (SELECT * FROM clean WHERE serie = 'view') p FULL JOIN (SELECT * FROM clean WHERE serie = 'click') v ON p.geo = v.geo AND p.period = v.period".replace("SELECT p.geo, p.period", "SELECT coalesce(p.geo, v.geo) AS geo, coalesce(p.period, v.period) AS period"))
 def j11_panel(spark, d):
     a = _serie(spark, d, "view").select("geo", "period", F.col("value").alias("price"))
-    return a.join(_serie(spark, d, "click").select("geo", "period", F.col("value").alias("volume")), ["geo", "period"], "full")
+    return S.panel(a, _serie(spark, d, "click").select("geo", "period", F.col("value").alias("volume")))
 
 
 @query(f"WITH {SALES} SELECT count(*) AS n FROM sales WHERE mutation_date > (SELECT max(mutation_date) - INTERVAL 12 MONTH FROM sales)")
 def j08_scalar_window(spark, d):
-    s = sales(spark, d)
-    last = s.agg(F.add_months(F.max("mutation_date"), -12).alias("since"))
-    return s.crossJoin(F.broadcast(last)).where("mutation_date > since").agg(F.count("*").alias("n"))
+    return S.since_latest(sales(spark, d)).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {UNITS}, t AS (SELECT mutation_id, count(*) AS all_units FROM units GROUP BY 1) SELECT all_units, count(*) AS n FROM units JOIN t USING (mutation_id) GROUP BY 1")
