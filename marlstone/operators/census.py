@@ -117,3 +117,14 @@ def yearly_values(files: list[DataFrame], keys: list[str], value: str, line: str
         f = f.select(*keys, value, F.struct(F.lit(-k if first_wins else k).alias("file"), F.col(line).alias("line")).alias("_at"))
         rows = f if rows is None else rows.unionByName(f)
     return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max_by(value, "_at").alias(value))
+
+
+def named_means(rows: DataFrame, by: str, kind: str, value: str, names: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Means under each of the names of a row's kind, such as one rent file for two sizes (A-22)."""
+    of = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return rows.select(by, value, F.explode(of[F.col(kind)]).alias("name")).groupBy(by, "name").agg(F.avg(value).alias(value))
+
+
+def truncated_sums(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Sums of whole parts (A-24)."""
+    return rows.groupBy(by).agg(F.sum(F.col(value).cast("long")).alias(value))

@@ -14,6 +14,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import ratio
+from marlstone.operators.ranks import exact_quantile
+
 SEED = 42
 #: Feature levels as cumulative sets (M-17).
 FEATURE_LEVELS = {
@@ -24,8 +27,9 @@ FEATURE_LEVELS = {
 }
 
 
-def features_up_to(level: int) -> list[str]:
-    return [f for k in sorted(FEATURE_LEVELS) if k <= level for f in FEATURE_LEVELS[k]]
+def features_up_to(level: int, levels: dict[int, tuple[str, ...]] | None = None) -> list[str]:
+    levels = FEATURE_LEVELS if levels is None else levels
+    return [f for k in sorted(levels) if k <= level for f in levels[k]]
 
 
 def observed(rows: DataFrame, source: str = "source") -> DataFrame:
@@ -56,13 +60,13 @@ def scaled_vector(rows: DataFrame, vector: str, out: str = "scaled") -> DataFram
     return StandardScaler(inputCol=vector, outputCol=out, withMean=True, withStd=True).fit(rows).transform(rows)
 
 
-def scan_k(rows: DataFrame, ks: list[int], features: str = "scaled", seed: int = SEED) -> list[tuple[int, float, float]]:
+def scan_k(rows: DataFrame, ks: list[int], features: str = "scaled", seed: int = SEED, starts: int = 1) -> list[tuple[int, float, float]]:
     """k, cost and silhouette (squared Euclidean, by its own aggregation) of each (M-02)."""
     rows = rows.persist()
     out = []
     try:
         for k in ks:
-            m = KMeans(k=k, seed=seed, featuresCol=features).fit(rows)
+            m = best_kmeans(rows, k, starts, features, seed)
             out.append((k, m.summary.trainingCost, ClusteringEvaluator(featuresCol=features).evaluate(m.transform(rows)) if k > 1 else float("nan")))
     finally:
         rows.unpersist()
@@ -84,11 +88,10 @@ def anova_f(rows: DataFrame, group: str, values: list[str], least: int = 1) -> D
     return t.select("feature", ((between / (F.col("groups") - 1)) / (within / (F.col("n") - F.col("groups")))).alias("f"), "groups", "n")
 
 
-def f_weights(tested: DataFrame) -> dict[str, float]:
-    """Weights with mean 1 (M-03); a row for each feature."""
-    f = {r["feature"]: r["f"] for r in tested.collect()}
-    mean = sum(f.values()) / len(f)
-    return {k: v / mean for k, v in f.items()}
+def f_weights(tested: DataFrame) -> DataFrame:
+    """feature, weight: the F values over their mean (M-03)."""
+    mean = F.avg("f").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a row for each feature
+    return tested.select("feature", (F.col("f") / mean).alias("weight"))
 
 
 def weighted_vector(rows: DataFrame, weights: list[float], features: str = "scaled", out: str = "weighted") -> DataFrame:
@@ -172,6 +175,26 @@ def random_search(rows: DataFrame, label: str, categorical: list[str], numeric:
     return CrossValidator(estimator=Pipeline(stages=[*design(categorical, numeric), gbt]), estimatorParamMaps=maps, evaluator=judge, numFolds=folds, parallelism=parallelism, seed=seed).fit(rows.where("split = 'train'"))
 
 
+def importances(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """feature, importance of fitted trees (M-07); a category's dummies are features of their own."""
+    meta = model.transform(rows).schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    names = {a["idx"]: a["name"] for kind in meta.values() for a in kind}
+    values = model.stages[-1].featureImportances.toArray()
+    return rows.sparkSession.createDataFrame([(names.get(i, str(i)), float(v)) for i, v in enumerate(values)], "feature string, importance double")
+
+
+def ablation(rows: DataFrame, label: str, levels: dict[int, tuple[str, ...]] | None = None, iterations: int = 20) -> DataFrame:
+    """Test errors of models on the features up to each level (M-17): level, features, mae, rmse, r2, n."""
+    levels = FEATURE_LEVELS if levels is None else levels
+    out = None
+    for level in sorted(levels):
+        use = features_up_to(level, levels)
+        fitted = boosted(rows, label, [], use, iterations=iterations)
+        report = regression_report(fitted.transform(rows.where("split = 'test'")), label, "prediction").select(F.lit(level).alias("level"), F.lit(len(use)).alias("features"), "*")
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
 def group_baseline(train: DataFrame, rows: DataFrame, label: str, group: str, tau: float = 0.5, out: str = "baseline") -> DataFrame:
     """Quantile of the group in the train rows, else of all (A-33)."""
     m = train.groupBy(group).agg(F.percentile(label, F.lit(tau)).alias("_g"))
@@ -188,6 +211,42 @@ def horizon_models(panel: DataFrame, horizons: tuple[int, ...], numeric: list[st
     return out
 
 
+def persistence(panel: DataFrame, horizons: tuple[int, ...], first_test, value: str = "price") -> DataFrame:
+    """horizon, mae, n of the forecast that nothing changes, over the rows whose target is in the test periods (M-11)."""
+    parts = [F.struct(F.lit(h).alias("horizon"), F.col(f"target_{h}").alias("y"), F.col(f"period_{h}").alias("at")) for h in horizons]
+    rows = panel.select(F.col(value).alias("_v"), F.explode(F.array(*parts)).alias("t")).where(F.col("t.y").isNotNull() & F.col("_v").isNotNull() & (F.col("t.at") >= F.lit(first_test)))
+    return rows.groupBy("t.horizon").agg(F.avg(F.abs(F.col("t.y") - F.col("_v"))).alias("mae"), F.count("*").alias("n"))
+
+
+def horizon_report(models: dict[int, PipelineModel], panel: DataFrame, first_test, value: str = "price", coverage: float = 0.8) -> DataFrame:
+    """horizon, mae, margin, n, baseline_mae and the better of both, on the test rows of each horizon (M-11).
+
+    ``margin`` is the quantile of the absolute errors at the finite-sample
+    level of ``coverage``: forecasts lie within it that often.
+    """
+    out = None
+    for h, m in models.items():
+        test = panel.where(F.col(f"target_{h}").isNotNull() & (F.col(f"period_{h}") >= F.lit(first_test)))
+        e = m.transform(test).select(F.abs(F.col(f"target_{h}") - F.col("prediction")).alias("e"))
+        n = e.count()
+        level = min(1.0, math.ceil((n + 1) * coverage) / max(n, 1))
+        margin = exact_quantile(e, [], "e", level).select(F.col("quantile").alias("margin"))
+        n = e.agg(F.avg("e").alias("mae"), F.count("*").alias("n")).crossJoin(margin).select(F.lit(h).alias("horizon"), "mae", "margin", "n")
+        out = n if out is None else out.unionByName(n)
+    base = persistence(panel, tuple(models), first_test, value).select("horizon", F.col("mae").alias("baseline_mae"))
+    return out.join(base, "horizon", "left").withColumn("better", verdict(F.col("mae"), F.col("baseline_mae")))
+
+
+def forecast_ranges(models: dict[int, PipelineModel], latest: DataFrame, report: DataFrame, value: str = "price") -> DataFrame:
+    """Forecasts with their interval and growth in percent, for each horizon of horizon_report (M-12)."""
+    margins = report.agg(*[F.max(F.when(F.col("horizon") == h, F.col("margin"))).alias(f"_m{h}") for h in models])
+    out = forecast(models, latest).crossJoin(F.broadcast(margins))
+    for h in models:
+        f = F.col(f"forecast_{h}")
+        out = out.withColumns({f"low_{h}": f - F.col(f"_m{h}"), f"high_{h}": f + F.col(f"_m{h}"), f"growth_{h}": ratio(f - F.col(value), F.col(value), 100.0)})
+    return out.drop(*[f"_m{h}" for h in models])
+
+
 def forecast(models: dict[int, PipelineModel], latest: DataFrame) -> DataFrame:
     """Forecasts of all horizons for the latest complete rows (M-12)."""
     out = latest
@@ -214,11 +273,12 @@ def forest_quantiles(train: DataFrame, rows: DataFrame, label: str, numeric: lis
 
 
 def conformal_margin(rows: DataFrame, low: str, high: str, label: str, alpha: float = 0.2) -> DataFrame:
-    """Margin that widens the interval to its coverage: a quantile of the scores at the finite-sample level (M-14)."""
+    """margin, level, n: the quantile of the scores at the finite-sample level widens the interval to its coverage (M-14); no row without scores."""
     score = F.greatest(F.col(low) - F.col(label), F.col(label) - F.col(high))
     n = rows.where(F.col(label).isNotNull()).count()
     level = min(1.0, math.ceil((n + 1) * (1 - alpha)) / max(n, 1))
-    return rows.select(score.alias("s")).agg(F.percentile("s", F.lit(level)).alias("margin"), F.lit(level).alias("level"), F.count("s").alias("n"))
+    margin = exact_quantile(rows.select(score.alias("s")), [], "s", level)
+    return margin.select(F.col("quantile").alias("margin"), F.lit(level).alias("level"), "n")
 
 
 def interval_coverage(rows: DataFrame, low: str, high: str, label: str, margin: Column | None = None) -> DataFrame:

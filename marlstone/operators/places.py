@@ -96,3 +96,48 @@ def category_counts(pois_in_city: DataFrame, cities: DataFrame, categories: list
     out = cities.join(wide, "city", "left").na.fill(0, categories)
     total = sum((F.col(c) for c in categories), F.lit(0))
     return out.withColumn("per_1000", F.when(F.col("population") > 0, total * 1000.0 / F.col("population")))
+
+
+def in_box(rows: DataFrame, lon: tuple[float, float], lat: tuple[float, float]) -> DataFrame:
+    """Rows within a box of degrees, such as the mainland's (P-19)."""
+    return rows.where(F.col("lon").between(*lon) & F.col("lat").between(*lat))
+
+
+def without_departments(rows: DataFrame, heads: tuple[str, ...] = ("97", "98"), dept: str = "dept") -> DataFrame:
+    """Rows outside the departments that start so, overseas ones by default; unknown departments stay (P-20)."""
+    out = F.lit(False)
+    for h in heads:
+        out |= F.coalesce(F.startswith(dept, F.lit(h)), F.lit(False))
+    return rows.where(~out)
+
+
+def known_codes(sets: list[DataFrame], key: str) -> DataFrame:
+    """Codes that any of the sets has (U-02)."""
+    rows = sets[0].select(key)
+    for s in sets[1:]:
+        rows = rows.union(s.select(key))
+    return rows.distinct()
+
+
+def with_context(rows: DataFrame, context: DataFrame, key: str) -> DataFrame:
+    """Rows of places that have a context, with its columns (J-23)."""
+    return rows.join(context, key)
+
+
+def named(rows: DataFrame, dimension: DataFrame, key: str, name: str) -> DataFrame:
+    """A missing name is that of the dimension (J-26)."""
+    return backfilled(rows, dimension.select(key, name), key)
+
+
+def backfilled(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Nulls of the columns that ``other`` has too come from it (J-13); its keys are single."""
+    cols = [c for c in other.columns if c != key and c in rows.columns]
+    j = rows.join(other.select(key, *[F.col(c).alias(f"_o_{c}") for c in cols]), key, "left")
+    return j.select(*[F.coalesce(c, f"_o_{c}").alias(c) if c in cols else F.col(c) for c in rows.columns])
+
+
+def feature_table(base: DataFrame, parts: list[DataFrame], key: str, zero: tuple[str, ...] = ()) -> DataFrame:
+    """All places with the columns of each part (J-12); counts in ``zero`` are 0 where a part lacks the place."""
+    for p in parts:
+        base = base.join(p, key, "left")
+    return base.na.fill(0, list(zero)) if zero else base

@@ -13,7 +13,7 @@ from marlstone.operators import quality as Q
 from marlstone.operators import scores as R
 from marlstone.operators import spatial as G
 from marlstone.operators import windows as W
-from marlstone.plans.standins import CITIES, CLEAN, POINTS, SQL, cities, haversine, points, query, table
+from marlstone.plans.standins import CITIES, CLEAN, POINTS, SALES, SQL, cities, haversine, points, query, sales, table
 from marlstone.sources import readers as I
 from marlstone.sources import sinks as O
 
@@ -242,9 +242,8 @@ def a20_a25_latest_year(spark, d):
 
 @query("SELECT o_orderstatus AS code, name, avg(v) AS rent FROM (SELECT o_orderstatus, o_custkey % 7 AS v, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['t1', 't2'] ELSE ['t3', 't4'] END) AS name FROM orders) GROUP BY ALL")
 def a22_s09_rent_names(spark, d):
-    o = table(spark, d, "orders")
-    names = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("t1"), F.lit("t2"))).otherwise(F.array(F.lit("t3"), F.lit("t4")))
-    return o.select(F.col("o_orderstatus").alias("code"), (F.col("o_custkey") % 7).alias("v"), F.explode(names).alias("name")).groupBy("code", "name").agg(F.avg("v").alias("rent"))
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("code"), F.when(F.col("o_orderkey") % 2 == 0, "small").otherwise("large").alias("kind"), (F.col("o_custkey") % 7).alias("rent"))
+    return C.named_means(o, "code", "kind", "rent", {"small": ("t1", "t2"), "large": ("t3", "t4")})
 
 
 _RATES = "SELECT o_custkey AS code, year(o_orderdate) AS year, o_totalprice AS rate, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderstatus = 'F' {}, o_orderkey DESC) AS nth FROM orders"
@@ -268,7 +267,7 @@ def s24_later_file_wins(spark, d):
 
 @query("SELECT c_nationkey AS place, sum(CAST(trunc(c_acctbal) AS BIGINT))::BIGINT AS truncated FROM customer GROUP BY 1")
 def a24_truncated_sums(spark, d):
-    return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("place")).agg(F.sum(F.col("c_acctbal").cast("long")).alias("truncated"))
+    return C.truncated_sums(table(spark, d, "customer").select(F.col("c_nationkey").alias("place"), F.col("c_acctbal").alias("truncated")), "place", "truncated")
 
 
 @query("SELECT place, '{' || string_agg('\"' || kind || '\":' || CAST(n AS VARCHAR), ',' ORDER BY kind) || '}' AS breakdown FROM (SELECT c_nationkey AS place, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'other' END AS kind, count(*) AS n FROM customer GROUP BY ALL) GROUP BY place")
@@ -291,12 +290,10 @@ def a28_pyramid(spark, d):
     return C.pyramid(c, "place", "sex", "band", "n").select("place", F.to_json("pyramid").alias("pyramid"))
 
 
-@query("SELECT place, round(a * 100.0::DOUBLE / (a + b), 0) AS a, round(b * 100.0::DOUBLE / (a + b), 0) AS b FROM (SELECT c_nationkey AS place, count(*) FILTER (c_mktsegment = 'BUILDING') AS a, count(*) FILTER (c_mktsegment <> 'BUILDING') AS b FROM customer GROUP BY 1)")
+@query("SELECT place, round_even(a * 100.0::DOUBLE / (a + b), 1) AS a, round_even(b * 100.0::DOUBLE / (a + b), 1) AS b FROM (SELECT c_nationkey AS place, count(*) FILTER (c_mktsegment = 'BUILDING') AS a, count(*) FILTER (c_mktsegment <> 'BUILDING') AS b FROM customer GROUP BY 1)")
 def a29_a30_percent_map(spark, d):
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("place")).agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("a"), F.count_if(F.col("c_mktsegment") != "BUILDING").alias("b"))
-    m = c.select("place", C.percent_map(["a", "b"]).alias("m"), "a", "b")
-    # Compared without the digit, which the engines round differently at ties.
-    return m.select("place", F.round(F.col("a") * 100.0 / (F.col("a") + F.col("b")), 0).alias("a"), F.round(F.col("b") * 100.0 / (F.col("a") + F.col("b")), 0).alias("b")).where(m["m"].isNotNull())
+    return c.select("place", C.percent_map(["a", "b"]).alias("m")).select("place", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
 
 
 @query("SELECT c_nationkey AS place, round(avg(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1.0 ELSE 0.0 END), 6) AS house_share, round(avg(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END), 6) AS bloc_share FROM customer GROUP BY 1")
@@ -330,7 +327,18 @@ def a37_standardised_profile(spark, d):
 
 @query(f"WITH {CITIES} SELECT CASE WHEN price IS NULL THEN 'none' ELSE 'dvf' END AS source, count(*) AS n FROM cities GROUP BY 1")
 def a40_provenance(spark, d):
-    return cities(spark, d).groupBy(F.coalesce(F.when(F.col("price").isNotNull(), "dvf"), F.lit("none")).alias("source")).agg(F.count("*").alias("n"))
+    return Q.provenance(cities(spark, d).withColumn("source", F.lit(None).cast("string")), "price", "source")
+
+
+@query(f"WITH {CITIES} SELECT CASE WHEN price IS NULL AND rent IS NULL AND tax_rate IS NULL THEN 'none' WHEN price IS NOT NULL THEN 'dvf' ELSE 'estimated' END AS source, count(*) AS n FROM cities GROUP BY 1")
+def a40_three_sources(spark, d):
+    c = cities(spark, d).withColumn("source", F.when(F.col("price").isNull(), "estimated")).withColumn("price", F.coalesce("price", "rent", "tax_rate"))
+    return Q.provenance(c, "price", "source")
+
+
+@query(f"WITH {CITIES}, y AS (SELECT dept, avg(price) AS mean, count(*) AS n FROM cities WHERE price IS NOT NULL GROUP BY dept HAVING count(*) >= 3) SELECT dept, round(mean, 6) AS mean, n, row_number() OVER (ORDER BY mean DESC, dept) AS rank FROM y")
+def a34_departments_by_mean(spark, d):
+    return _rounded(Q.groups_by_mean(cities(spark, d), "dept", "price", 3), "mean")
 
 
 @query("SELECT s_nationkey AS place, count(*) FILTER (s_acctbal >= 1) AS active, count(*) FILTER (s_acctbal >= 1 AND s_suppkey % 2 = 0) AS entire FROM supplier GROUP BY 1")
@@ -378,7 +386,7 @@ def q03_housing_effort(spark, d):
 
 @query(f"WITH {CITIES} SELECT id, round((1 - vacancy) * 100, 6) AS tenant_rate FROM cities")
 def q04_tenant_rate(spark, d):
-    return cities(spark, d).select("id", F.round((1 - F.col("vacancy")) * 100, 6).alias("tenant_rate"))
+    return cities(spark, d).select("id", F.round(R.tenant_rate(F.col("vacancy")), 6).alias("tenant_rate"))
 
 
 @query(f"WITH {CITIES} SELECT id, round_even(vacancy * 100, 2) AS vacancy, CAST(round_even(population / 7, 0) AS BIGINT) AS population FROM cities")
@@ -476,7 +484,7 @@ def p23_implausible(spark, d):
 
 @query(f"WITH {CITIES} SELECT id FROM cities WHERE lon BETWEEN 1 AND 4 AND lat BETWEEN 44 AND 48 AND NOT regexp_matches(dept, '^(2[0-4])')")
 def p19_p20_regions_kept(spark, d):
-    return cities(spark, d).where(F.col("lon").between(1, 4) & F.col("lat").between(44, 48) & ~F.col("dept").rlike("^(2[0-4])")).select("id")
+    return P.without_departments(P.in_box(cities(spark, d), (1, 4), (44, 48)), ("20", "21", "22", "23", "24")).select("id")
 
 
 @query(f"WITH {CITIES} SELECT id, price IS NOT NULL AND rent IS NOT NULL AND tax_rate IS NOT NULL AS complete FROM cities")
@@ -507,15 +515,36 @@ def j12_j13_j21_j27_hand_off(spark, d):
 
 @query(f"WITH {CITIES} SELECT o_orderkey, population FROM orders JOIN customer ON o_custkey = c_custkey JOIN cities ON id = lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || lpad(CAST(ascii(c_mktsegment) AS VARCHAR), 3, '0')")
 def j23_sales_with_context(spark, d):
-    from marlstone.plans.standins import sales
-
-    return sales(spark, d).join(F.broadcast(cities(spark, d).select(F.col("id").alias("city"), "population")), "city").select(F.col("id").alias("o_orderkey"), "population")
+    return P.with_context(sales(spark, d), cities(spark, d).select(F.col("id").alias("city"), "population"), "city").select(F.col("id").alias("o_orderkey"), "population")
 
 
 @query("SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, n_name) AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def j26_dimension_name(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")), F.col("n_name")).alias("name"))
+    s = s.select("s_suppkey", F.col("s_nationkey").alias("key"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"))
+    return P.named(s, n.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), "key", "name").select("s_suppkey", "name")
+
+
+@query(f"""WITH {CITIES}, {SALES}, s AS (SELECT city, count(*) AS n_sales FROM sales GROUP BY city), m AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || lpad(CAST(ascii(c_mktsegment) AS VARCHAR), 3, '0') AS city, count(*) AS in_debt FROM customer WHERE c_acctbal < 0 GROUP BY 1)
+SELECT c.id AS city, c.price, coalesce(s.n_sales, 0) AS n_sales, coalesce(m.in_debt, 0) AS in_debt, z.rent AS zone_rent FROM cities c LEFT JOIN s ON s.city = c.id LEFT JOIN m ON m.city = c.id LEFT JOIN (SELECT id, rent FROM cities WHERE zone_no = 1) z ON z.id = c.id""")
+def j12_feature_table(spark, d):
+    c = cities(spark, d).withColumnRenamed("id", "city")
+    n_sales = sales(spark, d).groupBy("city").agg(F.count("*").alias("n_sales"))
+    debt = table(spark, d, "customer").where("c_acctbal < 0").groupBy(F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lpad(F.ascii("c_mktsegment").cast("string"), 3, "0")).alias("city")).agg(F.count("*").alias("in_debt"))
+    return P.feature_table(c.select("city", "price"), [n_sales, debt, c.where("zone_no = 1").select("city", F.col("rent").alias("zone_rent"))], "city", ("n_sales", "in_debt"))
+
+
+@query(f"WITH {CITIES} SELECT a.id, a.price, coalesce(a.rent, b.rent) AS rent FROM cities a LEFT JOIN (SELECT id, tax_rate AS rent FROM cities WHERE zone_no > 0) b USING (id)")
+def j13_backfilled(spark, d):
+    c = cities(spark, d)
+    return P.backfilled(c.select("id", "price", "rent"), c.where("zone_no > 0").select("id", F.col("tax_rate").alias("rent")), "id")
+
+
+@query(f"WITH {_OPP}, top AS (SELECT geo, score FROM s WHERE opp < 0 ORDER BY s.score DESC, geo LIMIT 20) SELECT geo, round(top.score, 6) AS score, price, rent, vacancy, tax_rate FROM top JOIN cities ON id = geo WHERE price IS NOT NULL AND rent IS NOT NULL")
+def j27_top_enriched(spark, d):
+    c = cities(spark, d).withColumnRenamed("id", "geo")
+    top = R.top_opportunities(_opportunities(spark, d), F.col("opp") < 0).select("geo", "score")
+    return _rounded(R.top_enriched(top, [c.select("geo", "price"), c.where("rent is not null").select("geo", "rent"), c.select("geo", "vacancy", "tax_rate")], "geo", ["price", "rent"]), "score")
 
 
 # --- quality -----------------------------------------------------------------
@@ -597,6 +626,19 @@ def s21_columns_reset(spark, d):
     return O.columns_reset(c, c.where("zone_no = 1").select("id", F.lit(7.0).alias("vacancy")), "id", F.col("zone_no").isin(1, 2)).select("id", "vacancy")
 
 
+@query(f"WITH {CITIES} SELECT id, coalesce(price, population / 10.0::DOUBLE) AS price, coalesce(rent, CASE WHEN zone_no <> 2 THEN vacancy END) AS rent, price IS NULL OR (rent IS NULL AND zone_no <> 2) AS estimated FROM cities")
+def s20_columns_filled(spark, d):
+    c = cities(spark, d).select("id", "price", "rent", "population", "zone_no", "vacancy")
+    guess = c.select("id", (F.col("population") / 10.0).alias("price"), F.when(F.col("zone_no") != 2, F.col("vacancy")).alias("rent"))
+    return O.columns_filled(c.select("id", "price", "rent"), guess, "id")
+
+
+@query(f"WITH {_OPP} SELECT geo, round(s.score, 6) AS score, round(opp, 6) AS opp FROM s")
+def s23_sidecar(spark, d):
+    _, detail = O.with_sidecar(_opportunities(spark, d), "geo", ["score"], ["opp"])
+    return _rounded(detail, "score", "opp")
+
+
 @query("SELECT o_orderkey, o_totalprice AS value FROM orders WHERE o_totalprice BETWEEN 10000 AND 250000")
 def s05_s06_banded(spark, d):
     good, _ = I.banded(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("t")), F.col("t"), 10000, 250000)
@@ -649,7 +691,7 @@ def s15_serie_points(spark, d):
 @query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
 def u01_u02_union(spark, d):
     a = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
-    return a.union(table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("k"))).distinct()
+    return P.known_codes([a, table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("k"))], "k")
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -680,6 +722,38 @@ def m03_m04_anova(spark, d):
     return _rounded(M.anova_f(e, "label", ["v"], 5), "f")
 
 
+_WEIGHTS = """WITH x AS (SELECT label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), g AS (SELECT i, label, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY ALL), t AS (SELECT i, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g GROUP BY i),
+f AS (SELECT i, ((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)) AS f FROM t)"""
+
+
+def _components(spark, d) -> tuple[DataFrame, list[str]]:
+    """All components of the vectors as columns v1, v2, ..."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"v{k + 1}" for k in range(n)]
+    return e.select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(v) for k, v in enumerate(names)]), names
+
+
+@query(_WEIGHTS + " SELECT 'v' || i AS feature, round(f / avg(f) OVER (), 4) AS weight FROM f")
+def m03_feature_weights(spark, d):
+    e, names = _components(spark, d)
+    return _rounded(M.f_weights(M.anova_f(e, "label", names)), "weight", digits=4)
+
+
+@query()
+def m03_weighted_refit(spark, d):
+    e, names = _components(spark, d)
+    rows = M.prepared(e, names)
+    w = {r["feature"]: r["weight"] for r in M.f_weights(M.anova_f(e, "label", names)).collect()}  # a row for each component
+    rows = M.weighted_vector(rows, [w[n] for n in names])
+    return M.best_kmeans(rows, 4, 2, "weighted").transform(rows).select("vec_id", "prediction")
+
+
+@query()
+def m02_k_scan(spark, d):
+    return spark.createDataFrame(M.scan_k(_vectors(spark, d), list(range(2, 11))), "k int, cost double, silhouette double")
+
+
 @query()
 def m05_f11_soft_clusters(spark, d):
     return M.soft_clusters(_vectors(spark, d), 3).select("id", "prediction", F.round("entropy", 4).alias("entropy"), "boundary")
@@ -704,6 +778,18 @@ def m07_m16_price_model(spark, d):
     return a.join(b.select("split", F.col("mae").alias("baseline_mae")), "split").withColumn("better", M.verdict(F.col("mae"), F.col("baseline_mae")))
 
 
+@query()
+def m07_importances(spark, d):
+    rows = _parts(spark, d)
+    return M.importances(M.boosted(rows, "y", ["p_type"], ["p_size", "k"], iterations=10), rows)
+
+
+@query()
+def m17_ablation(spark, d):
+    p = _parts(spark, d).withColumn("brand", F.regexp_extract("p_brand", "([0-9]+)", 1).try_cast("double")).na.fill(0.0, ["brand"])
+    return M.ablation(p, "y", {0: ("p_size",), 1: ("brand",), 2: ("k",)}, iterations=10)
+
+
 @query()
 def m10_m18_native_categories(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -721,6 +807,42 @@ def m11_m12_forecasts(spark, d):
     return M.forecast(models, last).select("geo", "period", "forecast_1", "forecast_2")
 
 
+#: Users pooled to places, so that every place has a value on nearly every day.
+_POOLED = CLEAN + ", pooled AS (SELECT geo % 20 AS geo, period, avg(value) AS price FROM clean WHERE serie = 'view' GROUP BY ALL)"
+
+
+def _daily(spark, d) -> DataFrame:
+    s = _series(spark, d).where("serie = 'view'").groupBy((F.col("geo") % 20).alias("geo"), "period").agg(F.avg("value").alias("price"))
+    return W.with_targets(W.with_lags(s))
+
+
+_FEATURES = ["price", "price_lag1", "price_lag2", "price_lag4"]
+
+
+@query(f"WITH {_POOLED}, t AS (SELECT *, unnest([1, 2, 3, 4]) AS horizon, unnest([lead(price, 1) OVER w, lead(price, 2) OVER w, lead(price, 3) OVER w, lead(price, 4) OVER w]) AS y, unnest([lead(period, 1) OVER w, lead(period, 2) OVER w, lead(period, 3) OVER w, lead(period, 4) OVER w]) AS target_day FROM pooled WINDOW w AS (PARTITION BY geo ORDER BY period)) SELECT horizon, round(avg(abs(y - price)), 6) AS mae, count(*) AS n FROM t WHERE y IS NOT NULL AND target_day >= DATE '2024-01-22' GROUP BY horizon")
+def m11_persistence(spark, d):
+    return _rounded(M.persistence(_daily(spark, d), (1, 2, 3, 4), F.to_date(F.lit("2024-01-22"))), "mae")
+
+
+def _horizons(spark, d):
+    panel = _daily(spark, d).na.drop(subset=_FEATURES)
+    first = F.to_date(F.lit("2024-01-22"))
+    models = M.horizon_models(panel, (1, 2, 3, 4), _FEATURES, first)
+    return panel, models, M.horizon_report(models, panel, first)
+
+
+@query()
+def m11_all_horizons(spark, d):
+    return _horizons(spark, d)[2]
+
+
+@query()
+def m12_forecast_ranges(spark, d):
+    panel, models, report = _horizons(spark, d)
+    out = M.forecast_ranges(models, W.keep_latest(panel, ["geo"], "period"), report)
+    return out.select("geo", "period", "price", *[f"{c}_{h}" for h in models for c in ("forecast", "low", "high", "growth")])
+
+
 @query()
 def m13_m14_intervals(spark, d):
     rows = _parts(spark, d)

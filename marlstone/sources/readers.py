@@ -110,7 +110,7 @@ def flat_communes(records: DataFrame) -> DataFrame:
 
 
 def polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Feature collection to code, rings and the mean of the first ring as representative point (S-14)."""
+    """Feature collection to code, rings and a representative point inside (S-14)."""
     schema = "features array<struct<properties:struct<code:string>,geometry:struct<type:string,coordinates:string>>>"
     f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties.code", "f.geometry.type", "f.geometry.coordinates").where("coordinates is not null")
     many = F.from_json("coordinates", "array<array<array<array<double>>>>")
@@ -118,9 +118,31 @@ def polygons(spark: SparkSession, path: str) -> DataFrame:
     rings = F.flatten(F.when(F.col("type") == "MultiPolygon", many).otherwise(one))
     points = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat"))))
     out = f.select("code", points.alias("rings")).where(F.size("rings") > 0)
-    first = F.get("rings", F.lit(0))
-    mean = lambda c: F.aggregate(first, F.lit(0.0), lambda a, p: a + p[c]) / F.size(first)
-    return out.withColumns({"lat": mean("lat"), "lon": mean("lon")})
+    return out.withColumn("_in", point_inside(F.col("rings"))).select("code", "rings", "_in.lat", "_in.lon")
+
+
+def point_inside(rings: Column) -> Column:
+    """Struct of lat and lon within a polygon: the middle of its widest stretch along a parallel.
+
+    The parallel runs half-way between two vertices near the middle of the
+    box, so that it touches none; edges of all rings cross it in pairs, and
+    holes are left out.  Without height it is the mean of the vertices.
+    """
+    points = F.flatten(rings)
+    lats = F.array_sort(F.array_distinct(F.transform(points, lambda p: p["lat"])))
+    k = F.greatest(F.floor(F.size(lats) / 2).cast("int"), F.lit(1))
+    edges = F.flatten(F.transform(rings, lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, F.pmod(i + 1, F.size(r))).alias("b")))))
+
+    def at(lat: Column) -> Column:
+        met = F.filter(edges, lambda e: (e["a"]["lat"] > lat) != (e["b"]["lat"] > lat))
+        xs = F.array_sort(F.transform(met, lambda e: e["a"]["lon"] + (lat - e["a"]["lat"]) / (e["b"]["lat"] - e["a"]["lat"]) * (e["b"]["lon"] - e["a"]["lon"])))
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 2, F.lit(0)), F.lit(2)), lambda i: F.struct((F.get(xs, i + 1) - F.get(xs, i)).alias("width"), ((F.get(xs, i + 1) + F.get(xs, i)) / 2).alias("lon")))
+        return F.array_max(pairs)["lon"]
+
+    middle = (F.get(lats, k - 1) + F.get(lats, k)) / 2
+    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[c]) / F.size(points)
+    flat = F.struct(mean("lat").alias("lat"), mean("lon").alias("lon"))
+    return F.when(F.size(lats) < 2, flat).otherwise(F.struct(middle.alias("lat"), at(middle).alias("lon")))
 
 
 def serie_points(points: DataFrame, name: str, level: str, cities: DataFrame | None = None, dept: str | None = None) -> DataFrame:

@@ -80,10 +80,15 @@ def export_csv(rows: DataFrame, path: str, value: str = "value") -> None:
     rows.withColumn(value, F.round(value, 4)).write.mode("overwrite").csv(path, header=True)
 
 
+def with_sidecar(rows: DataFrame, key: str, main: list[str], sidecar: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The main table, and the same with the parts it comes from."""
+    return rows.select(key, *main), rows.select(key, *main, *sidecar)
+
+
 def write_with_sidecar(rows: DataFrame, path: str, key: str, main: list[str], sidecar: list[str]) -> None:
     """Main columns and, beside them, the parts they come from (S-23)."""
-    rows.select(key, *main).write.mode("overwrite").parquet(path)
-    rows.select(key, *main, *sidecar).write.mode("overwrite").parquet(f"{path}_detail")
+    for df, where in zip(with_sidecar(rows, key, main, sidecar), (path, f"{path}_detail"), strict=True):
+        df.write.mode("overwrite").parquet(where)
 
 
 def publish(spark: SparkSession, base: str, model: str, tables: dict[str, DataFrame], metadata: dict, fitted=None) -> str:
