@@ -124,12 +124,15 @@ def polygons(spark: SparkSession, path: str) -> DataFrame:
 def point_inside(rings: Column) -> Column:
     """Struct of lat and lon within a polygon: the middle of its widest stretch along a parallel.
 
-    The parallel runs half-way between two vertices near the middle of the
-    box, so that it touches none; edges of all rings cross it in pairs, and
-    holes are left out.  Without height it is the mean of the vertices.
+    The parallel runs half-way between two neighbouring latitudes of vertices
+    near the middle of the ring with the largest box, so that it touches no
+    vertex of it; edges of all rings cross it in pairs, and holes are left
+    out.  Without height it is the mean of the vertices.
     """
     points = F.flatten(rings)
-    lats = F.array_sort(F.array_distinct(F.transform(points, lambda p: p["lat"])))
+    side = lambda r, c: F.array_max(F.transform(r, lambda p: p[c])) - F.array_min(F.transform(r, lambda p: p[c]))
+    main = F.array_max(F.transform(rings, lambda r: F.struct((side(r, "lon") * side(r, "lat")).alias("size"), r.alias("ring"))))["ring"]
+    lats = F.array_sort(F.array_distinct(F.transform(main, lambda p: p["lat"])))
     k = F.greatest(F.floor(F.size(lats) / 2).cast("int"), F.lit(1))
     edges = F.flatten(F.transform(rings, lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, F.pmod(i + 1, F.size(r))).alias("b")))))
 
