@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import discard, stored
+from marlstone.llm.common import broadcast_if_small, discard, stored
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that each end of a link (a, b) can reach.
 
     Alternates large-star and small-star steps until the edges form stars.
-    Every step is a grouped minimum and a join on the same key; each round is
-    written to the shared folder, and the one before it deleted.  Links from an id to itself and
-    null ends are ignored.
+    Every step is a grouped minimum and a join on the same key, by broadcast while
+    the counted ids are few; each round is written to the shared folder, and the
+    one before it deleted.  Links from an id to itself and null ends are ignored.
     """
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "edges")
@@ -23,11 +23,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).cast("long").alias("down")), F.struct(F.col("v").alias("x"), F.lit(1_000_000).cast("long").alias("down")))).alias("e"))
         if ends.groupBy("e.x").agg(F.sum("e.down").alias("n")).where("n > 1 and n % 1000000 > 0").isEmpty():
             break
+        ids = 2 * edges.count()  # at most; a grouped minimum has a row for each
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(broadcast_if_small(low, ids), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # a row for each edge
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        small = large.join(broadcast_if_small(low, ids), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         before, edges = edges, stored(small, "edges")
         discard(before)
     else:
