@@ -229,11 +229,11 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     """doc_id, n_shingles, component_id, kept, a row for each row of ``docs``."""
     with scratch(docs.sparkSession) as keep:
         signed = keep(stored(signatures(docs, id_col, text_col), "signatures"))
-        classes = keep(stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("id")), "classes"))
-        labels = _joined_classes(signed, classes, docs, percent, id_col, text_col)
+        classes = keep(stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("id"), *[F.any_value(x).alias(x) for x in ("s0", "s1", "tokens")]), "classes"))  # equal sets have equal sketches
+        labels = _joined_classes(classes, docs, percent, id_col, text_col)
         if labels is not None:
             keep(labels)
-    out = signed.select("doc_id", "n_shingles", "f0", "f1").join(classes, ["f0", "f1", "n_shingles"], "left")
+    out = signed.select("doc_id", "n_shingles", "f0", "f1").join(classes.select("f0", "f1", "n_shingles", "id"), ["f0", "f1", "n_shingles"], "left")
     if labels is None:
         found = out.withColumn("component_id", F.coalesce("id", "doc_id"))
     else:
@@ -249,10 +249,9 @@ def _mixed(live: DataFrame) -> DataFrame:
     return join_counted(live, stored(mixed, "mixed"), ["node"], "rows").drop("rows")
 
 
-def _joined_classes(signed: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame | None:
+def _joined_classes(classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame | None:
     """(id, component) of the classes that are linked with others; stored."""
-    first = signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "f0", "f1", "n_shingles", "s0", "s1", "tokens")
-    members = stored(first.join(classes, ["id", "f0", "f1", "n_shingles"]).dropDuplicates(["id", "f0", "f1", "n_shingles"]).select("id", "s0", "s1", F.col("n_shingles").alias("m"), "tokens"), "members")
+    members = classes.select("id", "s0", "s1", F.col("n_shingles").alias("m"), "tokens")
     labels = None
 
     def settle(keep, pairs: DataFrame, more: DataFrame | None = None) -> None:
