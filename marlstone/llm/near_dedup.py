@@ -269,6 +269,8 @@ def _joined_classes(classes: DataFrame, docs: DataFrame, percent: int, id_col: s
                 for side in ("a", "b"):
                     found = found.join(labels.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
             new = components(found)
+            if new.isEmpty():
+                return
             if labels is not None:
                 new = labels.select("id", F.col("component").alias("old")).join(new.select(F.col("id").alias("old"), F.col("component").alias("c")), "old", "left").select("id", F.coalesce("c", "old").alias("component")).union(new).distinct()
             old, labels = labels, keep(own(stored(new, "labels")))
@@ -276,15 +278,15 @@ def _joined_classes(classes: DataFrame, docs: DataFrame, percent: int, id_col: s
             discard(old)
 
     # First level: a coordinate for each tree.
-    live = members.select("id", "s0", "s1", "m", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "t")).select(F.xxhash64("k", "t").alias("node"), "id", "s0", "s1", "m")
+    live = members.select("id", "s0", "s1", "m", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "t")).select(F.xxhash64("k", "t").alias("node"), "id", F.col("id").alias("c"), "s0", "s1", "m")
     for level in range(1, LEVELS + 1):
         with scratch(docs.sparkSession) as keep:
-            pivot = [F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("r"), F.col("id").alias("pid"), F.col("s0").alias("ps0"), F.col("s1").alias("ps1"))) for k in range(PIVOTS)]
+            pivot = [F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("r"), F.col("id").alias("pid"), F.col("c").alias("pc"), F.col("s0").alias("ps0"), F.col("s1").alias("ps1"))) for k in range(PIVOTS)]
             nodes = live.groupBy("node").agg(F.count("*").alias("n"), F.sum("m").alias("all_shingles"), F.array_distinct(F.array(*pivot)).alias("pivots")).where("n > 1")
             live = stored(join_counted(live, stored(nodes, "nodes"), ["node"]), "live")
-            star = live.select("id", "s0", "s1", F.explode("pivots").alias("p")).select("id", "s0", "s1", "p.*").where((F.col("id") != F.col("pid")) & _near("", "p"))
+            star = live.select("id", "c", "s0", "s1", F.explode("pivots").alias("p")).select("id", "c", "s0", "s1", "p.*").where((F.col("c") != F.col("pc")) & _near("", "p"))
             settle(keep, star.select(F.col("pid").alias("hub"), F.col("id").alias("other")))
-            live = stored(_with_component(live.where("n > 2").drop("pivots"), labels), "labelled")
+            live = stored(_with_component(live.where("n > 2").drop("pivots", "c"), labels), "labelled")
             live = stored(_mixed(live), "live")
             small = live.where(F.col("n") <= SMALL_NODE).groupBy("node").agg(F.collect_list(F.struct("c", "id", "s0", "s1")).alias("m"))  # at most SMALL_NODE of a node
 
@@ -308,7 +310,7 @@ def _joined_classes(classes: DataFrame, docs: DataFrame, percent: int, id_col: s
             rest = stored(_with_component(rest.select("node", "id", "s0", "s1", "m"), labels), "rest")
             grown = _mixed(rest).join(members.select("id", "tokens"), "id")
             child = F.explode(F.array(*[F.xxhash64("node", F.lit(b), F.get("tokens", F.pmod(F.xxhash64("node", F.lit(b), F.lit("coordinate")), F.lit(TOKENS)).cast("int"))) for b in range(BRANCHES)])).alias("node")
-            live = keep(stored(grown.select(child, "id", "s0", "s1", "m").distinct(), "children"))
+            live = keep(stored(grown.select(child, "id", "c", "s0", "s1", "m").distinct(), "children"))
     return labels
 
 
