@@ -29,6 +29,7 @@ kept; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ TREES, BRANCHES, LEVELS = 10, 2, 10
 SMALL_NODE, PIVOTS = 64, 3
 #: Documents and shingles of a node, or of a block of a larger one, that a task holds at a time.
 LARGE_NODE, LARGE_SHINGLES = 4096, 8_000_000
+#: Documents times shingles of a node up to which it is compared in blocks and does not branch.
+NODE_WORK = LARGE_NODE * LARGE_SHINGLES
 #: Documents times shingles that a task compares at a time, and pairs of one hub that are confirmed side by side.
 BLOCK_WORK, HUB_PAIRS = 500_000_000, 256
 BINS, TOKENS = 128, 64
@@ -159,14 +162,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
 def joining_links(sets: list[np.ndarray], c: list[int], percent: int, split: int = 0) -> list[tuple[int, int]]:
     """Positions of pairs that join components ``c``, one for each union; only across ``split`` if it is given.
 
-    A document outside the largest component is held against all others at
-    once: its shingles are marked in the vocabulary of all sets, and marks are
-    counted set by set.
+    A document outside the largest component is held against all others, or
+    all of the other side, at once: its shingles are marked in the vocabulary
+    of all sets, and marks are counted set by set.  Across ``split`` the first
+    side is held against the second where that is less.
     """
     sizes = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.zeros(len(sets), dtype=np.int64)
-    np.cumsum(sizes[:-1], out=starts[1:])
+    starts = np.zeros(len(sets) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=starts[1:])
     root = {x: x for x in c}
 
     def find(x: int) -> int:
@@ -175,17 +179,21 @@ def joining_links(sets: list[np.ndarray], c: list[int], percent: int, split: int
             x = root[x]
         return x
 
-    largest, out = max(root, key=c.count) if len(root) < len(c) else None, []
-    mark = np.zeros(flat.max() + 1, dtype=np.int32)
-    for k in range(len(sets)):
-        if c[k] == largest and not split or split and k >= split:
-            continue
-        own = flat[starts[k] : starts[k] + sizes[k]]
+    held = range(len(sets))
+    if len(root) < len(c):
+        largest = max(root, key=Counter(c).__getitem__)
+        held = [k for k in held if c[k] != largest]
+    if split and split <= len(held):
+        held = range(split)
+    mark, out = np.zeros(flat.max() + 1, dtype=np.int32), []
+    for k in held:
+        a, b = (0, len(sets)) if not split else (split, len(sets)) if k < split else (0, split)
+        own = flat[starts[k] : starts[k + 1]]
         mark[own] = 1
-        both = np.add.reduceat(mark[flat], starts)
+        both = np.add.reduceat(mark[flat[starts[a] : starts[b]]], starts[a:b] - starts[a])
         mark[own] = 0
-        for j in np.flatnonzero(both * 100 >= percent * (sizes + sizes[k] - both)).tolist():
-            if (not split or j >= split) and find(c[k]) != find(c[j]):
+        for j in (a + np.flatnonzero(both * 100 >= percent * (sizes[a:b] + sizes[k] - both))).tolist():
+            if find(c[k]) != find(c[j]):
                 root[find(c[k])] = find(c[j])
                 out.append((k, j))
     return out
@@ -206,7 +214,7 @@ def linked_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
         ids = group["id"].to_numpy()
         return pd.DataFrame({"a": [min(ids[x], ids[y]) for x, y in found], "b": [max(ids[x], ids[y]) for x, y in found]}, dtype="int64")
 
-    blocks = F.greatest(F.ceil(F.col("n") / LARGE_NODE), F.ceil(F.col("all_shingles") / LARGE_SHINGLES), F.ceil(F.sqrt(F.col("n") * F.col("all_shingles") / BLOCK_WORK))).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / LARGE_NODE), F.ceil(F.col("all_shingles") / LARGE_SHINGLES), F.ceil(F.sqrt(F.col("n").cast("double") * F.col("all_shingles") / BLOCK_WORK))).cast("int")
     placed = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id", F.lit("block")), blocks)})
     # Block x meets the blocks from x on: its rows are side 0 of pairs (x, y) and side 1 of pairs (w, x).
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("block", y).alias("x"), F.greatest("block", y).alias("y"), (y < F.col("block")).cast("int").alias("side")))
@@ -297,7 +305,7 @@ def _joined_classes(classes: DataFrame, docs: DataFrame, percent: int, id_col: s
                 return F.transform(others(x), lambda y: F.struct(x.id.alias("hub"), y.id.alias("other")))
 
             pairs = small.select(F.explode(F.flatten(F.transform("m", links))).alias("e")).select("e.*")
-            held = (F.col("n") <= LARGE_NODE) & (F.col("all_shingles") <= LARGE_SHINGLES) if level < LEVELS else F.lit(True)
+            held = F.col("n").cast("double") * F.col("all_shingles") <= NODE_WORK if level < LEVELS else F.lit(True)
             large, joined = live.where((F.col("n") > SMALL_NODE) & held), None
             if not large.isEmpty():
                 ids = stored(large.select("id").distinct(), "ids")

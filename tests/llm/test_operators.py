@@ -595,13 +595,40 @@ def test_near_copies_in_large_groups(spark, monkeypatch):
             w[p] = f"e{k}_{p}"
         rows.append((k, " ".join(w)))
     want = _components({k: _set(t) for k, t in rows})
-    for large, levels in ((4096, 10), (100, 3)):
+    for large, work, levels in ((4096, N.NODE_WORK, 10), (100, N.NODE_WORK, 10), (100, 1_000_000, 3)):  # whole, in blocks, branching
         monkeypatch.setattr(N, "LARGE_NODE", large)
+        monkeypatch.setattr(N, "NODE_WORK", work)
         monkeypatch.setattr(N, "LEVELS", levels)
         got = {r["doc_id"]: r["component_id"] for r in N.similar_components(docs_of(spark, rows)).collect()}
         assert got == want
 
 
+@pytest.mark.parametrize("split", [0, 1, 9, 23])
+@pytest.mark.parametrize("kinds", [1, 3, 24])
+def test_joining_links(split, kinds):
+    """The links join the same components as those of all pairs, within one block or across two."""
+    from marlstone.llm.near_dedup import joining_links
+
+    rng = np.random.default_rng(split * 100 + kinds)
+    bases = [rng.choice(10_000, 40, replace=False).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([bases[k % 6][: 40 - k % 5], rng.integers(20_000, 30_000, k % 7).astype(np.uint64)])) for k in range(24)]
+    c = [k if kinds == 24 else 0 if k % 3 else k % kinds for k in range(24)]
+
+    def closed(links):
+        up = {x: x for x in c}
+        for _ in c:
+            for i, j in links:
+                up[c[i]] = up[c[j]] = min(up[c[i]], up[c[j]])
+            up = {x: up[y] for x, y in up.items()}
+        return up
+
+    across = [(i, j) for i in range(24) for j in range(i + 1, 24) if not split or i < split <= j]
+    linked = [(i, j) for i, j in across if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+    got = joining_links(sets, c, 75, split)
+    assert {tuple(sorted(x)) for x in got} <= set(linked)
+    assert closed(got) == closed(linked)
+
+
 # --- op10 --------------------------------------------------------------------
 
 def _removed(rows):
