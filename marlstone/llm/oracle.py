@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from marlstone.llm.decontamination import OP7_SQL
+from marlstone.llm.prefix_trie import OP12_SQL
+from marlstone.llm.ranked_search import OP13_SQL
 from marlstone.llm.secrets import BASE, RULES
 from marlstone.llm.substring_dedup import WINDOW
 
@@ -44,4 +46,4 @@ kept AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM
 SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM words d LEFT JOIN kept k USING (doc_id)
 """
 
-SQL = {"op6_secret_scan": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_near_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+SQL = {"op6_secret_scan": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_near_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_ranked_search": OP13_SQL}
