@@ -14,7 +14,8 @@ the id and dealt to at most ``SHARDS`` by it.  In each round every shard starts
 from the same state and takes its rows one after the other; the states are
 averaged per feature by Spark.  Small samples have fewer shards and more
 rounds, so that each shard makes ``STEPS`` steps.  Tasks hold a state (two numbers for each
-feature) and one batch of rows, the driver the averaged state.
+feature) and one batch of rows, the driver the averaged state and what the
+shards changed of it.
 
 Defined cases: null and empty texts have the bias alone and get its score;
 repeated rows and null ids give a row each; rows with null labels aren't
@@ -55,7 +56,7 @@ _DITTO, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of a group of texts: features, values, and where each text's begin (one entry more than texts).  The bias isn't among them."""
+    """Sparse rows of a group of texts: features, their counts, and where each text's begin (one entry more than texts).  The bias isn't among them."""
     joined, starts, ends, at = class_runs(texts, _CLASSES)
     of = np.repeat(np.arange(len(texts)), np.diff(at))
     h = run_hashes(joined, starts, ends)
@@ -66,9 +67,13 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     pairs = mix(h[:-1] * _PAIR + h[1:])[inner]
     keys = np.concatenate([of, of[1:][inner]]) << BITS | np.concatenate([mix(h), pairs]).astype(np.uint64).__rshift__(np.uint64(64 - BITS)).astype(np.int64)
     found, counts = np.unique(keys, return_counts=True)
-    rows = found >> BITS
-    total = np.bincount(rows, weights=counts, minlength=len(texts))
-    return (found & ((1 << BITS) - 1)).astype(np.int32), np.sqrt(counts / total[rows]), np.searchsorted(rows, np.arange(len(texts) + 1))
+    return (found & ((1 << BITS) - 1)).astype(np.int32), counts, np.searchsorted(found >> BITS, np.arange(len(texts) + 1))
+
+
+def values(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Square roots of the counts' shares of each text."""
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    return np.sqrt(counts / np.repeat(sums[at[1:]] - sums[at[:-1]], np.diff(at)))
 
 
 def weights(z: np.ndarray, n: np.ndarray, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
@@ -76,11 +81,11 @@ def weights(z: np.ndarray, n: np.ndarray, alpha: float = ALPHA, beta: float = BE
     return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def update(z: np.ndarray, n: np.ndarray, which: np.ndarray, values: np.ndarray, label: float, alpha: float = ALPHA, **rates: float) -> None:
+def update(z: np.ndarray, n: np.ndarray, which: np.ndarray, x: np.ndarray, label: float, alpha: float = ALPHA, **rates: float) -> None:
     """One step of the state, in place, for one row with distinct features."""
     old_z, old_n = z[which], n[which]
     w = weights(old_z, old_n, alpha, **rates)
-    g = (1 / (1 + np.exp(-np.clip(w @ values, -35, 35))) - label) * values
+    g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
     new_n = old_n + g * g
     z[which] = old_z + g - (np.sqrt(new_n) - np.sqrt(old_n)) / alpha * w
     n[which] = new_n
@@ -119,12 +124,11 @@ def _points(sample: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in in_groups(batch.column(1).to_pylist(), GROUP_BYTES):
-                which, values, at = features(texts)
+                *lists, at = features(texts)
                 part = batch.slice(first, len(texts))
-                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (which, values.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], ["key", "label", "which", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in lists)], ["key", "label", "which", "counts"])
 
-    return sample.mapInArrow(rows, "key long, label double, which array<int>, value array<float>")
+    return sample.mapInArrow(rows, "key long, label double, which array<int>, counts array<int>")
 
 
 def train(sample: DataFrame, shards: int | None = None, rounds: int | None = None, **rates: float) -> Model:
@@ -147,28 +151,29 @@ def train(sample: DataFrame, shards: int | None = None, rounds: int | None = Non
             def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 def moved() -> pa.RecordBatch:
                     which = np.flatnonzero(own[1] != state.value[1])
-                    return pa.RecordBatch.from_arrays([pa.array(x) for x in (which, own[0][which] - state.value[0][which], own[1][which] - state.value[1][which])], ["feature", "dz", "dn"])
+                    change = (which.astype(np.int32), *((x[which] - y[which]).astype(np.float32) for x, y in zip(own, state.value, strict=True)))
+                    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in change], ["which", "dz", "dn"])
 
                 now = own = None
                 for batch in batches:
                     shard, label = batch.column("shard").to_numpy(), batch.column("label").to_numpy()
-                    which, value = batch.column("which"), batch.column("value")
+                    which, counts = batch.column("which"), batch.column("counts")
                     for k in range(batch.num_rows):
                         if shard[k] != now:
                             if own is not None:
                                 yield moved()
                             now, own = shard[k], (state.value[0].copy(), state.value[1].copy())
-                        i = np.append(which[k].values.to_numpy(), BUCKETS - 1)
-                        update(*own, i, np.append(value[k].values.to_numpy().astype(float), 1.0), label[k], **rates)
+                        c = counts[k].values.to_numpy()
+                        update(*own, np.append(which[k].values.to_numpy(), BUCKETS - 1), np.append(np.sqrt(c / c.sum()), 1.0), label[k], **rates)
                 if own is not None:
                     yield moved()
 
             dealt = points.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("key"), "key")
-            change = dealt.mapInArrow(steps, "feature long, dz double, dn double").groupBy("feature").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toArrow()  # a row for each feature at most
-            i = change["feature"].to_numpy()
             z, n = z.copy(), n.copy()
-            z[i] += change["dz"].to_numpy() / present
-            n[i] += change["dn"].to_numpy() / present
+            for change in dealt.mapInArrow(steps, "which binary, dz binary, dn binary").collect():  # a row for each shard, of 12 bytes a feature at most
+                i = np.frombuffer(change["which"], np.int32)
+                z[i] += np.frombuffer(change["dz"], np.float32) / present
+                n[i] += np.frombuffer(change["dn"], np.float32) / present
             state.destroy()
     w = weights(z, n, **rates)
     which = np.flatnonzero(w[:-1])
@@ -182,8 +187,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         w = model.dense()
         for batch in batches:
             for first, texts in in_groups(batch.column(1).to_pylist(), GROUP_BYTES):
-                which, values, at = features(texts)
-                sums = np.concatenate([[0.0], np.cumsum(w[which] * values)])
+                which, counts, at = features(texts)
+                sums = np.concatenate([[0.0], np.cumsum(w[which] * values(counts, at))])
                 dots = sums[at[1:]] - sums[at[:-1]] + model.bias
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))))], ["doc_id", "score"])
 

@@ -25,15 +25,16 @@ def _ngrams(text):
 
 
 def test_features():
-    which, values, at = Q.features([t and t.encode() for t in ODD])
+    which, counts, at = Q.features([t and t.encode() for t in ODD])
+    values = Q.values(counts, at)
     for k, text in enumerate(ODD):
         want = _ngrams(text)
         total = sum(want.values())
-        got = values[at[k] : at[k + 1]]
-        assert len(set(which[at[k] : at[k + 1]].tolist())) == len(got)
-        assert (got**2).sum() == pytest.approx(1.0 if total else 0.0)
+        got = counts[at[k] : at[k + 1]]
+        assert len(set(which[at[k] : at[k + 1]].tolist())) == len(got) and got.sum() == total
+        assert values[at[k] : at[k + 1]] == pytest.approx(np.sqrt(got / max(total, 1)))
         if len(want) < 1000:  # few features, so that none falls together with another
-            assert sorted(np.rint(got**2 * total).astype(int).tolist()) == sorted(want.values())
+            assert sorted(got.tolist()) == sorted(want.values())
 
 
 def _loop(points, alpha=Q.ALPHA, beta=Q.BETA, l1=Q.L1, l2=Q.L2):
@@ -60,8 +61,8 @@ def test_updates(spark):
     order = [r["key"] // 7919 for r in sample.select("key").orderBy(F.xxhash64("key"), "key").collect()]
 
     def point(k):
-        which, values, _ = Q.features([texts[k].encode()])
-        return dict(zip(which.tolist(), values.astype(np.float32).astype(float).tolist(), strict=True)) | {Q.BUCKETS - 1: 1.0}, float(k % 3 > 0)
+        which, counts, at = Q.features([texts[k].encode()])
+        return dict(zip(which.tolist(), Q.values(counts, at).tolist(), strict=True)) | {Q.BUCKETS - 1: 1.0}, float(k % 3 > 0)
 
     want = _loop([point(k) for k in order])
     model = Q.train(sample, shards=1, rounds=1)
