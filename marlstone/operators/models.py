@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import ratio
+from marlstone.operators.clusters import Fit, hashed_first, kmeans_fits, silhouettes, soft_clusters, split_clusters  # noqa: F401  (soft and split clusters belong to the models)
 from marlstone.operators.ranks import exact_quantile
 
 SEED = 42
@@ -60,23 +60,16 @@ def scaled_vector(rows: DataFrame, vector: str, out: str = "scaled") -> DataFram
     return StandardScaler(inputCol=vector, outputCol=out, withMean=True, withStd=True).fit(rows).transform(rows)
 
 
-def scan_k(rows: DataFrame, ks: list[int], features: str = "scaled", seed: int = SEED, starts: int = 1) -> list[tuple[int, float, float]]:
-    """k, cost and silhouette (squared Euclidean, by its own aggregation) of each (M-02)."""
-    rows = rows.persist()
-    out = []
-    try:
-        for k in ks:
-            m = best_kmeans(rows, k, starts, features, seed)
-            out.append((k, m.summary.trainingCost, ClusteringEvaluator(featuresCol=features).evaluate(m.transform(rows)) if k > 1 else float("nan")))
-    finally:
-        rows.unpersist()
-    return out
+def scan_k(rows: DataFrame, ks: list[int], features: str = "scaled", seed: int = SEED, starts: int = 10) -> list[tuple[int, float, float]]:
+    """k, cost and silhouette (on at most 5,000 rows) of each, all fits side by side (M-02)."""
+    fits = kmeans_fits(rows, ks, starts, features=features, seed=seed)
+    wide = silhouettes(rows, [f for f in fits if f.k > 1], features)
+    return [(f.k, f.cost, wide.get(f.k, float("nan"))) for f in fits]
 
 
-def best_kmeans(rows: DataFrame, k: int, starts: int = 10, features: str = "scaled", seed: int = SEED) -> KMeansModel:
+def best_kmeans(rows: DataFrame, k: int, starts: int = 10, features: str = "scaled", seed: int = SEED) -> Fit:
     """The fit with the lowest cost of several starts."""
-    fits = [KMeans(k=k, seed=seed + s, featuresCol=features).fit(rows) for s in range(starts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    return kmeans_fits(rows, [k], starts, features=features, seed=seed)[0]
 
 
 def anova_f(rows: DataFrame, group: str, values: list[str], least: int = 1) -> DataFrame:
@@ -102,34 +95,11 @@ def weighted_vector(rows: DataFrame, weights: list[float], features: str = "scal
     return ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(w) for w in weights]), inputCol=features, outputCol=out).transform(rows)
 
 
-def soft_clusters(rows: DataFrame, k: int, features: str = "scaled", seed: int = SEED) -> DataFrame:
-    """Mixture membership, its entropy over log k, and the boundary flag above one half (M-05, F-11)."""
-    m = GaussianMixture(k=k, seed=seed, featuresCol=features).fit(rows)
-    p = vector_to_array("probability")
-    entropy = -F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log(x)).otherwise(0.0)) / math.log(k)
-    return m.transform(rows).withColumn("entropy", entropy).withColumn("boundary", F.col("entropy") > 0.5)
-
-
-def split_clusters(rows: DataFrame, group: str, k: int = 2, least: int = 100, features: str = "scaled", seed: int = SEED) -> DataFrame:
-    """k-means within each of a few groups; small groups stay whole (M-06): column cluster."""
-    out = None
-    for r in rows.groupBy(group).count().orderBy(group).collect():  # a row for each of at most five groups
-        part = rows.where(F.col(group).eqNullSafe(F.lit(r[group])))
-        if r["count"] >= least:
-            part = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="_k").fit(part).transform(part).withColumn("cluster", F.concat_ws("_", F.col(group).cast("string"), F.col("_k").cast("string"))).drop("_k")
-        else:
-            part = part.withColumn("cluster", F.col(group).cast("string"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def representatives(rows: DataFrame, model: KMeansModel, features: str = "scaled", key: str = "id", n: int = 8) -> DataFrame:
+def representatives(rows: DataFrame, model: Fit, features: str = "scaled", key: str = "id", n: int = 8) -> DataFrame:
     """The n members nearest to the centre of each cluster (W-18)."""
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    v = vector_to_array(features)
-    d = F.aggregate(F.zip_with(v, F.get(centres, F.col("prediction")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     rank = F.row_number().over(Window.partitionBy("prediction").orderBy("distance", key))
-    return model.transform(rows).withColumn("distance", d).withColumn("rank", rank).where(F.col("rank") <= n)
+    rows = rows.withColumn("prediction", model.column(features))
+    return rows.withColumn("distance", model.distance(features, F.col("prediction"))).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def design(categorical: list[str], numeric: list[str], one_hot: bool = True, out: str = "features") -> list:
@@ -310,6 +280,6 @@ def handed_off(base: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
     return base
 
 
-def bounded_sample(rows: DataFrame, key: str, n: int, total: int, salt: str = "sample") -> DataFrame:
-    """About n of ``total`` rows, the same in every run and at any partitioning (T-07)."""
-    return rows.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, n / max(total, 1))))
+def bounded_sample(rows: DataFrame, key: str, n: int, salt: str = "sample") -> DataFrame:
+    """Exactly n rows (all, if fewer), the same in every run and at any partitioning (T-07)."""
+    return hashed_first(rows, [key], n, salt)

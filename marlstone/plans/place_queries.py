@@ -712,7 +712,7 @@ def _vectors(spark, d) -> DataFrame:
 @query()
 def m02_w18_kmeans_representatives(spark, d):
     rows = _vectors(spark, d)
-    return M.representatives(rows, M.best_kmeans(rows, 4, starts=2)).select("id", "prediction", "rank", F.round("distance", 4).alias("distance"))
+    return M.representatives(rows, M.best_kmeans(rows, 4)).select("id", "prediction", "rank", F.round("distance", 4).alias("distance"))
 
 
 @query("""WITH x AS (SELECT label, embedding[1]::DOUBLE AS v FROM embeddings), g AS (SELECT label, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY 1 HAVING count(*) >= 5), t AS (SELECT count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g)
@@ -746,7 +746,7 @@ def m03_weighted_refit(spark, d):
     rows = M.prepared(e, names)
     w = {r["feature"]: r["weight"] for r in M.f_weights(M.anova_f(e, "label", names)).collect()}  # a row for each component
     rows = M.weighted_vector(rows, [w[n] for n in names])
-    return M.best_kmeans(rows, 4, 2, "weighted").transform(rows).select("vec_id", "prediction")
+    return rows.select("vec_id", M.best_kmeans(rows, 4, features="weighted").column("weighted").alias("prediction"))
 
 
 @query()
@@ -870,7 +870,7 @@ def m01_f09_prepared(spark, d):
 @query()
 def m09_t07_splits(spark, d):
     c = cities(spark, d)
-    return M.split_by_hash(M.bounded_sample(c, "id", 60, 125), "id", candidates=F.col("price").isNotNull()).select("id", "split")
+    return M.split_by_hash(M.bounded_sample(c, "id", 60), "id", candidates=F.col("price").isNotNull()).select("id", "split")
 
 
 @query("SELECT s_suppkey, ['A_BIS', 'A', 'B1', 'B2', 'C'][s_nationkey % 5 + 1] AS zone, s_nationkey % 5 < 2 AS high_demand FROM supplier")

@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from marlstone.plans import place_queries, sales_queries  # noqa: F401  (they register their queries)
 from marlstone.plans.standins import QUERIES, cities, sales
 
 SF = "/root/testdata/sf0.001"
