@@ -74,27 +74,6 @@ def nearest_in_block(points: DataFrame, centroids: DataFrame, block: str, point_
     return p.join(c, "block").groupBy("point").agg(F.min(F.struct(d.alias("d"), "centroid")).alias("m")).select("point", F.col("m.centroid").alias("centroid"))
 
 
-def nearest_per_category(targets: DataFrame, points: DataFrame, max_km: float, rings: int = 3, few: int = 1000) -> DataFrame:
-    """target, category, km of the nearest point of each category (J-17).
-
-    Up to ``few`` categories rings grow by four: only targets that lack a
-    category go on to the next.  With more, targets meet all points of their
-    cells at once.
-    """
-    categories = points.select("category").where(F.col("category").isNotNull()).distinct()
-    if categories.limit(few + 1).count() > few:
-        known = points.where(F.col("category").isNotNull()).withColumn("id", F.struct("id", "category"))
-        return near_pairs(targets, known, max_km).groupBy("target", F.col("point.category").alias("category")).agg(F.min("km").alias("km"))
-    wanted = targets.select(F.col("id").alias("target"), "lat", "lon").crossJoin(F.broadcast(categories))
-    found, km = None, max_km / 4 ** (rings - 1)
-    for _ in range(rings):
-        ask = wanted.select(F.struct("target", "category").alias("id"), "category", "lat", "lon")
-        hit = near_pairs(ask, points, km, block="category").groupBy("target").agg(F.min("km").alias("km")).select("target.target", "target.category", "km")
-        found = hit if found is None else found.unionByName(hit)
-        wanted, km = wanted.join(hit.select("target", "category"), ["target", "category"], "left_anti"), km * 4
-    return found
-
-
 def _crosses(edge: Column, lon: Column, lat: Column) -> Column:
     a, b = edge["a"], edge["b"]
     return ((a["lat"] > lat) != (b["lat"] > lat)) & (lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"])

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from marlstone.functions import department_hint, haversine_km, list_items, name_key, ratio, strip_parenthesis, tag_value
 from marlstone.operators import census as C
 from marlstone.operators import models as M
+from marlstone.operators import nearest as N
 from marlstone.operators import places as P
 from marlstone.operators import quality as Q
 from marlstone.operators import scores as R
 from marlstone.operators import spatial as G
 from marlstone.operators import windows as W
-from marlstone.plans.standins import CITIES, CLEAN, POINTS, SALES, SQL, cities, haversine, points, query, sales, table
+from marlstone.plans.standins import CITIES, CLEAN, POINTS, QUERIES, SALES, SQL, cities, haversine, points, query, sales, table
 from marlstone.sources import readers as I
 from marlstone.sources import sinks as O
 
@@ -52,10 +53,10 @@ def _pts(spark: SparkSession, d: str) -> DataFrame:
 _PTS = "pts AS (SELECT o_orderkey AS id, 43.0::DOUBLE + (o_orderkey % 700) * 0.01::DOUBLE AS lat, (o_orderkey % 600) * 0.01::DOUBLE AS lon, o_orderpriority AS category FROM orders)"
 
 
-@query(f"WITH {CITIES}, {_PTS} SELECT c.id AS target, p.category, round(min({haversine('c', 'p')}), 6) AS km FROM cities c, pts p GROUP BY ALL HAVING min({haversine('c', 'p')}) <= 100")
+@query(f"WITH {CITIES}, {_PTS} SELECT c.id AS target, p.category, round(min({haversine('c', 'p')}), 6) AS km FROM cities c, pts p GROUP BY ALL")
 def j17_nearest_per_category(spark, d):
     p = _pts(spark, d).select("id", "lat", "lon", "category")
-    return _rounded(G.nearest_per_category(cities(spark, d), p, 100.0).select("target", "category", "km"), "km")
+    return _rounded(N.nearest_per_category(cities(spark, d), p), "km")
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -74,23 +75,12 @@ def j18_point_in_polygon(spark, d):
     return G.contained(_pts(spark, d), _boxes(spark, d))
 
 
-@query(f"WITH {CITIES}, {_PTS} SELECT p.id AS point, min(c.id) AS code FROM pts p JOIN cities c ON {_IN} GROUP BY p.id")
-def j18_point_in_polygon_all(spark, d):
-    return G.contained(_pts(spark, d), _boxes(spark, d))
-
-
 @query(f"WITH {CITIES}, {_PTS}, hit AS (SELECT p.id AS point, min(c.id) AS code FROM pts p JOIN cities c ON {_IN} GROUP BY p.id), n AS (SELECT p.id AS point, c.id AS code, row_number() OVER (PARTITION BY p.id ORDER BY {haversine('p', 'c')}, c.id) AS nth FROM pts p JOIN cities c ON {haversine('p', 'c')} <= 2 WHERE p.id NOT IN (SELECT point FROM hit)) SELECT p.id AS point, coalesce(h.code, n.code) AS code, CASE WHEN h.code IS NOT NULL THEN 'contained' WHEN n.code IS NOT NULL THEN 'near' ELSE 'dropped' END AS outcome FROM pts p LEFT JOIN hit h ON h.point = p.id LEFT JOIN n ON n.point = p.id AND n.nth = 1")
 def j19_located(spark, d):
     b = _boxes(spark, d)
     return G.located(_pts(spark, d), b, b)
 
 
-@query(f"WITH {CITIES}, {_PTS}, hit AS (SELECT p.id AS point, min(c.id) AS code FROM pts p JOIN cities c ON {_IN} GROUP BY p.id), n AS (SELECT p.id AS point, c.id AS code, row_number() OVER (PARTITION BY p.id ORDER BY {haversine('p', 'c')}, c.id) AS nth FROM pts p JOIN cities c ON {haversine('p', 'c')} <= 2 WHERE p.id NOT IN (SELECT point FROM hit)) SELECT p.id AS point, coalesce(h.code, n.code) AS code, CASE WHEN h.code IS NOT NULL THEN 'contained' WHEN n.code IS NOT NULL THEN 'near' ELSE 'dropped' END AS outcome FROM pts p LEFT JOIN hit h ON h.point = p.id LEFT JOIN n ON n.point = p.id AND n.nth = 1")
-def j19_located_all(spark, d):
-    b = _boxes(spark, d)
-    return G.located(_pts(spark, d), b, b)
-
-
 @query(_KNN + ", known AS (SELECT n.target, n.km, c.price, row_number() OVER (PARTITION BY n.target ORDER BY km, point) AS r FROM near n JOIN cities c ON c.id = n.point AND c.price IS NOT NULL), idw AS (SELECT target, sum(price / greatest(km, 0.01)) / sum(1 / greatest(km, 0.01)) AS v FROM known WHERE r <= 5 GROUP BY target), m AS (SELECT dept, quantile_cont(price, 0.5) AS g FROM cities GROUP BY dept) SELECT c.id, round(coalesce(c.price, v, g), 6) AS price, CASE WHEN c.price IS NOT NULL THEN 'observed' WHEN coalesce(v, g) IS NOT NULL THEN 'estimated' END AS source FROM cities c LEFT JOIN idw ON target = id LEFT JOIN m USING (dept)")
 def g01_idw_fill(spark, d):
     return _rounded(G.idw_fill(cities(spark, d)).select("id", "price", "source"), "price")
@@ -910,3 +900,7 @@ def m15_yield_model(spark, d):
     rows = M.split_by_hash(c, "id")
     out = M.boosted(rows, "y", [], ["lat", "lon", "population"], iterations=5).transform(rows)
     return out.select("id", "split", F.round(R.opportunity(F.col("y"), F.col("prediction")), 6).alias("opportunity"))
+
+
+for _name in ("j18_point_in_polygon", "j19_located"):  # second names of the same queries
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]

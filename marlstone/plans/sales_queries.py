@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import sales as S
 from marlstone.operators import windows as W
-from marlstone.plans.standins import CITIES, CLEAN, MANY, ONE, POINTS, PRICES, SALES, UNITS, cities, haversine, levels, points, query, sales, table, units
+from marlstone.plans.standins import CITIES, CLEAN, MANY, ONE, POINTS, PRICES, QUERIES, SALES, SQL, UNITS, cities, haversine, levels, points, query, sales, table, units
 
 
 def _prices(spark: SparkSession, d: str) -> DataFrame:
@@ -298,11 +298,6 @@ def g06_pooled_own_counts(spark, d):
     return _own_counts(_pooled(spark, d))
 
 
-@query(_OWN_SQL)
-def g06_pooled_own_counts_all(spark, d):
-    return _own_counts(_pooled(spark, d))
-
-
 @query(f"""WITH {SALES}, {CITIES}, s AS (SELECT city, price / surface AS adj FROM sales), own AS (SELECT city, count(*) AS n_own, quantile_cont(adj, 0.5) AS own_price FROM s GROUP BY city),
 near AS (SELECT a.id AS target, b.id AS point, {haversine('a', 'b')} AS km, o.n_own AS n FROM cities a LEFT JOIN own m ON m.city = a.id JOIN cities b ON a.dept = b.dept JOIN own o ON o.city = b.id WHERE coalesce(m.n_own, 0) < {_OWN} AND {haversine('a', 'b')} <= 25),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY target ORDER BY km, point ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY target ORDER BY km, point) AS nth FROM near), taken AS (SELECT * FROM ranked WHERE cum - n < {_OWN} AND nth <= 60),
@@ -377,3 +372,6 @@ def a01_generic_serie(spark, d):
 def p08_p09_types(spark, d):
     kinds = F.create_map(*[x for k, v in S.UNIT_TYPES.items() for x in (F.lit(k), F.lit(v))])
     return units(spark, d).groupBy("unit_type", "rooms", S.typology(F.col("rooms")).alias("size_class"), kinds[F.col("unit_type")].alias("property_type")).agg(F.count("*").alias("n"))
+
+
+QUERIES["g06_pooled_own_counts_all"], SQL["g06_pooled_own_counts_all"] = QUERIES["g06_pooled_own_counts"], SQL["g06_pooled_own_counts"]  # a second name of the same query
