@@ -47,10 +47,10 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 CONTAINERS = frozenset("html body article main section div td th center details".split())
 APART = frozenset("nav footer aside form button select menu dialog head noscript template svg object".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-#: Words of class names and ids.  A name tells something only if all its words are listed here.
+#: Words of class names and ids.  A name tells something only if all its words but numbers are listed here.
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promoted promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets "
-    "footer masthead header topbar toolbar comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription "
+    "footer masthead header topbar toolbar comment comments commentlist disqus respond response responses reply replies discussion cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription "
     "signup login register share shares sharing sharebar social related recommended recommendations recirculation pagination pager skip search searchbox form tags".split()
 )
 #: Of these, the words that also tell of paragraphs, headings and inline elements.
@@ -59,7 +59,14 @@ CONTENT_WORDS = frozenset("article post entry story content main body text prose
 #: Words of an article's own head, when they stand with a content word.
 HEAD_WORDS = frozenset("header masthead".split())
 LAYOUT_WORDS = frozenset("area bar block bottom box center col column container first global group holder home inner item items last layout left list middle outer page panel primary right row secondary section site the top unit wrap wrapper zone".split())
-LISTED_WORDS = APART_WORDS | CONTENT_WORDS | LAYOUT_WORDS
+#: Words that stand beside others in names of adverts and of lists of other pages.
+BESIDE_WORDS = frozenset("articles box content count feed head heading inline label link links list news posts reading size slot small stories stream thread title topics unit x".split())
+LISTED_WORDS = APART_WORDS | CONTENT_WORDS | LAYOUT_WORDS | BESIDE_WORDS
+#: Words that tell of reader comments at the end or the beginning of a name, whatever else is in it, and how many words such a name has at most.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond responses replies".split())
+COMMENT_NAME = 3
+#: Names of elements whose own header belongs to the text.
+POST_WORDS = frozenset("article post entry story".split())
 
 _MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
 _ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]*))?)?""")
@@ -94,7 +101,10 @@ def _named(names: str, text_element: bool) -> str:
     """What the names of an element tell: "apart", "content" or nothing."""
     content = False
     for name in names.split():
-        words = {w.lower() for w in _WORD.findall(name)}
+        listed = [w.lower() for w in _WORD.findall(name) if not w.isdigit()]
+        if not text_element and 0 < len(listed) <= COMMENT_NAME and (listed[0] in COMMENT_WORDS or listed[-1] in COMMENT_WORDS):
+            return "apart"
+        words = set(listed)
         if not words <= LISTED_WORDS:
             continue
         if words & (APART_TEXT_WORDS if text_element else APART_WORDS - HEAD_WORDS if words & CONTENT_WORDS else APART_WORDS):
@@ -126,7 +136,7 @@ class Paths:
 def text_nodes(page: str) -> tuple[list[tuple[int, int, str]], Paths]:
     """Nodes (path, block, decoded text) in page order, and the paths."""
     paths, nodes = Paths(), []
-    stack, of = [""], [0]  # open elements and their paths
+    stack, of, posts = [""], [0], [False]  # open elements, their paths, and whether they are named as posts
     open_at: dict[str, list[int]] = {}
     block, at, end = 0, 0, len(page)
 
@@ -144,7 +154,7 @@ def text_nodes(page: str) -> tuple[list[tuple[int, int, str]], Paths]:
     def close(k: int) -> None:
         while len(stack) > k:
             open_at[stack.pop()].pop()
-            of.pop()
+            of.pop(), posts.pop()
 
     while at < end:
         m = _MARKUP.search(page, at)
@@ -187,7 +197,7 @@ def text_nodes(page: str) -> tuple[list[tuple[int, int, str]], Paths]:
         role, names = attributes.get("role", "").lower(), f"{attributes.get('class', '')} {attributes.get('id', '')}"
         in_article = last(("article", "main")) > 0
         text_element = name in INLINE or name in ("p", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "th", "tr", "figcaption")
-        if name in APART or role in APART_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or name == "header" and not in_article:
+        if name in APART or role in APART_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or name == "header" and not in_article and not posts[-1]:
             mark = "never"
         elif name in ("article", "main") or role in ("article", "main"):
             mark = "content"
@@ -197,6 +207,7 @@ def text_nodes(page: str) -> tuple[list[tuple[int, int, str]], Paths]:
         open_at.setdefault(name, []).append(len(stack))
         stack.append(name)
         of.append(path)
+        posts.append(mark == "content" and any(w.lower() in POST_WORDS for w in _WORD.findall(names)))
     return nodes, paths
 
 

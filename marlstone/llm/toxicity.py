@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon.
 
 Method: texts are folded (case, accents, homoglyphs, digit and sign
-substitutions, marks between letters), and the words of a weighted lexicon
+substitutions, combining marks), and the words of a weighted lexicon
 are found at word starts by one Aho-Corasick pass.  Hits inside an exception
 phrase do not count.  The weights' sum, taken by itself and normalised by
 length, goes through a logistic curve to a score from 0 to 1; the curve is fitted to the labelled rows.
@@ -23,8 +23,10 @@ from __future__ import annotations
 import hashlib
 import math
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -116,8 +118,10 @@ def measure(text: str | None, automaton) -> tuple[float, ...]:
     hits, safe = [], []
     for end, (n, w) in automaton.iter(folded):
         (safe if w is None else hits).append((end - n + 1, end + 1, w))
-    if safe:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in safe)]
+    if safe:  # a hit is safe if of the phrases that begin no later one ends no earlier
+        safe.sort(key=lambda s: s[:2])
+        starts, reach = [a for a, _, _ in safe], list(accumulate((b for _, b, _ in safe), max))
+        hits = [h for h in hits if not (k := bisect_right(starts, h[0])) or reach[k - 1] < h[1]]
     by_start = {a: w for a, _, w in sorted(hits, key=lambda h: h[2])}  # a word counts by its strongest term
     weights, words = list(by_start.values()), max(1.0, len(folded) / 6)
     total = sum(weights)

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,9 +93,13 @@ class Model:
 
 
 def _windows(lines: DataFrame, *columns: str) -> DataFrame:
-    """run and the given columns, a row for each place of each line: the ORDER characters that end there."""
-    starts = F.sequence(F.lit(1), F.length("line") - ORDER + 1)
-    return lines.select(F.explode(F.transform(starts, lambda k: F.substring(F.col("line"), k, ORDER))).alias("run"), *columns)
+    """run and the given columns, a row for each place of each line: the ORDER characters that end there.
+
+    Characters are taken apart once and put together by shifted copies, in time linear in the line.
+    """
+    chars, places = F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)), F.greatest(F.length("line") - ORDER + 1, F.lit(0))
+    runs = reduce(lambda a, k: F.zip_with(a, F.slice(chars, k + 1, places), lambda x, y: F.concat(x, y)), range(1, ORDER), F.slice(chars, F.lit(1), places))
+    return lines.select(F.explode(runs).alias("run"), *columns)
 
 
 def _counted(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,9 +153,11 @@ def scored(lines: DataFrame, model: Model, limit: int = BROADCAST_CHARS) -> Data
 
     Ratios of runs are summed as integers, so that the sum has no order.
     """
-    each = _windows(lines, "line")
+    keys = [F.xxhash64("line").alias("k"), F.xxhash64(F.lit("more"), "line").alias("k2")]  # for the line at each of its places
+    each = _windows(lines.select("line", *keys), "k", "k2")
     runs = stored(_run_ratios(stored(each.groupBy("run").agg(F.count("*").alias("rows")), "wanted"), model), "ratios")
-    total = _joined(each, runs, "run", limit).groupBy("line").agg(F.sum(F.round(F.col("ratio") * SCALE).cast("long")).alias("sum"))
+    total = _joined(each, runs, "run", limit).groupBy("k", "k2").agg(F.sum(F.round(F.col("ratio") * SCALE).cast("long")).alias("sum"))
+    total = lines.select("line", *keys).join(total, ["k", "k2"])
     return total.select("line", F.when(F.length("line") > ORDER, F.col("sum") / SCALE / (F.length("line") - ORDER + 1)).otherwise(0.0).alias("ratio"))
 
 

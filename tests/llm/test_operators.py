@@ -749,3 +749,75 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+# --- names, lengths ----------------------------------------------------------
+
+_PARA = "The council voted on Tuesday to rebuild the old harbour wall, after a long debate about its costs, and work begins in spring. "
+_TALK = "I think this is great, thanks for sharing it with us all, and please write more about it, says somebody else on the web. "
+_APART_NAMES = ["class='reader-comments'", "class='user-comments'", "class='fb-comments'", "id='comments-123'", "class='comment-thread'", "class='related-posts'", "class='ad-slot-2'", "class='ad-300x250'", "id='responses'", "class='comments'", "id='disqus_thread'", "class='post-comments'"]
+
+
+@pytest.mark.parametrize("name", _APART_NAMES)
+@pytest.mark.parametrize("inside", [True, False])
+def test_comments_and_adverts_go(name, inside):
+    from marlstone.llm.html_extraction import main_text
+
+    extra = f"<section {name}><p>{_TALK}</p><div><p>{_TALK}</p></div></section>"
+    body = "".join(f"<p>{_PARA}{k}</p>" for k in range(6))
+    page = f"<body><article><h1>Harbour</h1>{body}{extra if inside else ''}</article>{'' if inside else extra}</body>"
+    got = main_text(page)
+    assert "says somebody" not in got and got.count("harbour wall") == 6 and got.startswith("Harbour")
+
+
+@pytest.mark.parametrize("name", ["class='social-science'", "id='search-for-life'", "class='section-2'", "id='ad-hoc-groups'", "id='comments-on-the-new-budget'"])
+def test_sections_with_telling_words_stay(name):
+    from marlstone.llm.html_extraction import main_text
+
+    page = f"<body><article><h1>Harbour</h1><p>{_PARA}</p><section {name}><h2 {name}>Part</h2><p>{_PARA}</p><p>{_PARA}</p></section></article></body>"
+    assert main_text(page).count("harbour wall") == 3
+
+
+def test_header_of_a_post():
+    from marlstone.llm.html_extraction import main_text
+
+    page = f"<body><header><p>{_TALK}</p></header><div class='post'><header><h1>The harbour wall</h1></header><p>{_PARA}</p><p>{_PARA}</p></div></body>"
+    got = main_text(page)
+    assert got.startswith("The harbour wall The council") and "somebody" not in got
+
+
+def test_exception_phrases_in_linear_time():
+    """The same hits as by comparing all, and a megabyte of phrases in little time."""
+    import time
+
+    from marlstone.llm import toxicity as T
+
+    model = T.Model({"trash": 2.0, "clown": 1.0, "can": 0.5}, ("trash can", "circus clown", "trash can circus"), T.START_CURVE)
+    found = model.automaton()
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        text = " ".join(rng.choice(["trash", "can", "clown", "circus", "x"], 30))
+        folded, hits, safe = T.fold(text), [], []
+        for end, (n, w) in found.iter(folded):
+            (safe if w is None else hits).append((end - n + 1, end + 1, w))
+        kept = {a: w for a, _, w in sorted((h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in safe)), key=lambda h: h[2])}
+        assert T.measure(text, found)[0] == pytest.approx(np.log1p(sum(kept.values())))
+    began = time.process_time()
+    assert T.measure("trash can " * 100_000, found)[0] == 0.0
+    assert time.process_time() - began < 4
+
+
+def test_long_url(spark):
+    """A URL of a megabyte, of two-byte and four-byte characters too, scores what its windows sum to."""
+    import time
+
+    from marlstone.llm import url_filter as U
+
+    lines = spark.createDataFrame([("ab\U0001f600cdéfgh",), ("x" * 9,)], "line string")
+    got = collections.Counter((r["line"], r["run"]) for r in U._windows(lines, "line").collect())
+    want = collections.Counter((t, t[k : k + U.ORDER]) for t in ("ab\U0001f600cdéfgh", "x" * 9) for k in range(len(t) - U.ORDER + 1))
+    assert got == want
+    urls = spark.createDataFrame([(f"http://site{k}.example.com/a/{k}", ) for k in range(40)] + [(f"http://spam.site{k}.com/b",) for k in range(9)] + [("http://long.example.com/" + "päth/" * 200_000,)], "url string")
+    began = time.time()
+    rows = U.judged(urls, U.learn(urls)).select("host", "verdict").collect()
+    assert len(rows) == 50 and time.time() - began < 90
