@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import ratio
+from marlstone.operators.ranks import exact_quantile
 
 
 def folded_sums(cells: DataFrame, by: list[str], columns: list[str], positive: str | None = None) -> DataFrame:
@@ -87,7 +88,8 @@ def zones(records: DataFrame) -> DataFrame:
 def group_profile(rows: DataFrame, group: str, features: list[str]) -> DataFrame:
     """Mean, median and count of each feature per group, long form (A-36)."""
     long = rows.unpivot([group], features, "feature", "value")
-    return long.groupBy(group, "feature").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.count("value").alias("n"))
+    middle = exact_quantile(long, [group, "feature"], "value").select(group, "feature", F.col("quantile").alias("median"))
+    return long.groupBy(group, "feature").agg(F.avg("value").alias("mean"), F.count("value").alias("n")).join(middle, [group, "feature"], "left").select(group, "feature", "mean", "median", "n")
 
 
 def standardised_profile(rows: DataFrame, group: str, features: list[str]) -> DataFrame:

@@ -167,8 +167,8 @@ def ablation(rows: DataFrame, label: str, levels: dict[int, tuple[str, ...]] | N
 
 def group_baseline(train: DataFrame, rows: DataFrame, label: str, group: str, tau: float = 0.5, out: str = "baseline") -> DataFrame:
     """Quantile of the group in the train rows, else of all (A-33)."""
-    m = train.groupBy(group).agg(F.percentile(label, F.lit(tau)).alias("_g"))
-    a = train.agg(F.percentile(label, F.lit(tau)).alias("_a"))
+    m = exact_quantile(train, [group], label, tau).select(group, F.col("quantile").alias("_g"))
+    a = rows.sparkSession.range(1).select().join(exact_quantile(train, [], label, tau).select(F.col("quantile").alias("_a")), how="left")  # a row even without values
     return rows.join(m, group, "left").crossJoin(F.broadcast(a)).withColumn(out, F.coalesce("_g", "_a")).drop("_g", "_a")
 
 

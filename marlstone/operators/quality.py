@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,23 @@ def completeness(target: DataFrame, reference: DataFrame, share: float = 0.98) -
     return r.join(t, "name", "left").na.fill(0, ["have"]).where(F.col("have") < share * F.col("want"))
 
 
+def with_followers(missing: DataFrame, follows: DataFrame) -> DataFrame:
+    """name, distance: missing steps and all that follow from them, each with the fewest steps to a missing one (K-07).
+
+    ``follows`` has a row (name, follower) for each dependency; a recursive
+    query goes along it, at most once for each step, so circles end.
+    """
+    spark, tag = missing.sparkSession, uuid.uuid4().hex
+    missing.select("name").distinct().createOrReplaceTempView(f"missing_{tag}")
+    follows.select("name", "follower").distinct().createOrReplaceTempView(f"follows_{tag}")
+    longest = follows.select("name").distinct().count()  # a chain without a circle has no more links
+    return spark.sql(f"""
+        WITH RECURSIVE reached(name, distance) AS (
+            SELECT name, 0 FROM missing_{tag} UNION ALL
+            SELECT f.follower, r.distance + 1 FROM reached r JOIN follows_{tag} f ON f.name = r.name WHERE r.distance < {longest}
+        ) SELECT name, min(distance) AS distance FROM reached GROUP BY name""")
+
+
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once (K-09)."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import canonical_code, commune_code, fold_code, parse_decimal, quarter_start, typology
-from marlstone.operators.ranks import exact_quantile
+from marlstone.operators.ranks import exact_quantile, exact_quantiles
 
 UNIT_TYPES = {1: "HOUSE", 2: "APARTMENT", 4: "COMMERCIAL"}
 
@@ -200,12 +200,19 @@ def single_unit_sales(units: DataFrame) -> DataFrame:
     return counted.where((F.col("n") == 1) & F.col("unit_type").isin(1, 2) & (F.col("surface") > 0)).select("city", F.year("mutation_date").alias("year"), (F.col("price") / F.col("surface")).alias("price_sqm"))
 
 
+def _with_quantiles(groups: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups with p, the 10 %, 50 % and 90 % quantiles of the price, and s, the 10 % and 90 % ones of that for a unit of surface."""
+    p = exact_quantiles(rows, keys, "price", [0.1, 0.5, 0.9]).select(*keys, F.col("quantiles").alias("p"))
+    s = exact_quantiles(rows, keys, "sqm", [0.1, 0.9]).select(*keys, F.col("quantiles").alias("s"))
+    return groups.join(p, keys, "left").join(s, keys, "left")
+
+
 def latest_year_snapshot(sales: DataFrame, least: int = 10) -> DataFrame:
     """City prices over the 12 months before the latest sale of all (A-11, J-08)."""
     recent = since_latest(sales)
     sqm = F.col("price") / F.col("surface")
-    p, s = F.percentile("price", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))), F.percentile(sqm, F.array(F.lit(0.1), F.lit(0.9)))
-    out = recent.groupBy("city").agg(F.count("*").alias("n_sales"), F.avg("price").alias("avg_price"), p.alias("p"), s.alias("s")).where(F.col("n_sales") >= least)
+    out = recent.groupBy("city").agg(F.count("*").alias("n_sales"), F.avg("price").alias("avg_price")).where(F.col("n_sales") >= least)
+    out = _with_quantiles(out, recent.withColumn("sqm", sqm), ["city"])
     return out.select("city", "n_sales", "avg_price", F.col("p")[1].alias("median_price"), F.col("p")[0].alias("price_p10"), F.col("p")[2].alias("price_p90"), F.col("s")[0].alias("sqm_p10"), F.col("s")[1].alias("sqm_p90"))
 
 
@@ -224,10 +231,9 @@ def rolling_quarters(sales: DataFrame) -> DataFrame:
 def rolling_ranges(sales: DataFrame, least: int = 10) -> DataFrame:
     """Seven series of price ranges over rolling 12 months, long form (A-12)."""
     sqm = F.col("price") / F.col("surface")
-    g = rolling_quarters(sales).groupBy("city", "quarter").agg(
-        F.count("*").alias("n_sales"), F.percentile(sqm, F.array(F.lit(0.1), F.lit(0.9))).alias("s"), F.avg(sqm).alias("sqm_avg"), F.percentile("price", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"), F.avg("price").alias("price_avg")
-    )
-    g = g.where(F.col("n_sales") >= least).select("city", "quarter", F.col("s")[0].alias("sqm_p10"), "sqm_avg", F.col("s")[1].alias("sqm_p90"), F.col("p")[0].alias("price_p10"), F.col("p")[1].alias("price_p50"), F.col("p")[2].alias("price_p90"), "price_avg")
+    rows = rolling_quarters(sales).withColumn("sqm", sqm)
+    g = rows.groupBy("city", "quarter").agg(F.count("*").alias("n_sales"), F.avg("sqm").alias("sqm_avg"), F.avg("price").alias("price_avg"))
+    g = _with_quantiles(g.where(F.col("n_sales") >= least), rows, ["city", "quarter"]).select("city", "quarter", F.col("s")[0].alias("sqm_p10"), "sqm_avg", F.col("s")[1].alias("sqm_p90"), F.col("p")[0].alias("price_p10"), F.col("p")[1].alias("price_p50"), F.col("p")[2].alias("price_p90"), "price_avg")
     return g.unpivot(["city", "quarter"], ["sqm_p10", "sqm_avg", "sqm_p90", "price_p10", "price_p50", "price_p90", "price_avg"], "serie", "value")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.ranks import exact_quantile, exact_quantiles, medians
+
 TREND, OUTLIER = 0.02, 3.0
 
 
@@ -97,9 +99,7 @@ def jumps(points: DataFrame, threshold: float, floor: float = 0.0, top: int | No
 
 def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Lowest value at which the running weight reaches half of all (W-17)."""
-    w = Window.partitionBy(*keys)
-    run = rows.withColumns({"_cum": F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)), "_all": F.sum(weight).over(w)})
-    return run.where(F.col("_cum") >= F.col("_all") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
+    return exact_quantiles(rows, keys, value, [0.5], weight).select(*keys, F.get("quantiles", F.lit(0)).alias("weighted_median"))
 
 
 def pooled_until(pairs: DataFrame, enough: int, target: str = "target", most: int = 60) -> DataFrame:
@@ -111,7 +111,7 @@ def pooled_until(pairs: DataFrame, enough: int, target: str = "target", most: in
 
 def time_adjusted(sales: DataFrame) -> DataFrame:
     """Prices at the department's level of the last year (G-05): column adj."""
-    med = sales.groupBy("dept", "year").agg(F.percentile("price_sqm", F.lit(0.5)).alias("m"))
+    med = exact_quantile(sales, ["dept", "year"], "price_sqm").withColumnRenamed("quantile", "m")
     last = sales.agg(F.max("year").alias("last"))
     ref = med.crossJoin(F.broadcast(last)).where(F.col("year") == F.col("last")).select("dept", F.col("m").alias("ref"))
     factor = med.join(ref, "dept", "left").select("dept", "year", (F.col("ref") / F.col("m")).alias("factor"))
@@ -145,8 +145,8 @@ def pooled_targets(sales: DataFrame, cities: DataFrame, pairs: DataFrame, exclud
 
 def group_fill(rows: DataFrame, columns: list[str], group: str = "dept") -> DataFrame:
     """Missing values by the group's median, else the median of all, with a flag each (G-07, A-33)."""
-    m = rows.groupBy(group).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_g_{c}") for c in columns])
-    a = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_a_{c}") for c in columns])
+    one = rows.sparkSession.range(1).select()
+    m, a = medians(rows, [group], columns, "_g_"), one.join(medians(rows, [], columns, "_a_"), how="left")  # a row even without values
     out = rows.join(m, group, "left").crossJoin(F.broadcast(a))
     out = out.withColumns({f"{c}_missing": F.col(c).isNull() for c in columns}).withColumns({c: F.coalesce(c, f"_g_{c}", f"_a_{c}") for c in columns})
     return out.drop(*[f"_{k}_{c}" for k in "ga" for c in columns])

@@ -699,6 +699,24 @@ def _vectors(spark, d) -> DataFrame:
     return M.scaled_vector(e, "v")
 
 
+@query("""WITH RECURSIVE follows AS (SELECT DISTINCT n_regionkey * 100 + n_nationkey % 5 AS name, n_regionkey * 100 + (n_nationkey % 5) + 1 AS follower FROM nation), missing AS (SELECT DISTINCT n_regionkey * 100 + n_nationkey % 5 AS name FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey HAVING count(*) < (SELECT count(*) / 25 FROM supplier)),
+reached AS (SELECT name, 0 AS distance FROM missing UNION SELECT f.follower, r.distance + 1 FROM reached r JOIN follows f ON f.name = r.name) SELECT name, min(distance) AS distance FROM reached GROUP BY name""")
+def k07_followers(spark, d):
+    n = table(spark, d, "nation")
+    step = F.col("n_regionkey") * 100 + F.col("n_nationkey") % 5
+    s = table(spark, d, "supplier")
+    probes = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").count().where(F.col("count") < F.lit(s.count() / 25))
+    return Q.with_followers(probes.select(step.alias("name")), n.select(step.alias("name"), (step + 1).alias("follower")))
+
+
+@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) IS NULL THEN 'no number' WHEN NOT (value BETWEEN 5 AND 90) THEN 'out of band' WHEN event_type = 'error' THEN 'error' ELSE 'kept' END AS reason FROM events) GROUP BY 1 UNION ALL SELECT 'rows', count(*) FROM events")
+def s05_s06_rejects(spark, d):
+    e = table(spark, d, "events")
+    checks = {"no number": F.get_json_object("props", "$.k").try_cast("double").isNotNull(), "out of band": F.col("value").between(5, 90), "error": F.col("event_type") != "error"}
+    _, _, counts = I.quarantined(e, checks)
+    return spark.createDataFrame([(k, n) for k, n in counts.items() if n], "reason string, n long")
+
+
 @query()
 def m02_w18_kmeans_representatives(spark, d):
     rows = _vectors(spark, d)

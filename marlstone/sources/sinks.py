@@ -28,13 +28,35 @@ def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, keys: list[st
     """Upsert into a partitioned table, rewriting only the partitions that ``new`` touches.
 
     The merged rows go to a folder of their own first: a table cannot be read
-    and overwritten in one pass.
+    and overwritten in one pass.  The folder goes when they are in place; one
+    that a failed run left is put in place first if it was whole, else deleted.
     """
+    finish_upserts(spark, path, partition)
     parts = new.select(partition).distinct()
     old = spark.read.parquet(path).join(parts, partition, "left_semi")
     staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
     upserted(old, new.select(*old.columns), keys).write.parquet(staged)
     replace_partitions(spark.read.parquet(staged), path, [partition])
+    _folders(spark, staged, delete=True)
+
+
+def _folders(spark: SparkSession, pattern: str, delete: bool = False) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.globStatus(p) or []]
+    if delete:
+        for f in found:
+            files.delete(f, True)
+    return [f.toString() for f in found]
+
+
+def finish_upserts(spark: SparkSession, path: str, partition: str) -> None:
+    """Put in place what failed upserts had merged wholly, and delete their folders."""
+    base = path.rstrip("/")
+    for folder in sorted(_folders(spark, f"{base}_staged_*")):
+        if _folders(spark, f"{folder}/_SUCCESS"):
+            replace_partitions(spark.read.parquet(folder), path, [partition])
+        _folders(spark, folder, delete=True)
 
 
 def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
