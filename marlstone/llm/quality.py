@@ -41,7 +41,7 @@ from marlstone.llm.runs import byte_classes, class_runs, run_hashes
 from marlstone.llm.tokens import in_groups
 
 MAX_TRAIN = 20_000
-BITS = 20
+BITS = 18
 #: Number of features; the last one is the bias.
 BUCKETS = (1 << BITS) + 1
 #: Shards at most, rows for each at least, rounds from and to, and steps of a shard that decide how many.
@@ -170,10 +170,11 @@ def train(sample: DataFrame, shards: int | None = None, rounds: int | None = Non
 
             dealt = points.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("key"), "key")
             z, n = z.copy(), n.copy()
-            for change in dealt.mapInArrow(steps, "which binary, dz binary, dn binary").collect():  # a row for each shard, of 12 bytes a feature at most
-                i = np.frombuffer(change["which"], np.int32)
-                z[i] += np.frombuffer(change["dz"], np.float32) / present
-                n[i] += np.frombuffer(change["dn"], np.float32) / present
+            changes = dealt.mapInArrow(steps, "which binary, dz binary, dn binary").toArrow()  # a row for each shard, of 12 bytes a feature at most
+            for which, dz, dn in zip(*(changes[c] for c in ("which", "dz", "dn")), strict=True):
+                i = np.frombuffer(which.as_buffer(), np.int32)
+                z[i] += np.frombuffer(dz.as_buffer(), np.float32) / present
+                n[i] += np.frombuffer(dn.as_buffer(), np.float32) / present
             state.destroy()
     w = weights(z, n, **rates)
     which = np.flatnonzero(w[:-1])
