@@ -81,23 +81,49 @@ def _crosses(edge: Column, lon: Column, lat: Column) -> Column:
 
 def inside(rings: Column, lon: Column, lat: Column) -> Column:
     """Whether a point lies in a polygon: the edges of all rings crossed by a ray are odd in number, so holes count."""
-    edges = F.flatten(F.transform(rings, lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, F.pmod(i + 1, F.size(r))).alias("b")))))
-    return F.size(F.filter(edges, lambda e: _crosses(e, lon, lat))) % 2 == 1
+    return F.size(F.filter(_edges(rings), lambda e: _crosses(e, lon, lat))) % 2 == 1
+
+
+def _edges(rings: Column) -> Column:
+    """The edges of all rings, the last point of a ring joined to its first."""
+    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 0), lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, F.pmod(i + 1, F.size(r))).alias("b")))))
+
+
+def strips(polygons: DataFrame, cell: float = 0.05) -> DataFrame:
+    """code, cy, edges, border, inner: each polygon by rows of cells, with the edges that reach into the row once.
+
+    ``border`` are the columns of cells that an edge passes, ``inner`` those
+    between that lie in the polygon with all of their points.
+    """
+    e = polygons.select("code", F.explode(_edges(F.col("rings"))).alias("e"))
+    y0, y1 = F.least("e.a.lat", "e.b.lat"), F.greatest("e.a.lat", "e.b.lat")
+    e = e.withColumns({"y0": y0, "y1": y1}).withColumn("cy", F.explode(F.sequence(_cell(F.col("y0"), cell), _cell(F.col("y1"), cell))))
+    slope = (F.col("e.b.lon") - F.col("e.a.lon")) / F.nullif(F.col("e.b.lat") - F.col("e.a.lat"), F.lit(0.0))
+    at = lambda y: F.coalesce(F.col("e.a.lon") + (y - F.col("e.a.lat")) * slope, F.col("e.a.lon"))
+    low, high = at(F.greatest("y0", F.col("cy") * cell)), at(F.least("y1", (F.col("cy") + 1) * cell))
+    flat = F.col("y0") == F.col("y1")  # along the row, from end to end
+    x0, x1 = F.when(flat, F.least("e.a.lon", "e.b.lon")).otherwise(F.least(low, high)), F.when(flat, F.greatest("e.a.lon", "e.b.lon")).otherwise(F.greatest(low, high))
+    columns = F.sequence(_cell(x0 - 1e-9, cell), _cell(x1 + 1e-9, cell))
+    rows = e.withColumn("columns", columns).groupBy("code", "cy").agg(F.collect_list("e").alias("edges"), F.array_distinct(F.flatten(F.collect_list("columns"))).alias("border"))
+    between = F.array_except(F.sequence(F.array_min("border"), F.array_max("border")), F.col("border"))
+    odd = lambda cx: F.size(F.filter("edges", lambda e: _crosses(e, (cx + 0.5) * cell, (F.col("cy") + 0.5) * cell))) % 2 == 1
+    return rows.withColumn("inner", F.filter(between, odd))
 
 
 def contained(points: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
     """point, code of the polygon that holds it, the smallest code if several (J-18).
 
-    ``polygons`` has code and rings (array of arrays of lon, lat).  Bounding
-    boxes are cut into cells; points meet the polygons of their cell, then the
-    box, then the exact test.
+    ``polygons`` has code and rings (array of arrays of lon, lat).  Cells carry
+    no outlines: points in inner cells need no test, those in border cells meet
+    the edges of their polygon's row alone.
     """
-    all_points = F.flatten("rings")
-    box = polygons.select("code", "rings", F.array_min(F.transform(all_points, lambda p: p["lon"])).alias("x0"), F.array_max(F.transform(all_points, lambda p: p["lon"])).alias("x1"), F.array_min(F.transform(all_points, lambda p: p["lat"])).alias("y0"), F.array_max(F.transform(all_points, lambda p: p["lat"])).alias("y1"))
-    box = box.where(F.col("x0").isNotNull()).withColumn("cx", F.explode(F.sequence(_cell(F.col("x0"), cell), _cell(F.col("x1"), cell)))).withColumn("cy", F.explode(F.sequence(_cell(F.col("y0"), cell), _cell(F.col("y1"), cell))))
+    rows = strips(polygons, cell)
+    cells = rows.select("code", "cy", F.explode("inner").alias("cx"), F.lit(True).alias("sure")).unionByName(rows.select("code", "cy", F.explode("border").alias("cx"), F.lit(False).alias("sure")))
     p = points.select(F.col("id").alias("point"), "lon", "lat").withColumns({"cx": _cell(F.col("lon"), cell), "cy": _cell(F.col("lat"), cell)})
-    met = p.join(box, ["cx", "cy"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-    return met.where(inside(F.col("rings"), F.col("lon"), F.col("lat"))).groupBy("point").agg(F.min("code").alias("code"))
+    met = p.join(cells, ["cx", "cy"])
+    tested = met.where(~F.col("sure")).join(rows.select("code", "cy", "edges"), ["code", "cy"])
+    tested = tested.where(F.size(F.filter("edges", lambda e: _crosses(e, F.col("lon"), F.col("lat")))) % 2 == 1)
+    return met.where("sure").select("point", "code").unionByName(tested.select("point", "code")).groupBy("point").agg(F.min("code").alias("code"))
 
 
 def located(points: DataFrame, polygons: DataFrame, centres: DataFrame, max_km: float = 2.0) -> DataFrame:
