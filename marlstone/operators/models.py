@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import ratio
 from marlstone.operators.clusters import Fit, hashed_first, kmeans_fits, silhouettes, soft_clusters, split_clusters  # noqa: F401  (soft and split clusters belong to the models)
-from marlstone.operators.ranks import exact_quantile
+from marlstone.operators.ranks import exact_quantile, exact_quantiles
 
 SEED = 42
+#: Categories of a column that trees take as such; a column with more becomes statistics of the label.
+NATIVE = 32
 #: Feature levels as cumulative sets (M-17).
 FEATURE_LEVELS = {
     0: ("population", "density", "vacancy", "unemployment"),
@@ -102,14 +104,74 @@ def representatives(rows: DataFrame, model: Fit, features: str = "scaled", key:
     return rows.withColumn("distance", model.distance(features, F.col("prediction"))).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def design(categorical: list[str], numeric: list[str], one_hot: bool = True, out: str = "features") -> list:
-    """Stages that encode and assemble: dummies, or indices that trees take as categories (F-12, M-10, M-18)."""
-    index = StringIndexer(inputCols=categorical, outputCols=[f"{c}_idx" for c in categorical], handleInvalid="keep") if categorical else None
+class TargetStatistics(Estimator):
+    """Mean label of each category, drawn to the mean of all by ``prior`` rows, as a number (M-10, M-18).
+
+    Train rows get the mean without the rows of their own fold, so that no row
+    sees its label; all others, and categories not met, get that of all train
+    rows.  Any number of categories; nulls are one of their own.
+    """
+
+    def __init__(self, columns: list[str], label: str, folds: int = 5, prior: float = 20.0):
+        super().__init__()
+        self.columns, self.label, self.folds, self.prior = columns, label, folds, prior
+
+    def _fit(self, dataset: DataFrame) -> TargetStatisticsModel:
+        y, fold = F.col(self.label).cast("double"), _fold(dataset, self.columns, self.label, self.folds)
+        each = [F.struct(F.count(F.when(fold == k, y)).alias("n"), F.coalesce(F.sum(F.when(fold == k, y)), F.lit(0.0)).alias("s")) for k in range(self.folds)]
+        tables = {c: dataset.groupBy(_category(c).alias("_key")).agg(F.count(y).alias("_n"), F.sum(y).alias("_s"), F.array(*each).alias("_folds")) for c in self.columns}
+        return TargetStatisticsModel(self, tables, dataset.agg(F.avg(y)).first()[0])
+
+
+class TargetStatisticsModel(Model):
+    def __init__(self, made: TargetStatistics, tables: dict[str, DataFrame], mean: float | None):
+        super().__init__()
+        self.made, self.tables, self.mean = made, tables, mean or 0.0
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        m = self.made
+        known = m.label in dataset.columns and "split" in dataset.columns
+        own = F.when(F.col("split") == "train", F.get("_folds", _fold(dataset, m.columns, m.label, m.folds))) if known else F.lit(None).cast("struct<n:long,s:double>")
+        for c, table in self.tables.items():
+            out = dataset.withColumn("_key", _category(c)).join(table, "_key", "left").withColumn("_own", own)
+            n = F.coalesce("_n", F.lit(0)) - F.coalesce("_own.n", F.lit(0))
+            total = F.coalesce("_s", F.lit(0.0)) - F.coalesce("_own.s", F.lit(0.0))
+            dataset = out.withColumn(f"{c}_stat", (total + m.prior * self.mean) / (n + m.prior)).drop("_key", "_n", "_s", "_folds", "_own")
+        return dataset
+
+
+def _category(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def _fold(rows: DataFrame, columns: list[str], label: str, folds: int) -> Column:
+    """A row's fold, by a hash of its categories and label and the other plain columns' values."""
+    plain = [c for c, t in rows.dtypes if t in ("string", "int", "bigint", "date", "timestamp", "double") and c != "split" and not c.endswith(("_idx", "_stat"))]
+    return F.pmod(F.xxhash64(*plain, F.lit("fold")), F.lit(folds)).cast("int")
+
+
+def wide_categories(rows: DataFrame, categorical: list[str], most: int = NATIVE) -> list[str]:
+    """The columns with more categories than trees take natively."""
+    if not categorical:
+        return []
+    n = rows.agg(*[F.count_distinct(_category(c)).alias(c) for c in categorical]).first()
+    return [c for c in categorical if n[c] > most]
+
+
+def design(categorical: list[str], numeric: list[str], one_hot: bool = True, out: str = "features", wide: list[str] | None = None, label: str | None = None) -> list:
+    """Stages that encode and assemble: dummies, or indices that trees take as categories (F-12, M-10, M-18).
+
+    Of the latter, ``wide`` columns become statistics of the label instead.
+    """
+    wide = wide or []
+    narrow = [c for c in categorical if c not in wide]
+    index = StringIndexer(inputCols=narrow, outputCols=[f"{c}_idx" for c in narrow], handleInvalid="keep") if narrow else None
     if not one_hot:
-        assemble = VectorAssembler(inputCols=[f"{c}_idx" for c in categorical] + numeric, outputCol="_raw", handleInvalid="keep")
-        return [s for s in (index, assemble, VectorIndexer(inputCol="_raw", outputCol=out, maxCategories=32, handleInvalid="keep")) if s]
-    encode = OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical], outputCols=[f"{c}_hot" for c in categorical]) if categorical else None
-    return [s for s in (index, encode, VectorAssembler(inputCols=[f"{c}_hot" for c in categorical] + numeric, outputCol=out)) if s]
+        statistics = TargetStatistics(wide, label) if wide else None
+        assemble = VectorAssembler(inputCols=[f"{c}_idx" for c in narrow] + [f"{c}_stat" for c in wide] + numeric, outputCol=out, handleInvalid="keep")
+        return [s for s in (index, statistics, assemble) if s]
+    encode = OneHotEncoder(inputCols=[f"{c}_idx" for c in narrow], outputCols=[f"{c}_hot" for c in narrow]) if narrow else None
+    return [s for s in (index, encode, VectorAssembler(inputCols=[f"{c}_hot" for c in narrow] + numeric, outputCol=out)) if s]
 
 
 def quarter_dummies(rows: DataFrame, period: str) -> DataFrame:
@@ -131,7 +193,19 @@ def split_by_period(rows: DataFrame, period: str, first_test) -> DataFrame:
 def boosted(rows: DataFrame, label: str, categorical: list[str], numeric: list[str], one_hot: bool = True, iterations: int = 40, depth: int = 5, seed: int = SEED) -> PipelineModel:
     """Boosted trees fitted on the train rows (M-07, M-10, M-11, M-15)."""
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=iterations, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, maxBins=64)
-    return Pipeline(stages=[*design(categorical, numeric, one_hot), gbt]).fit(rows.where("split = 'train'"))
+    train = rows.where("split = 'train'")
+    wide = [] if one_hot else wide_categories(train, categorical)
+    return Pipeline(stages=[*design(categorical, numeric, one_hot, wide=wide, label=label), gbt]).fit(train)
+
+
+def encodings_compared(rows: DataFrame, label: str, categorical: list[str], numeric: list[str], iterations: int = 40) -> DataFrame:
+    """Test errors of the same trees on dummies and on native categories with statistics (M-18): encoding, mae, rmse, r2, n."""
+    out = None
+    for name, one_hot in (("dummies", True), ("categories", False)):
+        fitted = boosted(rows, label, categorical, numeric, one_hot, iterations)
+        report = regression_report(fitted.transform(rows.where("split = 'test'")), label, "prediction").select(F.lit(name).alias("encoding"), "*")
+        out = report if out is None else out.unionByName(report)
+    return out
 
 
 def random_search(rows: DataFrame, label: str, categorical: list[str], numeric: list[str], candidates: int = 20, folds: int = 5, parallelism: int = 4, iterations: tuple[int, ...] = (20, 40, 80), seed: int = SEED):
@@ -207,14 +281,36 @@ def horizon_report(models: dict[int, PipelineModel], panel: DataFrame, first_tes
     return out.join(base, "horizon", "left").withColumn("better", verdict(F.col("mae"), F.col("baseline_mae")))
 
 
+def calibrated_report(models: dict[int, PipelineModel], panel: DataFrame, first_test, first_report, coverage: float = 0.8) -> DataFrame:
+    """horizon, margin_low, margin_high, n_calibrated, coverage, n (M-12).
+
+    The margins are quantiles of the signed errors, at the finite-sample level,
+    of rows whose target lies from ``first_test`` on and before ``first_report``;
+    the coverage is that of later rows, which set no margin.
+    """
+    out, tail = None, (1 - coverage) / 2
+    for h, m in models.items():
+        rows = m.transform(panel.where(F.col(f"target_{h}").isNotNull() & (F.col(f"period_{h}") >= F.lit(first_test))))
+        rows = rows.select((F.col(f"target_{h}") - F.col("prediction")).alias("e"), (F.col(f"period_{h}") < F.lit(first_report)).alias("sets"))
+        sets = rows.where("sets")
+        n = sets.count()
+        low, high = max(0.0, math.floor((n + 1) * tail - 1) / max(n - 1, 1)), min(1.0, math.ceil((n + 1) * (1 - tail) - 1) / max(n - 1, 1))
+        margins = exact_quantiles(sets, [], "e", [low, high]).select((-F.get("quantiles", F.lit(0))).alias("margin_low"), F.get("quantiles", F.lit(1)).alias("margin_high"), F.col("n").alias("n_calibrated"))
+        met = rows.where(~F.col("sets")).crossJoin(F.broadcast(margins)).groupBy("margin_low", "margin_high", "n_calibrated")
+        r = met.agg(F.avg(F.col("e").between(-F.col("margin_low"), F.col("margin_high")).cast("double")).alias("coverage"), F.count("*").alias("n")).select(F.lit(h).alias("horizon"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def forecast_ranges(models: dict[int, PipelineModel], latest: DataFrame, report: DataFrame, value: str = "price") -> DataFrame:
-    """Forecasts with their interval and growth in percent, for each horizon of horizon_report (M-12)."""
-    margins = report.agg(*[F.max(F.when(F.col("horizon") == h, F.col("margin"))).alias(f"_m{h}") for h in models])
+    """Forecasts with their interval and growth in percent, for each horizon of horizon_report or calibrated_report (M-12)."""
+    sides = ("margin_low", "margin_high") if "margin_low" in report.columns else ("margin", "margin")
+    margins = report.agg(*[F.max(F.when(F.col("horizon") == h, F.col(side))).alias(f"_{x}{h}") for h in models for x, side in zip("lh", sides, strict=True)])
     out = forecast(models, latest).crossJoin(F.broadcast(margins))
     for h in models:
         f = F.col(f"forecast_{h}")
-        out = out.withColumns({f"low_{h}": f - F.col(f"_m{h}"), f"high_{h}": f + F.col(f"_m{h}"), f"growth_{h}": ratio(f - F.col(value), F.col(value), 100.0)})
-    return out.drop(*[f"_m{h}" for h in models])
+        out = out.withColumns({f"low_{h}": f - F.col(f"_l{h}"), f"high_{h}": f + F.col(f"_h{h}"), f"growth_{h}": ratio(f - F.col(value), F.col(value), 100.0)})
+    return out.drop(*[f"_{x}{h}" for h in models for x in "lh"])
 
 
 def forecast(models: dict[int, PipelineModel], latest: DataFrame) -> DataFrame:

@@ -806,6 +806,19 @@ def m10_m18_native_categories(spark, d):
     return M.regression_report(m.transform(rows), "y", "prediction", ["split"])
 
 
+@query()
+def m18_encodings(spark, d):
+    return M.encodings_compared(_parts(spark, d), "y", ["p_type", "p_brand"], ["p_size"], iterations=10)
+
+
+@query()
+def m12_calibrated(spark, d):
+    panel = _daily(spark, d).na.drop(subset=_FEATURES)
+    first = F.to_date(F.lit("2024-01-18"))
+    models = M.horizon_models(panel, (1, 2, 3, 4), _FEATURES, first)
+    return M.calibrated_report(models, panel, first, F.to_date(F.lit("2024-01-24")))
+
+
 @query()
 def m11_m12_forecasts(spark, d):
     s = _series(spark, d).where("serie = 'view'").select("geo", "period", F.col("value").alias("price"))
