@@ -41,3 +41,18 @@ def test_coverage_on_rows_that_set_no_margin(spark):
     assert abs(r["coverage"] - 0.8) < 0.04 and r["margin_high"] > 1.3 * r["margin_low"]
     f = M.forecast_ranges(fitted, panel.where("t = 59"), report).first()
     assert f["high_1"] - f["forecast_1"] == pytest.approx(r["margin_high"]) and f["forecast_1"] - f["low_1"] == pytest.approx(r["margin_low"])
+
+
+def test_quantiles_of_leaves(spark):
+    """One tree's leaf gives the quantiles of its targets; a forest's intervals hold what they say on rows not trained on."""
+    rng = np.random.default_rng(7)
+    x, e = rng.uniform(0, 10, 3000), rng.lognormal(size=3000)
+    df = spark.createDataFrame([(i, float(a), float(50 + 10 * a + b)) for i, (a, b) in enumerate(zip(x, e, strict=True))], "id int, x double, y double").cache()
+    one = M.forest_quantiles(df, df, "y", ["x"], [0.1, 0.5, 0.9], trees=1, depth=0).collect()
+    y = 50 + 10 * x + e
+    ranks = [np.searchsorted(np.sort(y), one[0][c]) / len(y) for c in ("q10", "q50", "q90")]
+    assert ranks == pytest.approx([0.1, 0.5, 0.9], abs=0.04) and len({(r["q10"], r["q90"]) for r in one}) == 1  # a tree draws its own rows, the targets are all
+    train, test = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    got = M.forest_quantiles(train, test, "y", ["x"], [0.1, 0.5, 0.9], trees=10).collect()
+    inside = np.mean([r["q10"] <= r["y"] <= r["q90"] for r in got])
+    assert len(got) == 1000 and 0.74 < inside < 0.9 and all(r["q10"] <= r["q50"] <= r["q90"] for r in got)
