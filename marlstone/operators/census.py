@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import ratio
+from marlstone.functions import canonical_code, fold_code, ratio
 from marlstone.operators.ranks import exact_quantile
+from marlstone.operators.rejects import quarantined
 
 
 def folded_sums(cells: DataFrame, by: list[str], columns: list[str], positive: str | None = None) -> DataFrame:
@@ -130,3 +131,26 @@ def named_means(rows: DataFrame, by: str, kind: str, value: str, names: dict[str
 def truncated_sums(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Sums of whole parts (A-24)."""
     return rows.groupBy(by).agg(F.sum(F.col(value).cast("long")).alias(value))
+
+
+def active_population(cells: DataFrame, code: str, value: str) -> DataFrame:
+    """city, value: sums of a text column over cells whose codes fold together; what is no number counts 0, places at 0 or below go (A-16)."""
+    v = F.coalesce(F.col(value).try_cast("double"), F.lit(0.0))
+    return folded_sums(cells.select(fold_code(canonical_code(F.col(code))).alias("city"), v.alias("value")), ["city"], ["value"], "value")
+
+
+def yearly_counts(rows: DataFrame, most: float, code: str = "GEO", year: str = "TIME_PERIOD", value: str = "OBS_VALUE") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Counts of a long text file by place and year (A-21), its rejected rows with their reason, and how many there are (S-06).
+
+    Empty values are skipped, those that are no number or year or lie outside
+    of 0 to ``most`` are rejected, then codes fold together and are summed.
+    """
+    v, y = F.col(value).try_cast("double"), F.col(year).try_cast("int")
+    good, bad, n = quarantined(rows.where(F.trim(value) != ""), {"no number": v.isNotNull() & y.isNotNull() & F.col(code).isNotNull(), "out of band": v.between(0, most)})
+    by = good.select(fold_code(canonical_code(F.col(code))).alias("city"), y.alias("year"), v.alias("value"))
+    return folded_sums(by, ["city", "year"], ["value"]), bad, n
+
+
+def rounded_sums(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Sums rounded to whole numbers, halves to even (A-24)."""
+    return rows.groupBy(by).agg(F.bround(F.sum(F.coalesce(F.col(value).try_cast("double"), F.lit(0.0))), 0).cast("long").alias(value))

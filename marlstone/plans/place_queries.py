@@ -14,6 +14,7 @@ from marlstone.operators import quality as Q
 from marlstone.operators import scores as R
 from marlstone.operators import spatial as G
 from marlstone.operators import windows as W
+from marlstone.operators.ranks import exact_quantiles
 from marlstone.plans.standins import CITIES, CLEAN, POINTS, QUERIES, SALES, SQL, cities, haversine, points, query, sales, table
 from marlstone.sources import readers as I
 from marlstone.sources import sinks as O
@@ -260,6 +261,33 @@ def a24_truncated_sums(spark, d):
     return C.truncated_sums(table(spark, d, "customer").select(F.col("c_nationkey").alias("place"), F.col("c_acctbal").alias("truncated")), "place", "truncated")
 
 
+_NUMBERS = "numbers AS (SELECT CASE WHEN c_nationkey % 2 = 0 THEN '751' || lpad(CAST(c_nationkey % 20 + 1 AS VARCHAR), 2, '0') ELSE CAST(1000 + c_nationkey AS VARCHAR) END AS code, CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 13 = 0 THEN 'n/a' ELSE CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS VARCHAR) END AS v, CAST(2010 + c_custkey % 7 AS VARCHAR) AS y FROM customer)"
+_FOLDED = "CASE WHEN code LIKE '751%' THEN '75056' ELSE lpad(code, 5, '0') END"
+
+
+def _numbers(spark, d):
+    """Codes, of which some fold together, and texts, of which some are no numbers."""
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    code = F.when(n % 2 == 0, F.concat(F.lit("751"), F.lpad((n % 20 + 1).cast("string"), 2, "0"))).otherwise((n + 1000).cast("string"))
+    v = F.when(k % 11 == 0, "").when(k % 13 == 0, "n/a").otherwise(F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
+    return table(spark, d, "customer").select(code.alias("GEO"), v.alias("OBS_VALUE"), (2010 + k % 7).cast("string").alias("TIME_PERIOD"))
+
+
+@query(f"WITH {_NUMBERS} SELECT {_FOLDED} AS city, round(sum(coalesce(try_cast(v AS DOUBLE), 0)), 4) AS value FROM numbers GROUP BY 1 HAVING sum(coalesce(try_cast(v AS DOUBLE), 0)) > 0")
+def a16_active_population(spark, d):
+    return _rounded(C.active_population(_numbers(spark, d), "GEO", "OBS_VALUE"), "value", digits=4)
+
+
+@query(f"WITH {_NUMBERS} SELECT {_FOLDED} AS city, CAST(y AS INTEGER) AS year, round(sum(CAST(v AS DOUBLE)), 4) AS value FROM numbers WHERE try_cast(v AS DOUBLE) BETWEEN 0 AND 9000 GROUP BY ALL")
+def a21_yearly_counts(spark, d):
+    return _rounded(C.yearly_counts(_numbers(spark, d), 9000)[0], "value", digits=4)
+
+
+@query(f"WITH {_NUMBERS} SELECT code, CAST(round_even(sum(coalesce(try_cast(v AS DOUBLE), 0)), 0) AS BIGINT) AS total FROM numbers GROUP BY code")
+def a24_rounded_sums(spark, d):
+    return C.rounded_sums(_numbers(spark, d).select(F.col("GEO").alias("code"), F.col("OBS_VALUE").alias("total")), "code", "total")
+
+
 @query("SELECT place, '{' || string_agg('\"' || kind || '\":' || CAST(n AS VARCHAR), ',' ORDER BY kind) || '}' AS breakdown FROM (SELECT c_nationkey AS place, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'other' END AS kind, count(*) AS n FROM customer GROUP BY ALL) GROUP BY place")
 def a26_breakdown(spark, d):
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("place"), "c_mktsegment", F.lit(1).alias("n"))
@@ -503,6 +531,18 @@ def j12_j13_j21_j27_hand_off(spark, d):
     return out.select("id", "price", "rent", "filled")
 
 
+@query(f"WITH {CITIES}, g AS (SELECT dept, quantile_cont(price, 0.5) AS m, quantile_cont(price, 0.1) AS low, quantile_cont(price, 0.9) AS high FROM cities GROUP BY dept), a AS (SELECT quantile_cont(price, 0.5) AS m FROM cities) SELECT id, zone_no AS cluster, round(price, 4) AS price, round(coalesce(g.m, a.m), 4) AS predicted, round((price - coalesce(g.m, a.m)) / coalesce(g.m, a.m), 4) AS opportunity, CASE WHEN tax_rate IS NOT NULL THEN tax_rate END AS growth, round(low, 4) AS low, round(high, 4) AS high, round(rent * 12 / price * 100, 4) AS yield FROM cities LEFT JOIN g USING (dept), a")
+def j21_all_parts(spark, d):
+    c = cities(spark, d)
+    priced = M.group_baseline(c.where("price is not null"), c, "price", "dept", out="predicted")
+    scored = priced.select("id", "dept", "price", "predicted", R.opportunity(F.col("price"), F.col("predicted")).alias("opportunity"))
+    q = exact_quantiles(c, ["dept"], "price", [0.1, 0.9])
+    interval = c.join(q, "dept").select("id", F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high"))
+    parts = [c.select("id", F.col("zone_no").alias("cluster")), c.where("tax_rate is not null").select("id", F.col("tax_rate").alias("growth")), interval, c.where("rent is not null").select("id", ratio(F.col("rent") * 12, F.col("price"), 100.0).alias("yield"))]
+    out = M.handed_off(scored, parts, "id").select("id", "cluster", "price", "predicted", "opportunity", "growth", "low", "high", "yield")
+    return _rounded(out, "price", "predicted", "opportunity", "low", "high", "yield", digits=4)
+
+
 @query(f"WITH {CITIES} SELECT o_orderkey, population FROM orders JOIN customer ON o_custkey = c_custkey JOIN cities ON id = lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || lpad(CAST(ascii(c_mktsegment) AS VARCHAR), 3, '0')")
 def j23_sales_with_context(spark, d):
     return P.with_context(sales(spark, d), cities(spark, d).select(F.col("id").alias("city"), "population"), "city").select(F.col("id").alias("o_orderkey"), "population")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import canonical_code, fold_code, parse_decimal
-from marlstone.operators.staging import staged
+from marlstone.operators.rejects import quarantined
 
 SALES_SCHEMA = "`Date mutation` date, `Nature mutation` string, `Valeur fonciere` string, `Code departement` string, `Code commune` string, `No voie` string, `Code voie` string, `Code type local` int, `Surface reelle bati` int, `Nombre pieces principales` int, `Surface terrain` int"
 
@@ -58,22 +58,6 @@ def banded(rows: DataFrame, value: Column, low: float, high: float) -> tuple[Dat
     return v.where(good), v.where(~good)
 
 
-def quarantined(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """Rows that pass all checks, the rejected ones with ``reason``, the first check that fails, and the counts (S-05, S-06, P-14, J-19).
-
-    A check that gives null fails.  Rows are read once: they are written with
-    their reason, and an observation counts them on the way; ``counts`` has
-    ``rows``, ``kept`` and each reason.
-    """
-    reason = F.lit(None).cast("string")
-    for name, good in reversed(checks.items()):
-        reason = F.when(~F.coalesce(good, F.lit(False)), F.lit(name)).otherwise(reason)
-    seen = Observation()
-    counts = [F.count_if(F.col("reason") == name).alias(name) for name in checks]
-    tagged = staged(rows.withColumn("reason", reason).observe(seen, F.count("*").alias("rows"), F.count_if(F.col("reason").isNull()).alias("kept"), *counts))
-    return tagged.where("reason is null").drop("reason"), tagged.where("reason is not null"), seen.get
-
-
 def quarantined_csv(spark: SparkSession, path: str, schema: str, checks: dict[str, Column], **options) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """As ``quarantined`` over CSV files: lines that don't fit the schema have the reason ``unreadable``; ``file`` and ``line`` tell where a row comes from."""
     raw = spark.read.schema(f"{schema}, line string").csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord="line", **options)
