@@ -920,12 +920,13 @@ def m16_regression_report(spark, d):
     return _rounded(_rounded(r, "mae", "rmse"), "r2", digits=4)
 
 
-@query()
+@query(f"WITH {CITIES}, c AS (SELECT id, ln(1 + population) AS a, lat AS b, price AS c FROM cities WHERE price IS NOT NULL AND population IS NOT NULL AND lat IS NOT NULL) SELECT id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 4) AS population, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 4) AS lat, round((c - avg(c) OVER ()) / stddev_pop(c) OVER (), 4) AS price FROM c")
 def m01_f09_prepared(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    p = M.prepared(cities(spark, d), ["population", "lat", "price"], ["population"])
-    return p.select("id", F.transform(vector_to_array("scaled"), lambda x: F.round(x, 6)).alias("scaled"))
+    names = ["population", "lat", "price"]
+    p = M.prepared(cities(spark, d), names, ["population"]).withColumn("v", vector_to_array("scaled"))
+    return p.select("id", *[F.round(F.col("v")[k], 4).alias(n) for k, n in enumerate(names)])
 
 
 @query()
