@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.staging import staged
+
 #: Rows up to which a group is ranked whole.
 ACCURACY = 10_000
 #: Binary digits of the number of bins of a large group.
@@ -34,7 +36,18 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, qs: list[float
         held &= F.col(k).isNotNull()
     by = keys or ["_all"]
     own = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
-    rows = rows.where(held).select(*own, F.col(value).alias("_v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    rows = staged(rows.where(held).select(*own, F.col(value).alias("_v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")))  # read four times
+    if weight or upper:
+        return _in_bins(rows, by, qs, bool(weight), upper, accuracy).select(*keys, "n", "quantiles")
+    large = rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > accuracy).select(*by)
+    some = not large.isEmpty()
+    whole = (rows.join(large, by, "left_anti") if some else rows).groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs])).alias("quantiles"))
+    out = whole.unionByName(_in_bins(rows.join(large, by, "left_semi"), by, qs, False, False, accuracy)) if some else whole
+    return (out if keys else out.where("n > 0")).select(*keys, "n", "quantiles")
+
+
+def _in_bins(rows: DataFrame, by: list[str], qs: list[float], weight: bool, upper: bool, accuracy: int) -> DataFrame:
+    """``by``, n, quantiles of (by, _v, _w)."""
     n, total = F.col("n"), F.col("_total")
     places: list[Column] = []  # a value's running weight reaches each of these
     for q in qs:
@@ -65,7 +78,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, qs: list[float
         part = lambda q: (n - 1) * F.lit(float(q)) - F.floor((n - 1) * F.lit(float(q)))
         pairs = [(F.get("_q", F.lit(2 * k)), F.get("_q", F.lit(2 * k + 1)), part(q)) for k, q in enumerate(qs)]
         out = out.withColumn("_q", F.array(*[low + p * (high - low) for low, high, p in pairs]))
-    return out.select(*keys, "n", F.col("_q").alias("quantiles"))
+    return out.select(*by, "n", F.col("_q").alias("quantiles"))
 
 
 def exact_quantile(rows: DataFrame, keys: list[str], value: str, q: float = 0.5, upper: bool = False, accuracy: int = ACCURACY) -> DataFrame:
