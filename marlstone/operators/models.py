@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import ratio
 from marlstone.operators.clusters import Fit, hashed_first, kmeans_fits, silhouettes, soft_clusters, split_clusters  # noqa: F401  (soft and split clusters belong to the models)
 from marlstone.operators.ranks import exact_quantile, exact_quantiles
+from marlstone.operators.staging import staged
 
 SEED = 42
 #: Categories of a column that trees take as such; a column with more becomes statistics of the label.
@@ -208,15 +211,73 @@ def encodings_compared(rows: DataFrame, label: str, categorical: list[str], nume
     return out
 
 
-def random_search(rows: DataFrame, label: str, categorical: list[str], numeric: list[str], candidates: int = 20, folds: int = 5, parallelism: int = 4, iterations: tuple[int, ...] = (20, 40, 80), seed: int = SEED):
-    """Cross-validated search over a random part of a grid, by mean absolute error (M-08)."""
-    import random
+#: What a search draws its candidates from (M-08).
+SEARCH_GRID = {"maxDepth": (3, 4, 5, 6), "maxIter": (20, 40, 80), "stepSize": (0.05, 0.1, 0.2), "subsamplingRate": (0.7, 0.85, 1.0), "minInstancesPerNode": (1, 5, 20)}
 
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, maxBins=64)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, [3, 4, 5, 6]).addGrid(gbt.maxIter, list(iterations)).addGrid(gbt.stepSize, [0.05, 0.1, 0.2]).addGrid(gbt.subsamplingRate, [0.7, 0.85, 1.0]).addGrid(gbt.minInstancesPerNode, [1, 5, 20]).build()
-    maps = random.Random(seed).sample(grid, min(candidates, len(grid)))
-    judge = RegressionEvaluator(labelCol=label, metricName="mae")
-    return CrossValidator(estimator=Pipeline(stages=[*design(categorical, numeric), gbt]), estimatorParamMaps=maps, evaluator=judge, numFolds=folds, parallelism=parallelism, seed=seed).fit(rows.where("split = 'train'"))
+
+def drawn(candidates: int, grid: dict[str, tuple] | None = None, seed: int = SEED) -> list[dict]:
+    """Different combinations of the grid's values, drawn at random; all of them, if there are no more than ``candidates``."""
+    grid = SEARCH_GRID if grid is None else grid
+    every = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    return random.Random(seed).sample(every, min(candidates, len(every)))
+
+
+def random_search(
+    rows: DataFrame, label: str, categorical: list[str], numeric: list[str], candidates: int = 20, folds: int = 5, rounds: int = 3, rate: int = 3, side_by_side: int = 8, grid: dict[str, tuple] | None = None, seed: int = SEED
+) -> tuple[PipelineModel, DataFrame]:
+    """Cross-validated search over a random part of a grid, by mean absolute error (M-08).
+
+    The train rows are encoded and written once; all fits read that table,
+    ``side_by_side`` of them at a time, whatever their fold and candidate.  Each
+    round fits the candidates left with a share of their trees (a ``rate``-th of
+    the next round's) and keeps the better ``rate``-th of them, ties in drawing
+    order; the last round has the whole number of trees.  ``rounds=1`` compares all
+    candidates in full.  Rows without label or a number take no part, nor do
+    categories of fewer than two values; equal rows are in one fold, and folds
+    without rows count nothing: if all rows are in one, the first drawn stays.
+
+    Returns the best candidate fitted on all train rows, and a row for each
+    candidate and round: candidate, round, trees, mae, folds, kept, parameters.
+    """
+    names = tuple(SEARCH_GRID if grid is None else grid)
+    train, _ = complete_cases(rows.where("split = 'train'"), [label, *numeric])
+    train = train.withColumn("_fold", _fold(train, categorical, label, folds))
+    if categorical:
+        n = train.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()
+        categorical = [c for c in categorical if n[c] > 1]
+    encoder = Pipeline(stages=design(categorical, numeric)).fit(train)
+    table = staged(encoder.transform(train).select("features", F.col(label).cast("double").alias("_y"), "_fold"))
+    sizes = {r["_fold"]: r["n"] for r in table.groupBy("_fold").agg(F.count("*").alias("n")).collect()}  # a row for each fold
+    if not sizes:
+        raise ValueError("no complete train rows to search on")
+
+    def trees(given: dict, trial_round: int) -> int:
+        return max(1, math.ceil(given.get("maxIter", 20) / rate ** (rounds - 1 - trial_round)))
+
+    def fitted(given: dict, n: int, part: DataFrame):
+        return GBTRegressor(featuresCol="features", labelCol="_y", seed=seed, maxBins=64, **{**given, "maxIter": n}).fit(part)
+
+    def error(job: tuple[dict, int, int]) -> float:
+        given, n, fold = job
+        held = fitted(given, n, table.where(F.col("_fold") != fold)).transform(table.where(F.col("_fold") == fold))
+        return held.agg(F.avg(F.abs(F.col("_y") - F.col("prediction")))).first()[0]
+
+    told, left = [], list(enumerate(drawn(candidates, grid, seed)))
+    usable = sorted(sizes) if len(sizes) > 1 else []
+    with ThreadPool(side_by_side) as pool:
+        for k in range(rounds):
+            jobs = [(given, trees(given, k), fold) for _, given in left for fold in usable]
+            errors = pool.map(inheritable_thread_target(rows.sparkSession)(error), jobs, chunksize=1)
+            each = len(usable)
+            means = [sum(errors[i * each : (i + 1) * each]) / each if each else None for i in range(len(left))]
+            order = sorted(range(len(left)), key=lambda i: (means[i] if each else 0.0, left[i][0]))
+            keep = set(order[: 1 if k == rounds - 1 else max(1, math.ceil(len(left) / rate))])
+            told += [(c, k, trees(given, k), means[i], each, i in keep, *[float(given[x]) for x in names]) for i, (c, given) in enumerate(left)]
+            left = [x for i, x in enumerate(left) if i in keep]
+    best = left[0][1]
+    gbt = fitted(best, trees(best, rounds - 1), table)
+    report = rows.sparkSession.createDataFrame(told, "candidate int, round int, trees int, mae double, folds int, kept boolean, " + ", ".join(f"{x} double" for x in names))
+    return PipelineModel(stages=[*encoder.stages, gbt]), report
 
 
 def importances(model: PipelineModel, rows: DataFrame) -> DataFrame:

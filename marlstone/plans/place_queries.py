@@ -962,7 +962,7 @@ def f12_quarter_dummies(spark, d):
 @query()
 def m08_random_search(spark, d):
     rows = _parts(spark, d)
-    fitted = M.random_search(rows, "y", ["p_type"], ["k"], candidates=2, folds=2, iterations=(3,))
+    fitted, _ = M.random_search(rows, "y", ["p_type"], ["k"], grid={**M.SEARCH_GRID, "maxIter": (5, 10, 20)})
     return M.regression_report(fitted.transform(rows), "y", "prediction", ["split"])
 
 
