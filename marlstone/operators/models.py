@@ -19,6 +19,7 @@ from marlstone.functions import ratio
 from marlstone.operators.clusters import Fit, hashed_first, kmeans_fits, silhouettes, soft_clusters, split_clusters  # noqa: F401  (soft and split clusters belong to the models)
 from marlstone.operators.ranks import exact_quantile, exact_quantiles
 from marlstone.operators.staging import staged
+from marlstone.operators.windows import group_fill
 
 SEED = 42
 #: Categories of a column that trees take as such; a column with more becomes statistics of the label.
@@ -288,13 +289,26 @@ def importances(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame([(names.get(i, str(i)), float(v)) for i, v in enumerate(values)], "feature string, importance double")
 
 
-def ablation(rows: DataFrame, label: str, levels: dict[int, tuple[str, ...]] | None = None, iterations: int = 20) -> DataFrame:
-    """Test errors of models on the features up to each level (M-17): level, features, mae, rmse, r2, n."""
-    levels = FEATURE_LEVELS if levels is None else levels
-    out = None
+def ablation(rows: DataFrame, label: str, levels: dict[int, tuple[str, ...]] | None = None, iterations: int = 20, categorical: list[str] | None = None, imputed: tuple[str, ...] = (), group: str = "dept") -> DataFrame:
+    """Test errors of models on the features up to each level (M-17): level, features, mae, rmse, r2, n.
+
+    All levels see the same rows: those with a label and all features of all
+    levels.  ``imputed`` features lose no row: their gaps become the median of
+    the ``group`` or of all, and from level 1 on each of them has a flag as a
+    feature of its own.  ``features`` counts numbers and flags.
+    """
+    levels, categorical, out = FEATURE_LEVELS if levels is None else levels, categorical or [], None
+    every = features_up_to(max(levels), levels)
+    gaps = [c for c in every if c in imputed]
+    rows, _ = complete_cases(rows, [label, *[c for c in every if c not in gaps]])
+    if gaps:
+        rows = group_fill(rows, gaps, group).withColumns({f"{c}_missing": F.col(f"{c}_missing").cast("double") for c in gaps})
+        rows, _ = complete_cases(rows, gaps)  # a column of gaps alone
+    rows = staged(rows)
     for level in sorted(levels):
         use = features_up_to(level, levels)
-        fitted = boosted(rows, label, [], use, iterations=iterations)
+        use += [f"{c}_missing" for c in gaps if c in use and level >= 1]
+        fitted = boosted(rows, label, categorical, use, iterations=iterations)
         report = regression_report(fitted.transform(rows.where("split = 'test'")), label, "prediction").select(F.lit(level).alias("level"), F.lit(len(use)).alias("features"), "*")
         out = report if out is None else out.unionByName(report)
     return out

@@ -838,6 +838,27 @@ def m17_ablation(spark, d):
     return M.ablation(p, "y", {0: ("p_size",), 1: ("brand",), 2: ("k",)}, iterations=10)
 
 
+def _households(spark, d) -> DataFrame:
+    """A place for each customer with orders: all features of the library's levels, an income and a surface that some lack."""
+    c, o, line = (table(spark, d, t) for t in ("customer", "orders", "lineitem"))
+    share = lambda test: F.avg(test.cast("double"))
+    bought = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("population"), share(F.col("o_orderstatus") == "F").alias("vacancy"), share(F.col("o_orderstatus") == "O").alias("owner_share"))
+    units = line.join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").groupBy("c_custkey").agg(
+        F.count("*").alias("lines"), F.avg("l_extendedprice").alias("y"), F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("unemployment"), F.avg("l_tax").alias("secondary_share"),
+        share(F.col("l_linestatus") == "O").alias("house_share"), share(F.col("l_returnflag") == "R").alias("student_share"), share(F.col("l_returnflag") == "A").alias("retired_share"),
+    )
+    k = F.col("c_nationkey").cast("double")
+    return c.join(bought, "c_custkey").join(units, "c_custkey").withColumns(
+        {"dept": F.col("c_nationkey").cast("string"), "median_income": F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")), "km_to_city": F.abs(k - 12) * 40, "km_to_capital": k * 35, "density": F.col("lines") * F.col("quantity") / F.col("population"), "poi_per_1000": F.col("lines") / F.col("population"), "mean_surface": F.when(F.col("lines") >= 20, F.col("quantity"))}
+    )
+
+
+@query()
+def m17_own_levels(spark, d):
+    rows = M.split_by_hash(_households(spark, d), "c_custkey")
+    return M.ablation(rows, "y", iterations=10, categorical=["c_mktsegment"], imputed=("median_income", "mean_surface"))
+
+
 @query()
 def m10_m18_native_categories(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))

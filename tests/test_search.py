@@ -1,4 +1,4 @@
-"""The search of boosted trees by halving rounds."""
+"""The search of boosted trees by halving rounds, and feature levels with gaps."""
 
 import pytest
 from pyspark.ml import Pipeline
@@ -54,3 +54,14 @@ def test_search_needs_rows_and_takes_equal_ones(spark, rows):
     told = report.collect()
     assert [(r["mae"], r["folds"], r["kept"]) for r in told] == [(None, 0, True), (None, 0, False)]
     assert model.transform(same).first()["prediction"] == pytest.approx(2.0)
+
+
+def test_levels_meet_the_same_rows(spark):
+    """Gaps of imputed columns lose no row and tell by their flag from level 1 on; rows that lack another column are in no level."""
+    rows = spark.range(900).select("id", (F.col("id") % 3).cast("string").alias("dept"), F.rand(1).alias("a"), F.when(F.col("id") % 5 != 0, F.rand(2)).alias("b"), F.when(F.col("id") % 90 != 1, F.rand(3)).alias("c"))
+    rows = M.split_by_hash(rows.withColumn("y", F.when(F.col("b").isNull(), 10.0).otherwise(F.lit(0.0)) + F.col("a")), "id")
+    got = {r["level"]: r for r in M.ablation(rows, "y", {0: ("a",), 1: ("b",), 2: ("c",)}, iterations=5, imputed=("b",)).collect()}
+    test = [r for r in rows.where("split = 'test'").collect() if r["c"] is not None]
+    assert [got[k]["features"] for k in (0, 1, 2)] == [1, 3, 4]
+    assert {got[k]["n"] for k in (0, 1, 2)} == {len(test)}
+    assert got[1]["mae"] < 0.2 * got[0]["mae"]
