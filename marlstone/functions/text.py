@@ -5,6 +5,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Words that may stand before a name, kinds of saints, and words for a department (fixed values).
 _ARTICLES, _SAINTS, _DEPARTMENT = ("le", "la", "les"), ("saint", "sainte"), ("", "dep", "dép", "dept", "dépt", "dep.", "dép.")
 
 
@@ -28,10 +29,7 @@ def plain_letters(text: Column) -> Column:
 
 def name_key(name: Column) -> Column:
     """Loose key of a place name, of its words: without an article before them, saints of either kind alike (F-02)."""
-    spaced = F.split(plain_letters(name), " ")
-    has_article = (F.size(spaced) > 1) & spaced[0].isin(*_ARTICLES)
-    bare = F.array_join(F.when(has_article, F.slice(spaced, 2, F.size(spaced))).otherwise(spaced), " ")
-    bare = F.when(F.startswith(bare, F.lit("l'")) & ~has_article, F.substring(bare, 3, 1 << 30)).otherwise(bare)
+    bare = F.regexp_replace(plain_letters(name), f"^(?:(?:{'|'.join(_ARTICLES)}) |l')", "")  # named once: a copy of the expression for each use would be computed again
     words = F.split(bare, r"[-\s'._]+")
     return F.array_join(F.transform(words, lambda w: F.when(w.isin(*_SAINTS), F.lit("st")).otherwise(w)), "")
 

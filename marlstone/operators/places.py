@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import name_key, strip_parenthesis
+from marlstone.operators.staging import staged
 
 #: Tag values and what they are, in the order in which tags decide (fixed values).
 TAGS = (
@@ -67,27 +68,41 @@ def by_priority(sources: list[DataFrame], keys: list[str], order: list[Column] |
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def resolve(names: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _heads(keys: DataFrame, shortest: int) -> DataFrame:
+    """Rows once for each beginning of their key, of ``shortest`` letters at least and shorter than the key: column head."""
+    lengths = F.sequence(F.lit(shortest), F.length("key") - 1)
+    return keys.where(F.length("key") > shortest).withColumn("_n", F.explode(lengths)).withColumn("head", F.expr("substring(key, 1, _n)")).drop("_n")
+
+
+def resolve(names: DataFrame, places: DataFrame, shortest: int = 3) -> tuple[DataFrame, DataFrame]:
     """Names (name, hint) to places (code, name, dept, population); the resolved with their confidence and kind of match, and the rest (J-25).
 
     An exact key decides, within the hinted department if there is a hint, the
     most populous of several.  Without a hint a name that starts another's key
-    is taken with low confidence; candidates share the first three characters.
+    is taken with low confidence; the shorter has ``shortest`` letters at least.
+
+    Places are reduced to the best of each key before names meet them, and
+    beginnings are joined as values: a name meets one row for each of its
+    letters, however many places begin alike.  The matches are staged once.
     """
     n = names.select("name", "hint", name_key(strip_parenthesis(F.col("name"))).alias("key")).distinct()
-    p = places.select("code", F.col("name").alias("place"), "dept", "population", name_key(F.col("name")).alias("pkey"))
-    exact = n.join(p, (F.col("key") == F.col("pkey")) & (F.col("hint").isNull() | (F.col("hint") == F.col("dept"))))
-    w = Window.partitionBy("name", "hint")
-    best = w.orderBy(F.col("population").desc_nulls_last(), "code")
-    exact = exact.withColumns({"found": F.count("*").over(w), "nth": F.row_number().over(best)}).where("nth = 1")
-    level = F.when(F.col("found") > 1, "low").when(F.col("hint").isNotNull(), "high").otherwise("medium")
-    exact = exact.select("name", "hint", "code", level.alias("confidence"), F.lit("exact").alias("match"))
-    rest = n.join(exact.select("name", F.coalesce("hint", F.lit("")).alias("_h")), ["name"], "left_anti").where(F.col("hint").isNull() & (F.length("key") >= 3))
-    near = rest.withColumn("head", F.substring("key", 1, 3)).join(p.withColumn("head", F.substring("pkey", 1, 3)), "head").where(F.startswith("key", F.col("pkey")) | F.startswith("pkey", F.col("key")))
-    near = near.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("name", "hint", "code", F.lit("low").alias("confidence"), F.lit("prefix").alias("match"))
-    done = exact.unionByName(near)
-    left = n.join(done.select("name", "hint"), n["name"].eqNullSafe(done["name"]) & n["hint"].eqNullSafe(done["hint"]), "left_anti").select("name", "hint")
-    return done, left
+    order = F.struct(F.col("population").isNull().alias("unknown"), (-F.col("population")).alias("less"), "code")
+    in_dept = places.select("dept", order.alias("best"), name_key(F.col("name")).alias("key")).groupBy("key", "dept").agg(F.min("best").alias("best"), F.count("*").alias("found"))
+    anywhere = in_dept.groupBy("key").agg(F.min("best").alias("best"), F.sum("found").alias("found"))
+    exact = in_dept.where("dept is not null").unionByName(anywhere.withColumn("dept", F.lit(None).cast(in_dept.schema["dept"].dataType)))
+
+    asked = n.where("hint is null").select("key").distinct().where(F.length("key") >= shortest).join(anywhere, "key", "left_anti")
+    longer = _heads(anywhere.select("key", "best"), shortest).groupBy(F.col("head").alias("key")).agg(F.min("best").alias("best"))
+    shorter = _heads(asked, shortest).join(anywhere.select(F.col("key").alias("head"), "best"), "head")
+    near = asked.join(longer, "key").select("key", "best").unionByName(shorter.select("key", "best")).groupBy("key").agg(F.min("best").alias("near"))
+
+    e = exact.select(F.col("key").alias("_key"), F.col("dept").alias("_dept"), "best", "found")
+    m = n.join(e, (F.col("key") == F.col("_key")) & F.col("hint").eqNullSafe(F.col("_dept")), "left").join(near.withColumn("hint_free", F.lit(True)), "key", "left")
+    loose = F.col("hint_free") & F.col("hint").isNull()
+    level = F.when(F.col("found") > 1, "low").when(F.col("found").isNull(), "low").when(F.col("hint").isNotNull(), "high").otherwise("medium")
+    kind = F.when(F.col("found").isNotNull(), "exact").when(loose, "prefix")
+    m = staged(m.select("name", "hint", F.coalesce("best.code", F.when(loose, F.col("near.code"))).alias("code"), level.alias("confidence"), kind.alias("match")))
+    return m.where("match is not null"), m.where("match is null").select("name", "hint")
 
 
 def category_counts(pois_in_city: DataFrame, cities: DataFrame, categories: list[str]) -> DataFrame:
