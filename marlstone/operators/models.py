@@ -79,10 +79,10 @@ def best_kmeans(rows: DataFrame, k: int, starts: int = 10, features: str = "scal
 
 
 def anova_f(rows: DataFrame, group: str, values: list[str], least: int = 1) -> DataFrame:
-    """feature, f, groups, n of a one-way analysis of variance, from one aggregation (M-03, M-04)."""
-    g = rows.groupBy(group).agg(*[x for v in values for x in (F.count(v).alias(f"n_{v}"), F.sum(v).alias(f"s_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"q_{v}"))])
-    parts = F.explode(F.array(*[F.struct(F.lit(v).alias("feature"), F.col(f"n_{v}").alias("n"), F.col(f"s_{v}").alias("s"), F.col(f"q_{v}").alias("q")) for v in values])).alias("p")
-    t = g.select(parts).select("p.*").where(F.col("n") >= least).groupBy("feature").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
+    """feature, f, groups, n of a one-way analysis of variance (M-03, M-04): sums of each feature and group, any number of features."""
+    each = rows.select(F.col(group).alias("_g"), F.explode(F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).cast("double").alias("v")) for v in values])).alias("p")).select("_g", "p.*")
+    g = each.groupBy("feature", "_g").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    t = g.where(F.col("n") >= least).groupBy("feature").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     between, within = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
     return t.select("feature", ((between / (F.col("groups") - 1)) / (within / (F.col("n") - F.col("groups")))).alias("f"), "groups", "n")
 

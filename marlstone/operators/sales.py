@@ -53,6 +53,16 @@ def mutation_prices(units: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return groups.withColumns({"all_units": F.sum("n_units").over(whole), "n_types": F.size(F.collect_set("unit_type").over(whole))})
 
 
+def with_mutation_units(units: DataFrame) -> DataFrame:
+    """Every unit with the number of units of its mutation, all_units (J-03, W-11)."""
+    return units.withColumn("all_units", F.count("*").over(Window.partitionBy("mutation_id")))
+
+
+def distinct_units(units: DataFrame, identifying: tuple[str, ...]) -> DataFrame:
+    """One row for each combination of the identifying columns (P-11)."""
+    return units.select(*identifying).distinct()
+
+
 def mutation_land(units: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Land sold with a mutation (D4)."""
     base = units.where((F.col("land") > 0) & (F.col("price") > 0))
@@ -196,8 +206,7 @@ def observations(prices: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
 
 def single_unit_sales(units: DataFrame) -> DataFrame:
     """Sales of one house or apartment alone: city, year and price for a unit of surface (P-25)."""
-    counted = units.withColumn("n", F.count("*").over(Window.partitionBy("mutation_id")))
-    return counted.where((F.col("n") == 1) & F.col("unit_type").isin(1, 2) & (F.col("surface") > 0)).select("city", F.year("mutation_date").alias("year"), (F.col("price") / F.col("surface")).alias("price_sqm"))
+    return with_mutation_units(units).where((F.col("all_units") == 1) & F.col("unit_type").isin(1, 2) & (F.col("surface") > 0)).select("city", F.year("mutation_date").alias("year"), (F.col("price") / F.col("surface")).alias("price_sqm"))
 
 
 def _with_quantiles(groups: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

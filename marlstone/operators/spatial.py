@@ -54,11 +54,16 @@ def nearest_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest_of_few(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """``rows`` with km to the nearest of a few reference points (J-16); ``few`` is bounded, as its makers limit it."""
-    f = F.broadcast(few.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).agg(F.collect_list(F.struct("_lat", "_lon")).alias("_few")))
+def nearest_of_few(rows: DataFrame, few: DataFrame, most: int = 10_000) -> DataFrame:
+    """``rows`` with km to the nearest of a few reference points (J-16): one broadcast row of them, an error beyond ``most``.
+
+    Any number of points goes through ``nearest.nearest``.  Points without a coordinate are none.
+    """
+    few = few.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    one = few.limit(most + 1).agg(F.collect_list(F.struct("_lat", "_lon")).alias("_few"))
+    one = one.withColumn("_few", F.when(F.size("_few") <= most, F.col("_few")).otherwise(F.raise_error(F.lit(f"more than {most} reference points"))))
     km = F.array_min(F.transform("_few", lambda p: haversine_km(F.col("lat"), F.col("lon"), p["_lat"], p["_lon"])))
-    return rows.crossJoin(f).withColumn("km", km).drop("_few")
+    return rows.crossJoin(F.broadcast(one)).withColumn("km", km).drop("_few")
 
 
 def top_by_population(cities: DataFrame, n: int = 50) -> DataFrame:

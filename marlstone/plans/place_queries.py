@@ -362,7 +362,7 @@ def a34_departments_by_mean(spark, d):
 @query("SELECT s_nationkey AS place, count(*) FILTER (s_acctbal >= 1) AS active, count(*) FILTER (s_acctbal >= 1 AND s_suppkey % 2 = 0) AS entire FROM supplier GROUP BY 1")
 def a41_p16_listings(spark, d):
     s = table(spark, d, "supplier").withColumn("on", R.active_listing(F.lit("t"), F.col("s_acctbal").cast("string"), F.lit(None).cast("string")))
-    return s.groupBy(F.col("s_nationkey").alias("place")).agg(F.count_if("on").alias("active"), F.count_if(F.col("on") & (F.col("s_suppkey") % 2 == 0)).alias("entire"))
+    return R.listing_counts(s, "s_nationkey", F.col("on"), F.col("s_suppkey") % 2 == 0)
 
 
 @query("SELECT 'region' AS level, CAST(r_regionkey AS VARCHAR) AS code, r_name AS name, 'FR' AS parent FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 'department', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR) FROM nation")
@@ -763,13 +763,6 @@ def m02_w18_kmeans_representatives(spark, d):
     return M.representatives(rows, M.best_kmeans(rows, 4)).select("id", "prediction", "rank", F.round("distance", 4).alias("distance"))
 
 
-@query("""WITH x AS (SELECT label, embedding[1]::DOUBLE AS v FROM embeddings), g AS (SELECT label, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY 1 HAVING count(*) >= 5), t AS (SELECT count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g)
-SELECT 'v' AS feature, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 6) AS f, k AS groups, CAST(n AS BIGINT) AS n FROM t""")
-def m03_m04_anova(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("v"))
-    return _rounded(M.anova_f(e, "label", ["v"], 5), "f")
-
-
 _WEIGHTS = """WITH x AS (SELECT label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), g AS (SELECT i, label, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY ALL), t AS (SELECT i, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g GROUP BY i),
 f AS (SELECT i, ((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)) AS f FROM t)"""
 
@@ -782,6 +775,13 @@ def _components(spark, d) -> tuple[DataFrame, list[str]]:
     return e.select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(v) for k, v in enumerate(names)]), names
 
 
+@query("""WITH x AS (SELECT label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), g AS (SELECT i, label, count(v) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY ALL HAVING count(v) >= 5), t AS (SELECT i, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g GROUP BY i)
+SELECT 'v' || i AS feature, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 6) AS f, k AS groups, CAST(n AS BIGINT) AS n FROM t""")
+def m03_m04_anova(spark, d):
+    e, names = _components(spark, d)
+    return _rounded(M.anova_f(e, "label", names, 5), "f")
+
+
 @query(_WEIGHTS + " SELECT 'v' || i AS feature, round(f / avg(f) OVER (), 4) AS weight FROM f")
 def m03_feature_weights(spark, d):
     e, names = _components(spark, d)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import sales as S
@@ -332,7 +332,7 @@ def k09_duplicates(spark, d):
 
 @query(f"WITH {UNITS} SELECT DISTINCT mutation_id, city, surface, unit_type FROM units")
 def p11_distinct_rows(spark, d):
-    return units(spark, d).select("mutation_id", "city", "surface", "unit_type").distinct()
+    return S.distinct_units(units(spark, d), ("mutation_id", "city", "surface", "unit_type"))
 
 
 @query(f"WITH {PRICES} SELECT geo_code, CAST(date_trunc('quarter', mutation_date) AS DATE) AS period, round(quantile_cont(price / surface, 0.5), 6) AS value FROM (SELECT *, 'FR' AS geo_code FROM prices) WHERE {MANY} GROUP BY ALL HAVING count(DISTINCT mutation_id) >= 3 ORDER BY geo_code, period")
@@ -359,8 +359,7 @@ def j08_scalar_window(spark, d):
 
 @query(f"WITH {UNITS}, t AS (SELECT mutation_id, count(*) AS all_units FROM units GROUP BY 1) SELECT all_units, count(*) AS n FROM units JOIN t USING (mutation_id) GROUP BY 1")
 def j03_totals_back(spark, d):
-    u = units(spark, d).withColumn("all_units", F.count("*").over(Window.partitionBy("mutation_id")))
-    return u.groupBy("all_units").agg(F.count("*").alias("n"))
+    return S.with_mutation_units(units(spark, d)).groupBy("all_units").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {UNITS} SELECT geo_level, geo_code, CAST(date_trunc('quarter', mutation_date) AS DATE) AS period, max(surface) AS value, count(DISTINCT mutation_id) AS n_sales FROM {levels('units')} WHERE nature = 'F' GROUP BY ALL HAVING count(DISTINCT mutation_id) >= 4")
