@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import broadcast_if_small, stored, table
-from marlstone.llm.tokens import default_tokenizer, in_groups, word_ids
+from marlstone.llm.tokens import default_tokenizer, text_groups, word_ids
 
 SEQUENCE_TOKENS = 2048
 #: Rows sent back to Spark at a time.
@@ -46,30 +46,29 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE_TOKENS
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, task, seen = word_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(length + 1, dtype=np.int64).tolist()
-        end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * length
-        rows: list[list] = [[] for _ in range(7)]
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids", "task", "nth"])
-            for c in rows:
-                c.clear()
-            return out
-
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            packed_texts = ((keys[first + k], p + end) for first, texts in in_groups(batch.column(1).to_pylist()) for k, p in enumerate(ids.encode(texts)))
-            for key, packed in packed_texts:
-                for k, at in enumerate(range(0, len(packed), width)):
-                    part = packed[at : at + width]
-                    n = len(part) // 4
-                    for c, v in zip(rows, (key, k, at // 4, n, part, task, seen[n]), strict=True):
-                        c.append(v)
-                    seen[n] += 1
-                if len(rows[0]) >= OUT_ROWS:
-                    yield flush()
-        if rows[0]:
-            yield flush()
+        words, task, seen = word_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(length + 1, dtype=np.int64)
+        for batch in text_groups(batches, 1):
+            ids, at = words.encode_all(batch.column(1))
+            ids = np.insert(ids, at[1:], end_id)
+            tokens = np.diff(at) + 1
+            pieces = -(-tokens // length)
+            doc = np.repeat(np.arange(len(tokens)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            n = np.minimum(tokens[doc] - piece * length, length)
+            order, met = np.argsort(n, kind="stable"), np.bincount(n, minlength=length + 1)
+            nth = np.empty_like(n)
+            nth[order] = np.arange(len(n)) + (seen - np.cumsum(met) + met)[n[order]]
+            seen += met
+            ends = np.concatenate([[0], np.cumsum(n)])
+            for k in range(0, len(n), OUT_ROWS):
+                rows, cuts = slice(k, k + OUT_ROWS), ends[k : k + OUT_ROWS + 1]
+                offsets = (4 * (cuts - cuts[0])).astype("<i4")
+                packed = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(ids[cuts[0] : cuts[-1]])])
+                own = pa.array(np.full(len(cuts) - 1, task, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(doc[rows])), pa.array(piece[rows], pa.int32()), pa.array(piece[rows] * length), pa.array(n[rows]), packed, own, pa.array(nth[rows])],
+                    ["doc_id", "piece", "start", "length", "ids", "task", "nth"],
+                )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary, task int, nth long")

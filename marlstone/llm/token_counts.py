@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import stored, table
-from marlstone.llm.tokens import default_tokenizer, in_groups, word_ids
+from marlstone.llm.tokens import default_tokenizer, text_groups, word_ids
 
 #: Lengths in a block of the running sums.
 BLOCK = 4096
@@ -30,8 +31,8 @@ def encoded_lengths(docs: DataFrame, tokenizer: str | None = None, text_col: str
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(p) // 4 for _, texts in in_groups(batch.column(0).to_pylist()) for p in ids.encode(texts)], pa.int64())], ["n_tokens"])
+        for batch in text_groups(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(ids.encode_all(batch.column(0))[1]))], ["n_tokens"])
 
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(lengths, "n_tokens long")
 

@@ -53,6 +53,64 @@ def test_word_table_equals_tokenizer(texts):
         assert np.frombuffer(packed, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+#: Words that meet every rule of the pre-tokenizer, special tokens and forms that only a normaliser changes.
+WORDS = ["<|endoftext|>", "a<|startoftext|>b", "'s", "''s", "'s's", "it's'll", "x'rest", "!'s", "1's2", "I'VE", "'", "'r", "H̱", "K", ""]
+LETTERS = list("abzAZéÉßµªº²½×÷ÿÀ'''''stmdrevl 019.,!<|>\x00\x07\x1c\x85\xa0\xad éİ日Σ\U0001f600\t\n\r\x0b\x0c")
+
+
+def test_groups_of_texts_equal_tokenizer(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from marlstone.llm import tokens
+
+    tok, rng = _encoder(), random.Random(3)
+    raw = [t.encode() for t in WORDS + ["".join(rng.choices(LETTERS, k=rng.randint(0, 14))) for _ in range(3000)]] + [b"\xff ab\xc3 x\xe2\x82\nq", None]
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 500)  # the table overflows again and again
+    table, got = tokens.WordIds(tokens.default_tokenizer()), []
+    for start in range(0, len(raw), 100):
+        ids, at = table.encode_all(pa.array(raw[start : start + 100], pa.binary()))
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [tok.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids for t in raw]
+
+
+def test_python_looks_up_different_words_only():
+    """Once for all texts of a group, however often they hold a word."""
+    import pyarrow as pa
+
+    from marlstone.llm import tokens
+
+    asked = []
+
+    class Rows(dict):
+        def get(self, word):
+            asked.append(word)
+            return super().get(word)
+
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    table = tokens.WordIds(tokens.default_tokenizer())
+    table._new.rows = Rows()
+    ids, at = table.encode_all(pa.array([b"one two three one two", None, b"two three"] * 1000, pa.binary()))
+    assert len(at) == 3001 and len(ids) == 7000 and len(asked) <= 8  # three words and the empty text, when they are new and for their rows
+
+
+def test_text_groups_keep_every_row():
+    import pyarrow as pa
+
+    from marlstone.llm.tokens import text_groups
+
+    rows = [(k, None if k % 7 == 0 else b"x" * (k * 37 % 400)) for k in range(1000)] + [(1000, b"y" * 5000), (1001, b"")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[a : a + 30]]), pa.array([t for _, t in rows[a : a + 30]], pa.binary())], ["k", "t"]) for a in range(0, len(rows), 30)]
+    groups = [list(zip(*g.to_pydict().values(), strict=True)) for g in text_groups(iter(batches), 1, 3000)]
+    assert [r for g in groups for r in g] == rows and [(1000, b"y" * 5000)] in groups
+    assert all(sum(len(t or b"") for _, t in g) <= 3000 for g in groups if len(g) > 1) and len(groups) < 150
+    assert list(text_groups(iter([]), 1)) == []
+
+
 def _check_packing(rows, texts):
     tok, want = _encoder(), collections.Counter()
     for k, t in texts:
