@@ -131,7 +131,7 @@ class WordIds:
 
     def _add(self, words: list[bytes]) -> None:
         if self._fast:
-            words = self._add_latin(words)
+            words = [w for _, some in in_groups(words) for w in self._add_latin(some)]
         if words:
             ids = [np.array(self._tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4") for w in words]
             self._new.add(words, [len(x) for x in ids], np.concatenate(ids))
@@ -141,7 +141,7 @@ class WordIds:
         codes = np.frombuffer((b"\n".join(words) + b"\n").decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
         kinds = _KINDS[np.minimum(codes, 256)]
         lines = kinds == _LINE
-        word = np.cumsum(lines) - lines
+        word = np.cumsum(lines, dtype=np.int32) - lines
         # Latin letters are their own composed form and have one lower case; special tokens start with "<|".
         other = np.zeros(len(words), dtype=bool)
         other[word[kinds == 0]] = True
@@ -153,11 +153,11 @@ class WordIds:
         ends = _piece_ends(codes, kinds)
         text = kinds != _LINE
         codes, ends, word = codes[text], ends[text], word[text]
-        marked = np.zeros(len(codes) + np.count_nonzero(ends), dtype=np.uint8)
-        marked[np.arange(len(codes)) + np.cumsum(ends) - ends] = codes
+        marked = np.stack([codes, np.zeros_like(codes)], axis=1)[np.stack([np.ones_like(ends), ends], axis=1)]
         ids = self._fast.encode_to_numpy(marked.tobytes().decode("latin-1"), disallowed_special=())
-        last = self._last[ids]
-        lengths = np.bincount(word[ends][np.cumsum(last) - last], minlength=len(words))
+        upto = np.append(0, np.flatnonzero(self._last[ids]) + 1)  # ids up to the end of each piece
+        pieces = np.bincount(word[ends], minlength=len(words))
+        lengths = np.diff(upto[np.append(0, np.cumsum(pieces))])
         self._new.add([w for w, o in zip(words, other.tolist(), strict=True) if not o], lengths[~other], ids)
         return [words[k] for k in np.flatnonzero(other)]
 
