@@ -14,6 +14,11 @@ def nearest_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Round a double half away from zero as SQL's round does: on its binary value times 10^digits, where ``F.round`` goes by its shortest decimal text."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -77,7 +77,7 @@ def _in_bins(rows: DataFrame, by: list[str], qs: list[float], weight: bool, uppe
     if not weight and not upper:
         part = lambda q: (n - 1) * F.lit(float(q)) - F.floor((n - 1) * F.lit(float(q)))
         pairs = [(F.get("_q", F.lit(2 * k)), F.get("_q", F.lit(2 * k + 1)), part(q)) for k, q in enumerate(qs)]
-        out = out.withColumn("_q", F.array(*[low + p * (high - low) for low, high, p in pairs]))
+        out = out.withColumn("_q", F.array(*[F.when(low == high, low).otherwise(low * (1 - p) + high * p) for low, high, p in pairs]))  # as F.percentile
     return out.select(*by, "n", F.col("_q").alias("quantiles"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import rounded
 from marlstone.operators import sales as S
 from marlstone.operators import windows as W
 from marlstone.plans.standins import CITIES, CLEAN, MANY, ONE, POINTS, PRICES, QUERIES, SALES, SQL, UNITS, cities, haversine, levels, points, query, sales, table, units
@@ -15,7 +16,7 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: rounded(F.col(c), digits) for c in cols})
 
 
 _SERIES = "SELECT geo_level, geo_code, CAST(date_trunc('quarter', mutation_date) AS DATE) AS period, {by}round({value}, 6) AS value, count(DISTINCT mutation_id) AS n_sales FROM {x} WHERE {where} GROUP BY ALL HAVING count(DISTINCT mutation_id) >= {least} AND {value} IS NOT NULL"
