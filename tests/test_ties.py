@@ -29,7 +29,7 @@ def _rows(rows, cols, names) -> list:
     return sorted(tuple(str(r[names.index(c)])[:10] if hasattr(r[names.index(c)], "isoformat") else r[names.index(c)] for c in cols) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["a08_land_price"])
+@pytest.mark.parametrize("name", ["a08_land_price", "g05_time_adjusted"])
 def test_rounds_as_its_sql(spark, halves, name):
     d, c = halves
     df, want = QUERIES[name](spark, d), c.execute(SQL[name])
