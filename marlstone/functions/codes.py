@@ -27,11 +27,11 @@ def canonical_code(code: Column) -> Column:
 DISTRICTS = ((75101, 75120, "75056"), (69381, 69389, "69123"), (13201, 13216, "13055"))
 
 
-def fold_code(code: Column) -> Column:
+def fold_code(code: Column, districts: tuple[tuple[int, int, str], ...] = DISTRICTS) -> Column:
     """District codes to the city's own code (J-01)."""
     number = code.try_cast("int")
     out = code
-    for first, last, city in DISTRICTS:
+    for first, last, city in districts:
         out = F.when(number.between(first, last), F.lit(city)).otherwise(out)
     return out
 

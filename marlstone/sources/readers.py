@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import canonical_code, fold_code, parse_decimal
+from marlstone.functions.codes import DISTRICTS
 from marlstone.operators.rejects import quarantined
 
 SALES_SCHEMA = "`Date mutation` date, `Nature mutation` string, `Valeur fonciere` string, `Code departement` string, `Code commune` string, `No voie` string, `Code voie` string, `Code type local` int, `Surface reelle bati` int, `Nombre pieces principales` int, `Surface terrain` int"
@@ -66,19 +67,19 @@ def quarantined_csv(spark: SparkSession, path: str, schema: str, checks: dict[st
     return good.drop("line", "file"), bad, counts
 
 
-def measure_rows(rows: DataFrame, measure: str, geo_object: str = "COM", measure_col: str = "MEASURE") -> DataFrame:
-    """One measure at one kind of place; empty values go (S-07, A-23)."""
+def measure_rows(rows: DataFrame, measure: str, geo_object: str = "COM", measure_col: str = "MEASURE", districts=DISTRICTS) -> DataFrame:
+    """One measure at one kind of place; empty values go (S-07, A-23).  ``districts`` are folded into their cities; none of codes of another register."""
     v = F.col("OBS_VALUE").try_cast("double")
-    return rows.where((F.col("GEO_OBJECT") == geo_object) & (F.col(measure_col) == measure) & v.isNotNull()).select(fold_code(canonical_code(F.col("GEO"))).alias("city"), v.alias("value"))
+    return rows.where((F.col("GEO_OBJECT") == geo_object) & (F.col(measure_col) == measure) & v.isNotNull()).select(fold_code(canonical_code(F.col("GEO")), districts).alias("city"), v.alias("value"))
 
 
-def retail(rows: DataFrame) -> DataFrame:
-    """Two layouts of the retail file, told apart by their header, as one (S-08)."""
+def retail(rows: DataFrame, districts=DISTRICTS) -> DataFrame:
+    """Two layouts of the retail file, told apart by their header, as one (S-08); ``districts`` as in measure_rows."""
     if "GEO_OBJECT" in rows.columns:
         rows = rows.where(F.col("GEO_OBJECT") == "COM").select(F.col("GEO").alias("c"), F.col("FACILITY_DOM").alias("domain"), F.col("FACILITY_SDOM").alias("subdomain"), F.col("OBS_VALUE").alias("v"))
     else:
         rows = rows.select(F.col("DEPCOM").alias("c"), F.col("DOM").alias("domain"), F.col("SDOM").alias("subdomain"), F.col("NB_EQUIP").alias("v"))
-    return rows.select(fold_code(canonical_code(F.col("c"))).alias("city"), "domain", "subdomain", F.col("v").try_cast("double").alias("n"))
+    return rows.select(fold_code(canonical_code(F.col("c")), districts).alias("city"), "domain", "subdomain", F.col("v").try_cast("double").alias("n"))
 
 
 def rents(spark: SparkSession, path: str) -> DataFrame:
