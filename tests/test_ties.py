@@ -14,25 +14,24 @@ from marlstone.plans.standins import QUERIES, SQL
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def halves(tmp_path_factory):
-    """Sales of whole cents and surfaces of 32 times a number: prices for a unit have seven decimals, the last a 5."""
-    d, c = tmp_path_factory.mktemp("halves"), duckdb.connect()
-    own = {"orders": "* REPLACE (o_orderkey * 90 + 12 AS o_orderkey)", "lineitem": "* REPLACE (l_orderkey * 90 + 12 AS l_orderkey, 32.0::DOUBLE AS l_quantity)"}
+def _halves(d, surface: int):
+    """Sales of whole cents and units of one surface: of 32, prices for a unit have seven decimals, the last a 5."""
+    c = duckdb.connect()
+    own = {"orders": "* REPLACE (o_orderkey * 90 + 12 AS o_orderkey)", "lineitem": f"* REPLACE (l_orderkey * 90 + 12 AS l_orderkey, {surface}.0::DOUBLE AS l_quantity)"}
     for t in ("orders", "lineitem", "customer", "nation"):
         c.execute(f"COPY (SELECT {own.get(t, '*')} FROM '{SF}/{t}.parquet') TO '{d}/{t}.parquet' (FORMAT PARQUET)")
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    return str(d), c
+    return c
 
 
 def _rows(rows, cols, names) -> list:
     return sorted(tuple(str(r[names.index(c)])[:10] if hasattr(r[names.index(c)], "isoformat") else r[names.index(c)] for c in cols) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["a08_land_price", "g05_time_adjusted"])
-def test_rounds_as_its_sql(spark, halves, name):
-    d, c = halves
-    df, want = QUERIES[name](spark, d), c.execute(SQL[name])
+@pytest.mark.parametrize(("name", "surface"), [("a08_land_price", 32), ("g05_time_adjusted", 32), ("t01_a38_national_quarters", 96)])
+def test_rounds_as_its_sql(spark, tmp_path, name, surface):
+    c = _halves(tmp_path, surface)
+    df, want = QUERIES[name](spark, str(tmp_path)), c.execute(SQL[name])
     cols = [x[0] for x in want.description]
     assert _rows(df.collect(), cols, df.columns) == _rows(want.fetchall(), cols, cols)
 
