@@ -28,7 +28,7 @@ def _rows(rows, cols, names) -> list:
     return sorted(tuple(str(r[names.index(c)])[:10] if hasattr(r[names.index(c)], "isoformat") else r[names.index(c)] for c in cols) for r in rows)
 
 
-@pytest.mark.parametrize(("name", "surface"), [("a03_price_sqm_all", 32), ("a08_land_price", 32), ("g05_time_adjusted", 32), ("t01_a38_national_quarters", 96)])
+@pytest.mark.parametrize(("name", "surface"), [("a03_price_sqm_all", 32), ("a03_price_sqm_house", 32), ("a08_land_price", 32), ("g05_time_adjusted", 32), ("t01_a38_national_quarters", 96)])
 def test_rounds_as_its_sql(spark, tmp_path, name, surface):
     c = _halves(tmp_path, surface)
     df, want = QUERIES[name](spark, str(tmp_path)), c.execute(SQL[name])
