@@ -23,6 +23,14 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def steady_mean(x: Column) -> Column:
+    """Aggregate: the mean of doubles; whole parts are summed and divided apart, exactly below 2^53, so that the order of the rows does not show."""
+    whole, n = F.rint(x), F.count(x)
+    part = F.sum(F.when(x == whole, 0.0).otherwise(x - whole))
+    mean = F.floor(F.sum(whole) / n).cast("double")
+    return mean + (F.sum(whole) - mean * n + part) / n
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Aggregate; rows without a value take no part."""
     return F.sum(value * weight) / F.sum(F.when(value.isNotNull(), weight))

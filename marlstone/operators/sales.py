@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import canonical_code, commune_code, fold_code, parse_decimal, quarter_start, typology
+from marlstone.functions import canonical_code, commune_code, fold_code, parse_decimal, quarter_start, steady_mean, typology
 from marlstone.operators.ranks import exact_quantile, exact_quantiles
 
 UNIT_TYPES = {1: "HOUSE", 2: "APARTMENT", 4: "COMMERCIAL"}
@@ -220,7 +220,7 @@ def latest_year_snapshot(sales: DataFrame, least: int = 10) -> DataFrame:
     """City prices over the 12 months before the latest sale of all (A-11, J-08)."""
     recent = since_latest(sales)
     sqm = F.col("price") / F.col("surface")
-    out = recent.groupBy("city").agg(F.count("*").alias("n_sales"), F.avg("price").alias("avg_price")).where(F.col("n_sales") >= least)
+    out = recent.groupBy("city").agg(F.count("*").alias("n_sales"), steady_mean(F.col("price")).alias("avg_price")).where(F.col("n_sales") >= least)
     out = _with_quantiles(out, recent.withColumn("sqm", sqm), ["city"])
     return out.select("city", "n_sales", "avg_price", F.col("p")[1].alias("median_price"), F.col("p")[0].alias("price_p10"), F.col("p")[2].alias("price_p90"), F.col("s")[0].alias("sqm_p10"), F.col("s")[1].alias("sqm_p90"))
 

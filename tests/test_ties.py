@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from marlstone.functions import rounded
+from marlstone.functions import rounded, steady_mean
 from marlstone.operators.ranks import exact_quantile
 from marlstone.plans.standins import QUERIES, SQL
 
@@ -50,3 +50,15 @@ def test_medians_to_the_last_bit(spark, accuracy):
     rows = pd.DataFrame([(g, v) for g in range(200) for v in np.round(rng.lognormal(8, 2, 2 + g % 3), 2) / 7], columns=["g", "v"])
     got = {r["g"]: r["quantile"] for r in exact_quantile(spark.createDataFrame(rows), ["g"], "v", accuracy=accuracy).collect()}
     assert got == dict(duckdb.sql("SELECT g, quantile_cont(v, 0.5) FROM rows GROUP BY g").fetchall())
+
+
+def test_mean_whatever_the_order(spark):
+    """Cents whose exact mean lies halfway."""
+    rng = np.random.default_rng(4)
+    cents = rng.integers(10_000, 50_000_000, 9600)
+    cents[0] += 96 * 50_000 + 12 - cents.sum() % (96 * 100_000)  # 9600 * 100 times the mean ends in ...12.5 of a millionth
+    for order in (cents, np.sort(cents), np.sort(cents)[::-1]):
+        df = spark.createDataFrame(pd.DataFrame({"x": order / 100}))
+        assert df.coalesce(1).agg(steady_mean(F.col("x"))).first()[0] == int(cents.sum()) / 960_000
+    odd = spark.createDataFrame([(1.5,), (None,), (float("inf"),)], "x double")
+    assert odd.agg(steady_mean(F.col("x"))).first()[0] == float("inf") and odd.where("x < 2 or x is null").agg(steady_mean(F.col("x"))).first()[0] == 1.5
